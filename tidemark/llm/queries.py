@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import language, mixing, packing, warc
 from .common import table
 
 
@@ -10,6 +10,18 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    r = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    p = language.predict(docs.drop("lang"), model)
+    return p.select("doc_id", language.held_out(p["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mix_sources(spark, sf_dir):
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken")
@@ -18,6 +30,8 @@ def op7_mix_sources(spark, sf_dir):
 def queries() -> dict:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op5_warc": op5_warc,
+        "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
     }
 
