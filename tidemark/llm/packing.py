@@ -15,9 +15,11 @@ from .common import written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at once; it starts afresh beyond.
-REMEMBER = 400_000
+REMEMBER = 800_000
 #: Texts of these characters only split at white space alike before and after normalising.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]*")
+#: What the vocabulary's model takes apart in such texts, and the mark of a token that ends it.
+UNITS, UNIT_END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+"), "</w>"
 
 
 @lru_cache(maxsize=2)
@@ -31,7 +33,27 @@ def _tokenizer(path: str | None):
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    for token, i in tok.get_vocab().items():
+        ends[i] = token.endswith(UNIT_END)
+    return tok, ends, {}, {}
+
+
+def _unit_ids(tok, ends, units: list[str]):
+    """Ids of each unit as bytes. Many are encoded as one text and cut where a unit ends."""
+    for i in range(0, len(units), 2000):
+        part = units[i : i + 2000]
+        ids = np.array(tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        stop = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(stop) == len(part):
+            raw, at = ids.tobytes(), 0
+            for u, e in zip(part, stop.tolist()):
+                yield u, raw[at:e]
+                at = e
+        else:
+            for u in part:
+                yield u, np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
@@ -40,25 +62,27 @@ def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
     The vocabulary's model never joins what white space separates, so the ids of a plain
     text are those of its words, of which most recur. Other texts go to the library whole.
     """
-    tok, memo = _tokenizer(path)
+    tok, ends, memo, unit_memo = _tokenizer(path)
     split: list[list[str] | None] = []
-    new: dict[str, None] = {}
     for t in texts:
         if t and PLAIN.fullmatch(t) and "<|" not in t:
-            words = t.lower().split()
-            split.append(words)
-            new.update(dict.fromkeys(w for w in set(words) if w not in memo))
+            split.append(t.lower().split())
         else:
             split.append(None)
+    words = set().union(*filter(None, split))
+    new = words.difference(memo)
     if new:
         if len(memo) + len(new) > REMEMBER:
             memo.clear()
-            new = {w: None for ws in split if ws for w in set(ws)}
-        words = list(new)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+            new = words
+        units = {w: [w] if w.isalpha() else UNITS.findall(w) for w in new}
+        missing = list(set().union(*units.values()).difference(unit_memo))
+        if len(unit_memo) + len(missing) > REMEMBER:
+            unit_memo.clear()
+            missing = list(set().union(*units.values()))
+        unit_memo.update(_unit_ids(tok, ends, missing))
+        for w, us in units.items():
+            memo[w] = unit_memo[us[0]] if len(us) == 1 else b"".join(map(unit_memo.__getitem__, us))
     odd = [t or "" for t, ws in zip(texts, split) if ws is None]
     whole = iter([np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(odd, add_special_tokens=False)])
     get = memo.__getitem__
