@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, warc
+from . import language, mixing, packing, tokens, warc
 from .common import table
 
 
@@ -27,12 +27,17 @@ def op7_mix_sources(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
+        "op10_token_counts": op10_token_counts,
     }
 
 
