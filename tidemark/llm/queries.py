@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, tokens, warc
+from . import language, mixing, packing, quality, tokens, warc
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op7_mix_sources(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def queries() -> dict:
         "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
+        "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
     }
 
