@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, tokens, warc
+from . import language, mixing, packing, quality, tokens, vectors, warc
 from .common import table
 
 
@@ -10,6 +10,15 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
+
+
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vectors.link(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op5_warc(spark, sf_dir):
     r = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -39,6 +48,8 @@ def op10_token_counts(spark, sf_dir):
 def queries() -> dict:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
