@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, tokens, vectors, warc
+from . import jaccard, language, mixing, packing, quality, tokens, vectors, warc
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op7_mix_sources(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_ngram_jaccard(spark, sf_dir):
+    j = jaccard.join(table(spark, sf_dir, "documents"))
+    return j.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
 def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -53,6 +58,7 @@ def queries() -> dict:
         "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
     }
