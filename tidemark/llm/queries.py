@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, tokens, vectors, warc
+from . import jaccard, language, licenses, mixing, packing, quality, sql, tokens, vectors, warc
 from .common import table
 
 
+def op1_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_token_counts(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
@@ -65,4 +70,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_license_scan": sql.licenses_sql(),
+        "op4_embedding_near_dedup": sql.EMBEDDINGS,
+        "op5_warc": sql.PAGES,
+        "op8_ngram_jaccard": sql.JACCARD,
+    }
