@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, rows: int, rows_each: int) -> int:
-    """Partitions for so many rows: not fewer than the session's own, more as they grow."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
-
-
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Components of an undirected graph: (node, component), component its smallest node.
 
@@ -77,3 +73,15 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         before = now
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+
+
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label (each node's smallest known fellow) after joining all pairs (i, j)."""
+    a, b = label[i], label[j]
+    while (a != b).any():
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        label, a, b = root[label], root[a], root[b]
+    return label

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, united, written
 
 #: Bound on the sample that pivots and centroids are fitted to, and on their number.
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 4096
 #: Rows of a block: a pair of blocks is one unit of comparing, whatever a cell holds.
-BLOCK = 2000
+BLOCK = 8000
+#: What the choice of pivots weighs: comparing a pair, and sending a row to a unit.
+PAIR_COST, ROW_COST = 1.5e-8, 1e-5
 
 
 def usable(col):
@@ -60,39 +62,59 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # -- near-duplicates -----------------------------------------------------------------------
 
 
-def _cells(pivots: np.ndarray, radius: float, spread: int):
-    """A task function: each vector's cells, (cell, home, id, copies, v).
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None] if len(x) else x
 
-    Home is the nearest pivot. If x with home i has a neighbour y within the radius, then
+
+def _places(x: np.ndarray, pivots: np.ndarray, radius: float):
+    """Of unit vectors: their home cell, and (row, cell) of those they visit.
+
+    Home is the nearest pivot. If x with home i has a neighbour y within the radius r, then
     d(y, p_i) <= d(x, p_i) + r and d(x, p_j) <= d(y, p_j) + r, so d(y, p_i) <= d(y, p_home) + 2r;
     in Euclidean space the distance of y to the plane between the pivots must also be within r,
-    the sharper bound. y goes to each such cell, but only to those of smaller number than its
-    home: the pair meets in the smaller of the two homes.
+    the sharper bound. y visits each such cell, but only those of smaller number than its home:
+    the pair meets in the smaller of the two homes.
     """
+    d2 = _squared(x, pivots)
+    home = d2.argmin(1)
+    own = d2[np.arange(len(x)), home]
     between = np.sqrt(_squared(pivots, pivots))
+    plane = (d2 - own[:, None]) <= 2 * (radius + 1e-9) * between[home] + 1e-9
+    near = np.sqrt(d2) <= np.sqrt(own)[:, None] + 2 * radius + 1e-9
+    smaller = np.arange(len(pivots))[None, :] < home[:, None]
+    return home, *np.nonzero(plane & near & smaller)
+
+
+def _choose_pivots(sample: np.ndarray, total: int, radius: float) -> np.ndarray:
+    """The pivots, of several numbers of them, that promise the least work by the sample."""
+    scale, best = total / len(sample), None
+    for k in (1, 4, 16, 64, 256):
+        if k > max(1, len(sample) // 4):
+            break
+        p = _kmeans(sample, k)
+        home, _, cell = _places(sample[:4000], p, radius)
+        up = scale * len(sample) / min(len(sample), 4000)
+        h, g = (np.bincount(c, minlength=len(p)) * up for c in (home, cell))
+        cost = PAIR_COST * (h * (h / 2 + g)).sum() + ROW_COST * ((h + g) * np.ceil((h + g) / BLOCK)).sum()
+        if best is None or cost < best[0]:
+            best = cost, p
+    return best[1]
+
+
+def _cells(pivots: np.ndarray, radius: float):
+    """A task function: each vector's cells, (cell, home, id, copies, v)."""
 
     def run(batches):
         for b in batches:
-            x = _matrix(b.column(2))
-            if not len(x):
-                continue
-            d2 = _squared(x, pivots)
-            home = d2.argmin(1)
-            own = d2[np.arange(len(x)), home]
-            gap = between[home]
-            plane = (d2 - own[:, None]) <= 2 * (radius + 1e-9) * gap
-            near = np.sqrt(d2) <= np.sqrt(own)[:, None] + 2 * radius + 1e-9
-            smaller = np.arange(len(pivots))[None, :] < home[:, None]
-            at, cell = np.nonzero(plane & near & smaller)
-            rows = np.concatenate([np.arange(len(x)), at])
-            cells = np.concatenate([home, cell]).astype(np.int32)
-            order = np.argsort(rows, kind="stable")
-            rows, cells = rows[order], cells[order]
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells), pa.array(home[rows].astype(np.int32)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)],
-                ["cell", "home", "id", "copies", "v"],
-            )
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                home, rows, cells = _places(_unit(_matrix(part.column(2))), pivots, radius)
+                rows = np.concatenate([np.arange(len(home)), rows])
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([home, cells]).astype(np.int32)), pa.array(home[rows].astype(np.int32)), *(c.take(take) for c in part.columns)],
+                    ["cell", "home", "id", "copies", "v"],
+                )
 
     return run
 
@@ -112,7 +134,6 @@ def link(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9, pivo
     empty table gives no rows.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), usable(F.col(vec_col)).alias("ok"))
-    base = base.withColumn("v", F.transform("v", lambda x: x.cast("double")))
     # a class is a vector bit for bit; equal classes have cosine 1
     base = base.withColumn("class", F.when(F.col("ok"), F.xxhash64("v")))
     base = written(base)
@@ -145,16 +166,34 @@ def link(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9, pivo
     )
 
 
+def _near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float):
+    """Arrays (i, j) of the pairs of unit vectors with cosine >= least, each pair once.
+
+    Single precision finds them with a margin; double precision decides.
+    """
+    same, y = left is right, x.astype(np.float32)
+    for s in range(0, len(left), 256):
+        rows, cols = left[s : s + 256], right[s:] if same else right
+        if not len(cols):
+            continue
+        at, to = np.divmod(np.flatnonzero(y[rows] @ y[cols].T >= np.float32(least - 1e-5)), len(cols))
+        if same:
+            at, to = at[to > at], to[to > at]
+        i, j = rows[at], cols[to]
+        exact = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 100_000]], x[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)] or [np.zeros(0)])
+        if (exact >= least).any():
+            yield i[exact >= least], j[exact >= least]
+
+
 def _link_classes(classes: DataFrame, least: float, pivots: int | None):
     """Links of distinct vectors of one length: (class, links) and (u, v) edges."""
     total = classes.count()
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    unit = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    u = classes.withColumn("v", F.transform("v", lambda x: x / unit))
-    k = pivots or int(min(256, max(4, total // 1000)))
-    centres = _kmeans(_sample(u, "v", SAMPLE_ROWS), k)
-    schema = "cell int, home int, id long, copies long, v array<double>"
-    cells = written(u.select("class", "copies", "v").mapInArrow(_cells(centres, radius, 0), schema))
+    sample = _unit(_sample(classes, "v", SAMPLE_ROWS))
+    centres = _kmeans(sample, pivots) if pivots else _choose_pivots(sample, total, radius)
+    kind = classes.schema["v"].dataType.simpleString()
+    schema = f"cell int, home int, id long, copies long, v {kind}"
+    cells = written(classes.select("class", "copies", "v").mapInArrow(_cells(centres, radius), schema))
     sizes = cells.groupBy("cell").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("cell", "blocks")
     placed = cells.join(F.broadcast(sizes), "cell")  # one row a pivot, MOST_CENTRES at most
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
@@ -167,24 +206,19 @@ def _link_classes(classes: DataFrame, least: float, pivots: int | None):
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         cell, lo, hi = key
-        x = _rows(pdf["v"])
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
+        x = _unit(_rows(pdf["v"]))
+        ids, copies, block = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
         at_home = pdf["home"].to_numpy() == cell
-        block = pdf["block"].to_numpy()
-        links = np.zeros(len(x), np.int64)
-        label = np.arange(len(x))
-
-        for s in range(0, len(x), 512):
-            near = x[s : s + 512] @ x.T >= least
-            near &= at_home[s : s + 512, None] | at_home[None, :]  # two guests meet in another cell
-            if lo != hi:
-                near &= block[s : s + 512, None] != block[None, :]
-            near[np.arange(near.shape[0]), np.arange(s, s + near.shape[0])] = False
-            links[s : s + 512] = near @ copies
-            for i in np.flatnonzero(near.any(1)):
-                met = np.unique(np.append(label[near[i]], label[s + i]))
-                if len(met) > 1:
-                    label[np.isin(label, met[1:])] = met[0]
+        home, guest = (np.flatnonzero(m & (block == lo)) for m in (at_home, ~at_home))
+        if lo == hi:  # two guests meet in another cell
+            sides = [(home, home), (home, guest)]
+        else:
+            sides = [(home, np.flatnonzero(block == hi)), (guest, np.flatnonzero((block == hi) & at_home))]
+        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
+        for left, right in sides:
+            for i, j in _near_pairs(x, left, right, least):
+                links += np.bincount(i, copies[j], len(x)).astype(np.int64) + np.bincount(j, copies[i], len(x)).astype(np.int64)
+                label = united(label, i, j)
         keep = np.flatnonzero(links)
         return pd.DataFrame({"class": ids[keep], "links": links[keep], "to": ids[label[keep]]})
 
