@@ -1 +1 @@
-
+"""Scalar functions as column expressions."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import indicator_queries  # noqa: F401
+from .define import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
