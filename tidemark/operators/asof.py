@@ -31,8 +31,9 @@ def forward(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) ->
     l = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(0)})
     empty = {c: F.lit(None).cast(left.schema[c].dataType) for c in names if c not in (by, ts)}
     r = right.select(F.col(by), F.col(ts), F.col(value).alias("__v"), F.lit(1).alias("__side")).withColumns(empty)
-    w = Window.partitionBy(by).orderBy(ts, "__side").rowsBetween(0, Window.unboundedFollowing)
-    d = l.unionByName(r).withColumn("__next", F.first(F.when(F.col("__side") == 1, F.struct("__v")), ignorenulls=True).over(w))
+    # backwards in time the next row is the last one seen, which a growing frame keeps at no cost
+    w = Window.partitionBy(by).orderBy(F.col(ts).desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = l.unionByName(r).withColumn("__next", F.last(F.when(F.col("__side") == 1, F.struct("__v")), ignorenulls=True).over(w))
     return d.where("__side = 0").select(*names, F.col("__next.__v").alias(value))
 
 
