@@ -83,7 +83,7 @@ def corpus(seed, n=260):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("small,block,depth", [(200, 250, 12), (5, 20, 12), (3, 250, 1)])
+@pytest.mark.parametrize("small,block,depth", [(1000, 250, 12), (5, 20, 12), (3, 250, 1)])
 def test_links_equal_all_pairs(spark, monkeypatch, small, block, depth):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard.candidates, "__defaults__", (0.8, 16, depth, small))

@@ -8,21 +8,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, united, written
 
 WORDS = 5
 LEAST = 0.8
 #: Tokens kept of a set: minima of that many hash functions, coordinates shared at the rate of the Jaccard similarity.
 TOKENS = 64
 #: Sets a node may hold to be brute-forced; larger ones are split.
-SMALL = 200
+SMALL = 1000
+#: Rows of the buckets in which small nodes are brute-forced many at a time.
+BUCKET = 20_000
+#: Members of candidate groups up to this many rows are broadcast to the texts; more are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 #: Runs and depth: a pair at the threshold survives a level with probability about 1 - 1/e.
 RUNS, DEPTH = 16, 12
 #: Sets of a block when the members of a candidate group are compared exactly.
 BLOCK = 250
-#: Share of equal coordinates that makes a pair a candidate (four deviations under the threshold),
-#: and that at which a set may leave a node with its pivot.
-LIKELY, CLOSE = 0.58, 0.92
+#: Share of equal coordinates that makes a pair a candidate, five deviations under the threshold;
+#: and that at which a set may leave a node with its pivot: what it links to is in distance at
+#: most 0.2 from it and 0.4 from the pivot, and so a candidate of the pivot, too.
+LIKELY, CLOSE = 0.5, 0.8
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(256, bool)
@@ -79,15 +84,16 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
 _SEEDS = _mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * _K)
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """The minimum of TOKENS hash functions over a set: 32-bit coordinates."""
-    out = np.empty(TOKENS, np.uint32)
-    low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+def _sketches_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The minima of TOKENS hash functions over each non-empty set: 32-bit coordinates."""
+    flat = np.concatenate(sets)
+    low, high = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out, h = np.empty((len(sets), TOKENS), np.uint32), np.empty_like(low)
     for i, seed in enumerate(_SEEDS):
-        x = (low ^ np.uint32(seed & np.uint64(0xFFFFFFFF))) * np.uint32((seed >> np.uint64(32)) | np.uint64(1))
-        x ^= x >> np.uint32(15)
-        x = (x + high) * np.uint32(0x2C1B3C6D)
-        out[i] = (x ^ (x >> np.uint32(13))).min()
+        np.multiply(low, np.uint32(seed & np.uint64(0xFFFFFFFF)) | np.uint32(1), out=h)
+        np.add(h, high, out=h)
+        out[:, i] = np.minimum.reduceat(h, starts)
     return out
 
 
@@ -96,16 +102,17 @@ def _sketches(batches):
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            keys, mins = [], []
-            for s in shingles(part.column(1).to_pylist()):
-                if len(s):
-                    key = _mix(s + np.uint64(11)).sum(dtype=np.uint64, keepdims=True) ^ (np.array([len(s)], np.uint64) * _K)
-                    keys.append(int(_mix(key).view(np.int64)[0]))
-                    mins.append(_sketch(s).tobytes())
-                else:
-                    keys.append(None)
-                    mins.append(None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(mins, pa.binary())], ["row", "set", "sketch"])
+            sets = shingles(part.column(1).to_pylist())
+            full = [s for s in sets if len(s)]
+            keys, mins = iter([]), iter([])
+            if full:
+                n = np.array([len(s) for s in full], np.uint64)
+                sums = np.add.reduceat(_mix(np.concatenate(full) + np.uint64(11)), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64))
+                keys = iter(_mix(sums ^ (n * _K)).view(np.int64).tolist())
+                mins = iter([m.tobytes() for m in _sketches_of(full)])
+            key = [next(keys) if len(s) else None for s in sets]
+            sketch = [next(mins) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], ["row", "set", "sketch"])
 
 
 def _children(nodes: np.ndarray, mins: np.ndarray, least: float):
@@ -189,24 +196,32 @@ def candidates(sets: DataFrame, least: float = LEAST, runs: int = RUNS, depth: i
 
 
 def _brute(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Likely pairs inside small nodes, as a spanning forest of each node."""
+    """Likely pairs inside small nodes, as stars of each node's likely groups.
+
+    Nodes are dealt into buckets of many; a bucket compares its rows, in order of nodes, with
+    those 1, 2, ... places on as long as they share the node.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["set"].to_numpy()
-        mins = _as_mins(pdf["sketch"])
-        u, v = [], []
-        label = np.arange(len(ids))
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero((mins[i + 1 :] == mins[i]).mean(1) >= LIKELY) + i + 1
-            near = near[label[near] != label[i]]
-            if len(near):
-                met, first = np.unique(label[near], return_index=True)
-                u += [ids[i]] * len(first)
-                v += ids[near[first]].tolist()
-                label[np.isin(label, met)] = label[i]
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
-
-    return written(members.join(sets, "set").groupBy("node").applyInPandas(compare, "u long, v long"))
+        pdf = pdf.sort_values("node", kind="stable")
+        node, ids, mins = pdf["node"].to_numpy(), pdf["set"].to_numpy(), _as_mins(pdf["sketch"])
+        label, at = np.arange(len(ids)), np.arange(len(ids))
+        for d in range(1, len(ids)):
+            at = at[at + d < len(ids)]
+            at = at[node[at] == node[at + d]]
+            if not len(at):
+                break
+            for s in range(0, len(at), 50_000):
+                i = at[s : s + 50_000]
+                like = (mins[i] == mins[i + d]).sum(1) >= LIKELY * TOKENS
+                if like.any():
+                    label = united(label, i[like], i[like] + d)
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
+
+    buckets = 1 + members.count() // BUCKET
+    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(buckets))).join(sets, "set")
+    return written(dealt.groupBy("bucket").applyInPandas(compare, "u long, v long"))
 
 
 def _verify(groups: DataFrame, least: float, words: int) -> DataFrame:
@@ -232,11 +247,7 @@ def _verify(groups: DataFrame, least: float, words: int) -> DataFrame:
         near[np.arange(len(n)), np.arange(len(n))] = False
         if key[1] != key[2]:
             near &= block[:, None] != block[None, :]
-        label = np.arange(len(n))
-        for i in np.flatnonzero(near.any(1)):
-            met = np.unique(np.append(label[near[i]], label[i]))
-            if len(met) > 1:
-                label[np.isin(label, met[1:])] = met[0]
+        label = united(np.arange(len(n)), *np.nonzero(near))
         keep = np.flatnonzero(near.any(1))
         return pd.DataFrame({"set": ids[keep], "links": (near[keep] * weight[None, :]).sum(1).astype(np.int64), "to": ids[label[keep]]})
 
@@ -288,7 +299,8 @@ def join(docs: DataFrame, least: float = LEAST, words: int = WORDS, runs: int =
     sets = written(sketches)
     groups = connected_components(candidates(sets, least, runs)).select(F.col("node").alias("set"), F.col("component").alias("group"))
     members = written(groups.join(classes.select("set", "weight", F.col("first.row").alias("row")), "set"))
-    with_text = members.join(base.select("row", "text"), "row").select("set", "group", "weight", "text")
+    side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    with_text = base.select("row", "text").join(side, "row").select("set", "group", "weight", "text")
     links = written(_verify(with_text, least, words))
     comp = connected_components(links.select(F.col("set").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "set")
     total = links.groupBy("set").agg(F.sum("links").alias("links"))
