@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("i")
+
+def _ordered():
+    return Window.partitionBy("symbol").orderBy("i")
 
 
 def switches(values: DataFrame, value: str, polarity: int = 1) -> DataFrame:
     """delta: the sign of the value's change times polarity, where it is not 0 and differs from
     the last that was not 0; else 0."""
-    d = values.withColumn("__d", F.signum(F.col(value) - F.lag(value).over(W)) * polarity)
+    w = _ordered()
+    d = values.withColumn("__d", F.signum(F.col(value) - F.lag(value).over(w)) * polarity)
     d = d.withColumn("__nz", F.when(F.col("__d") != 0, F.col("__d")))
-    last = F.last("__nz", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last("__nz", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     delta = F.when(F.col("__nz").isNotNull() & ~F.col("__nz").eqNullSafe(last), F.col("__nz")).otherwise(0.0)
     return d.withColumn("delta", delta).drop("__d", "__nz")
 
@@ -37,7 +40,7 @@ def trades(d: DataFrame, price: str = "close") -> DataFrame:
     the last bar closes what is open. symbol, open_i, close_i, side, open_price, close_price."""
     last = F.max(F.struct("i", price)).over(Window.partitionBy("symbol"))
     x = d.withColumn("__end", last).where("delta <> 0")
-    nxt = F.lead(F.struct(F.col("i"), F.col(price))).over(W)
+    nxt = F.lead(F.struct(F.col("i"), F.col(price))).over(_ordered())
     x = x.withColumn("__exit", F.coalesce(nxt, F.col("__end")))
     return x.select(
         "symbol",

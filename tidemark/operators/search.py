@@ -1,0 +1,58 @@
+"""Strategy search: a generation of genomes is one job over genomes and bars."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+FIELDS = {"fast": (2, 20), "slow": (10, 60), "polarity": (-1, 1)}
+
+
+def genomes(n: int, seed: int = 1) -> list[dict]:
+    rng = random.Random(seed)
+    return [{"fast": rng.randint(2, 20), "slow": rng.randint(10, 60), "polarity": rng.choice((-1, 1))} for _ in range(n)]
+
+
+def evaluate(spark: SparkSession, bars: DataFrame, population: list[dict], least_trades: int = 10) -> DataFrame:
+    """(genome, trades, score): trade the sign of fast mean - slow mean of each genome on every symbol.
+
+    Running sums make any window's mean two lags apart, so genomes with windows of their own share
+    one sort; genome is part of every key, so one symbol's work is spread.
+    """
+    g = F.array(*[F.struct(F.lit(k).alias("genome"), *[F.lit(p[f]).alias(f) for f in FIELDS]) for k, p in enumerate(population)])
+    w = Window.partitionBy("symbol").orderBy("i")
+    b = bars.select("symbol", "i", "close", F.sum("close").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.lead("close").over(w).alias("next"))
+    sums = b.select("symbol", F.col("i").alias("j"), F.col("upto").alias("past"))
+    d = b.withColumn("g", F.explode(g)).select("symbol", "i", "close", "next", "upto", "g.*")
+    for f in ("fast", "slow"):
+        d = d.withColumn("j", F.col("i") - F.col(f)).join(sums, ["symbol", "j"], "left").withColumn(f"m_{f}", (F.col("upto") - F.coalesce("past", F.lit(0.0))) / F.col(f)).drop("past", "j")
+    side = F.when(F.col("i") >= F.greatest("fast", "slow"), F.signum(F.col("m_fast") - F.col("m_slow")) * F.col("polarity")).otherwise(0.0)
+    d = d.withColumn("side", side)
+    turn = F.col("side") != F.coalesce(F.lag("side").over(Window.partitionBy("genome", "symbol").orderBy("i")), F.lit(0.0))
+    d = d.withColumn("turn", turn.cast("int")).withColumn("ret", F.when(F.col("close") != 0, (F.col("next") / F.col("close") - 1) * F.col("side")))
+    s = d.groupBy("genome").agg(F.sum("turn").alias("trades"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"))
+    score = F.when((F.col("trades") >= least_trades) & (F.col("sd") > 0), F.col("mean") / F.col("sd")).otherwise(float("-inf"))
+    return s.select("genome", "trades", score.alias("score"))
+
+
+def cross(a: dict, b: dict, rng: random.Random) -> dict:
+    return {f: rng.choice((a[f], b[f])) for f in FIELDS}
+
+
+def mutate(p: dict, rng: random.Random, rate: float = 0.2) -> dict:
+    return {f: (rng.choice((-1, 1)) if f == "polarity" else rng.randint(*FIELDS[f])) if rng.random() < rate else v for f, v in p.items()}
+
+
+def evolve(spark: SparkSession, bars: DataFrame, size: int = 24, generations: int = 3, elite: int = 6, seed: int = 1) -> list[tuple[dict, float]]:
+    """The elite after some generations; the driver sees genomes and scores only, `size` a generation."""
+    rng, population = random.Random(seed), genomes(size, seed)
+    best: list[tuple[dict, float]] = []
+    for _ in range(generations):
+        scores = {r.genome: r.score for r in evaluate(spark, bars, population).collect()}
+        ranked = sorted(((p, scores.get(k, float("-inf"))) for k, p in enumerate(population)), key=lambda x: (-x[1], sorted(x[0].items())))
+        best = ranked[:elite]
+        parents = [p for p, _ in best]
+        population = parents + [mutate(cross(rng.choice(parents), rng.choice(parents), rng), rng) for _ in range(size - elite)]
+    return best

@@ -1 +1 @@
-
+"""Readers and writers of bars, contracts and filings."""

@@ -1 +1 @@
-
+"""Bars and trades over unbounded ticks."""
