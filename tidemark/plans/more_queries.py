@@ -19,7 +19,7 @@ def integrity_hash(spark, sf_dir):
 
 
 _C = """c AS MATERIALIZED (SELECT l_orderkey AS id, 'T' || (l_suppkey % 5) AS root, CAST(l_shipdate AS DATE) AS day, l_shipdate AS ts, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'P' END AS kind,
-  90.0 + l_partkey % 21 AS strike, l_extendedprice / l_quantity / 100 AS price, 5 + CAST(l_tax * 1000 AS INT) AS dte, CAST(l_quantity AS BIGINT) AS volume, l_linenumber AS n FROM lineitem)"""
+  90.0 + l_partkey % 21 AS strike, l_extendedprice / (l_quantity * 100) AS price, 5 + CAST(l_tax * 1000 AS INT) AS dte, CAST(l_quantity AS BIGINT) AS volume, l_linenumber AS n FROM lineitem)"""
 
 
 def _contracts(spark, sf_dir):
@@ -31,7 +31,7 @@ def _contracts(spark, sf_dir):
         F.col("l_shipdate").alias("ts"),
         F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("P").alias("kind"),
         (F.lit(90.0) + F.col("l_partkey") % 21).alias("strike"),
-        (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"),
+        (F.col("l_extendedprice") / (F.col("l_quantity") * 100)).alias("price"),
         (5 + F.round(F.col("l_tax") * 1000).cast("int")).alias("dte"),
         F.col("l_quantity").cast("long").alias("volume"),
         F.col("l_linenumber").alias("n"),
