@@ -45,9 +45,9 @@ def contract_index(spark, sf_dir):
 
 
 @query(f"""WITH {_C} SELECT root, CAST(day AS VARCHAR) AS day, count(*) AS records, CAST(sum(volume) AS BIGINT) AS volume, max(price) AS high, min(price) AS low,
-  arg_min(price, (id, n)) AS open, arg_max(price, (id, n)) AS close, list_sort(list_distinct(list(kind)))[1] AS first_kind FROM c GROUP BY root, day""")
+  arg_min(price, (id, n, price)) AS open, arg_max(price, (id, n, price)) AS close, list_sort(list_distinct(list(kind)))[1] AS first_kind FROM c GROUP BY root, day""")
 def daily_contract_summary(spark, sf_dir):
-    order = F.struct("id", "n")
+    order = F.struct("id", "n", "price")
     r = lambda x, a: x.alias(a)
     return _contracts(spark, sf_dir).groupBy("root", F.col("day").cast("string").alias("day")).agg(
         F.count("*").alias("records"), F.sum("volume").alias("volume"), r(F.max("price"), "high"), r(F.min("price"), "low"),
