@@ -42,8 +42,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs)
+    """Pieces of all documents with their places in sequences of at most 2048 tokens.
+
+    The workers go on to other stages, so they remember few words here.
+    """
+    return packing.pack_documents(docs, remember=100_000)
 
 
 STAGES = [

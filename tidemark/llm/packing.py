@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers at once; it starts afresh beyond.
+#: Words whose ids a worker remembers at once; it starts afresh beyond. They stay with the worker
+#: between tasks, some 250 bytes each.
 REMEMBER = 800_000
 #: Texts of these characters only split at white space alike before and after normalising.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]*")
@@ -56,7 +57,7 @@ def _unit_ids(tok, ends, units: list[str]):
                 yield u, np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
+def encode(texts: list[str | None], path: str | None = None, remember: int = REMEMBER) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, equal to the library's own.
 
     The vocabulary's model never joins what white space separates, so the ids of a plain
@@ -72,12 +73,12 @@ def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
     words = set().union(*filter(None, split))
     new = words.difference(memo)
     if new:
-        if len(memo) + len(new) > REMEMBER:
+        if len(memo) + len(new) > remember:
             memo.clear()
             new = words
         units = {w: [w] if w.isalpha() else UNITS.findall(w) for w in new}
         missing = list(set().union(*units.values()).difference(unit_memo))
-        if len(unit_memo) + len(missing) > REMEMBER:
+        if len(unit_memo) + len(missing) > remember:
             unit_memo.clear()
             missing = list(set().union(*units.values()))
         unit_memo.update(_unit_ids(tok, ends, missing))
@@ -89,7 +90,7 @@ def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
     return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
-def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """Documents (doc_id, text) as pieces of at most `capacity` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32 and, if asked, ids (binary, little-endian
@@ -103,7 +104,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity:
             for at in range(0, batch.num_rows, 500):
                 part = texts.slice(at, 500).to_pylist()
                 rows, out = [], []
-                for i, x in enumerate(encode(part, path)):
+                for i, x in enumerate(encode(part, path, remember)):
                     x += end_id.to_bytes(4, "little")
                     for p, b in enumerate(range(0, len(x), 4 * capacity)):
                         y = x[b : b + 4 * capacity]
@@ -205,7 +206,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     return t.select(*items.columns, "rank").mapInArrow(place_all, schema + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """All documents in as few sequences of `capacity` tokens as minimum bin slack finds.
 
     docs: doc_id, text. One row per piece: doc_id, piece, start, length, ids_crc32 (, ids),
@@ -213,4 +214,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     one piece of the end id; null doc_ids and repeated rows are packed like any other; an empty
     table gives no rows; other columns are ignored.
     """
-    return pack(written(pieces(docs, path, capacity=capacity, ids=ids)), ["doc_id", "piece", "ids_crc32"], capacity)
+    return pack(written(pieces(docs, path, capacity=capacity, ids=ids, remember=remember)), ["doc_id", "piece", "ids_crc32"], capacity)
