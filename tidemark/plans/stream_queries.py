@@ -32,8 +32,8 @@ def stream_sliding_windows(spark, sf_dir):
 
 
 @query(f"""WITH {TICKS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY symbol ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS new_ FROM t),
- s AS (SELECT *, sum(new_) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM g)
- SELECT symbol, {stamp('min(ts)')} AS start, count(*) AS n, round(sum(price), 4) AS total FROM s GROUP BY symbol, id""")
+ s AS (SELECT *, sum(new_) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+ SELECT symbol, {stamp('min(ts)')} AS start, count(*) AS n, round(sum(price), 4) AS total FROM s GROUP BY symbol, session""")
 def stream_sessions(spark, sf_dir):
     return SB.sessions(_ticks(spark, sf_dir)).select("symbol", _at("start"), "n", F.round("total", 4).alias("total"))
 
