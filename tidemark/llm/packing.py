@@ -34,18 +34,22 @@ def _tokenizer(path: str | None):
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import pre_tokenizers
+
     tok = Tokenizer.from_file(path)
+    bare = Tokenizer(tok.model)  # for units, which are normalised and apart already
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     ends = np.zeros(tok.get_vocab_size(), bool)
     for token, i in tok.get_vocab().items():
         ends[i] = token.endswith(UNIT_END)
-    return tok, ends, {}, {}
+    return tok, bare, ends, {}
 
 
-def _unit_ids(tok, ends, units: list[str]):
+def _unit_ids(bare, ends, units: list[str]):
     """Ids of each unit as bytes. Many are encoded as one text and cut where a unit ends."""
     for i in range(0, len(units), 2000):
         part = units[i : i + 2000]
-        ids = np.array(tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        ids = np.array(bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
         stop = (np.flatnonzero(ends[ids]) + 1) * 4
         if len(stop) == len(part):
             raw, at = ids.tobytes(), 0
@@ -54,7 +58,7 @@ def _unit_ids(tok, ends, units: list[str]):
                 at = e
         else:
             for u in part:
-                yield u, np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+                yield u, np.array(bare.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encode(texts: list[str | None], path: str | None = None, remember: int = REMEMBER) -> list[bytes]:
@@ -63,7 +67,7 @@ def encode(texts: list[str | None], path: str | None = None, remember: int = REM
     The vocabulary's model never joins what white space separates, so the ids of a plain
     text are those of its words, of which most recur. Other texts go to the library whole.
     """
-    tok, ends, memo, unit_memo = _tokenizer(path)
+    tok, bare, ends, memo = _tokenizer(path)
     split: list[list[str] | None] = []
     for t in texts:
         if t and PLAIN.fullmatch(t) and "<|" not in t:
@@ -76,14 +80,11 @@ def encode(texts: list[str | None], path: str | None = None, remember: int = REM
         if len(memo) + len(new) > remember:
             memo.clear()
             new = words
-        units = {w: [w] if w.isalpha() else UNITS.findall(w) for w in new}
-        missing = list(set().union(*units.values()).difference(unit_memo))
-        if len(unit_memo) + len(missing) > remember:
-            unit_memo.clear()
-            missing = list(set().union(*units.values()))
-        unit_memo.update(_unit_ids(tok, ends, missing))
-        for w, us in units.items():
-            memo[w] = unit_memo[us[0]] if len(us) == 1 else b"".join(map(unit_memo.__getitem__, us))
+        mixed = {w: UNITS.findall(w) for w in new if not w.isalpha()}
+        units = new.difference(mixed).union(*mixed.values()).difference(memo)
+        memo.update(_unit_ids(bare, ends, list(units)))
+        for w, us in mixed.items():
+            memo[w] = b"".join(map(memo.__getitem__, us))
     odd = [t or "" for t, ws in zip(texts, split) if ws is None]
     whole = iter([np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(odd, add_special_tokens=False)])
     get = memo.__getitem__
