@@ -330,7 +330,7 @@ def nearest(
     id; a row is no neighbour of a query with its own id. A query asks the lists whose centroid,
     found by the graph, is at most `ratio` times as far as the nearest, most_lists at most, and
     more only where those cannot hold k candidates. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows of another length than the index's or with
+    non-finite components take no part, nor do rows of another length than most have or with
     a null id. The index is fitted to SAMPLE_ROWS vectors at most and holds every row; long
     lists are dealt over several tasks. Empty tables give no rows.
     """
@@ -338,12 +338,13 @@ def nearest(
         F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v")
     )
     all_rows, asked = pick(vectors), pick(queries)
-    centres = fit_centres(all_rows, "v", list_rows)
+    usual = all_rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not len(centres):
+    if usual is None:
         return all_rows.sparkSession.createDataFrame([], schema)
-    dims = centres.shape[1]
+    dims = usual["n"]
     all_rows, asked = (d.where(F.size("v") == dims) for d in (all_rows, asked))
+    centres = fit_centres(all_rows, "v", list_rows)
     graph = Graph(centres)
     lists = written(posting_lists(all_rows, centres, "id", "v"))
     # one row a centroid, MOST_CENTRES at most: the driver may know how long the lists are
