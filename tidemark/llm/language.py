@@ -7,11 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Bytes of a window; the state starts afresh in each, and every byte of a text is in one.
 WINDOW = 96
 HIDDEN = 6
 #: Bound on the labelled documents the network is trained on, per language.
 TRAIN_DOCS = 400
+#: Languages learned at most, the most frequent labels.
+MOST_LANGS = 1000
 STEPS, BATCH, RATE = 260, 96, 0.02
 
 
@@ -172,9 +176,9 @@ def fit(docs: DataFrame, lang: str = "lang", limit: int = TRAIN_DOCS) -> dict:
     ok = docs.where(F.col("text").rlike(r"\p{L}") & F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     r = F.xxhash64("doc_id", F.lit(3))
     # one random share per document, so that the window below sorts a bounded part of each language
-    n = ok.groupBy(lang).count()
+    n = written(ok.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(MOST_LANGS))
     at = Window.partitionBy(lang).orderBy("r", "doc_id", "text")
-    few = ok.select("doc_id", "text", F.col(lang).alias(lang), r.alias("r")).join(n, lang)
+    few = ok.select("doc_id", "text", F.col(lang).alias(lang), r.alias("r")).join(F.broadcast(n), lang)
     few = few.where(F.pmod(F.col("r"), F.lit(1 << 30)) <= (F.lit(4.0 * limit) / F.col("count") * (1 << 30)))
     few = few.withColumn("k", F.row_number().over(at)).where(F.col("k") <= limit)
     rows = few.select("text", lang, "k").orderBy(lang, "k").collect()
