@@ -73,6 +73,13 @@ def test_waves(spark):
     assert abs(R.sine_wave(spark, 4, 2, 1, 5, 1, 0).orderBy("i").collect()[1].value - 6) < 1e-12
 
 
+def test_bars_from_closes(spark):
+    d = spark.createDataFrame([("S", [10.0, 12.0, 11.0])], "symbol string, closes array<double>")
+    got = R.bars_from_closes(d, 5).orderBy("ts").collect()
+    assert [(r.open, r.high, r.low, r.close) for r in got] == [(10, 10, 10, 10), (10, 12, 10, 12), (12, 12, 11, 11)]
+    assert got[2].ts == datetime(2024, 1, 1, 0, 10)
+
+
 def test_sinks(spark, tmp_path):
     b = spark.sql("SELECT 'O:A/B' AS symbol, timestamp_ntz'2025-01-02 09:30:00' AS ts, 1.005D AS open, 2D AS high, 0.5D AS low, 1.125D AS close, 10L AS volume, 1.23456D AS wap, false AS manufactured")
     b = b.unionByName(b.withColumn("ts", F.expr("ts + interval 1 day")))

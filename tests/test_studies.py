@@ -103,3 +103,10 @@ def test_search_is_one_job_a_generation_and_repeats(spark):
     assert a == b and a[0][1] >= a[-1][1]
     n = {r.genome: r.trades for r in search.evaluate(spark, bars, search.genomes(4)).collect()}
     assert set(n) == {0, 1, 2, 3}
+
+
+def test_student_t_tail(spark):
+    want = {(2.776445, 4): 0.05, (2.085963, 20): 0.05, (1.0, 1): 0.5, (1.959964, 500): 0.05, (0.0, 7): 1.0}
+    d = spark.createDataFrame([(t, n) for t, n in want], "t double, n int")
+    got = {(r.t, r.n): r.p for r in d.select("t", "n", risk.student_t_tail(F.col("t"), F.col("n")).alias("p")).collect()}
+    assert all(got[k] == pytest.approx(p, abs=1e-5) for k, p in want.items())

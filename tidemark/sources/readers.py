@@ -151,3 +151,13 @@ def triangle_wave(spark: SparkSession, low: float, high: float, cycles: int, n:
 def sine_wave(spark: SparkSession, n: int, p1: float, p2: float, p3: float, p4: float, p5: float) -> DataFrame:
     angle = F.col("id") / n * p1 * F.pi() * p2 + p5
     return spark.range(n).select(F.col("id").cast("int").alias("i"), (p3 + p4 * F.sin(angle)).alias("value"))
+
+
+def bars_from_closes(closes: DataFrame, minutes: int = 1440, start: str = "2024-01-01 00:00:00") -> DataFrame:
+    """symbol and an array of closes -> bars a step apart: each opens at the close before it (the first
+    at its own) and spans both prices; wap is the close, volume and count 1."""
+    d = closes.select("symbol", "closes", F.posexplode("closes").alias("i", "close"))
+    before = F.coalesce(F.get("closes", F.col("i") - 1), F.col("close"))
+    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("i") * minutes).cast("int"))
+    d = d.select("symbol", at.alias("ts"), before.alias("open"), "close")
+    return d.withColumns({"high": F.greatest("open", "close"), "low": F.least("open", "close"), "wap": F.col("close"), "volume": F.lit(1), "count": F.lit(1)})
