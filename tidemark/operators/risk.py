@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,15 +74,9 @@ def dollar_columns(trades: DataFrame) -> DataFrame:
 def student_t_tail(t, df):
     """Two-sided p of Student's t: Simpson's rule over the density for up to 200 degrees of freedom,
     the normal tail beyond. Vectorised over the few rows a test has."""
-    import math
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     from ..functions.scalars import normal_cdf
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def exact(tt: pd.Series, nn: pd.Series) -> pd.Series:
         out = []
         for x, n in zip(tt.abs(), nn):
