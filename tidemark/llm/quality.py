@@ -265,13 +265,14 @@ def thresholds(scored: DataFrame, keep: float) -> DataFrame:
     return t.where((F.col("n") >= LEAST_DOCS) | (F.col("lkey") == "")).select("lkey", "threshold")
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.99, slack: float = 1.05, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.99, slack: float = 1.05, doubt: float = 1.0, order: int = ORDER) -> DataFrame:
     """docs (doc_id, text, lang, ...) with n_bytes, perplexity, threshold and kept.
 
     Trusted text: all documents that labels (doc_id, quality, toxic) call good and not toxic. A
     fifth of them, by the hash of doc_id, is not trained on and sets the thresholds, for the
     model knows its own text too well. A document is rejected if its perplexity exceeds `slack`
-    times the threshold of its language: the quantile `keep` of those perplexities there.
+    times the threshold of its language: the quantile `keep` of those perplexities there. A short
+    text says little, so the logarithm of its limit is higher by doubt / sqrt(bytes).
 
     Null and empty texts have no perplexity and are rejected; null lang is a language of its
     own; a null doc_id is never trusted but scored; repeated rows are scored each; a doc_id that
@@ -300,6 +301,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.99, slack: floa
     heads = heads.withColumn("lkey", F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("n")))
     top = every.first()
     heads = heads.join(cut.where("lkey <> ''"), "lkey", "left").withColumn("threshold", F.coalesce("threshold", F.lit(top[0] if top else None).cast("double")))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold") * F.lit(slack), F.lit(True))
+    most = F.col("threshold") * F.lit(slack) * F.exp(F.lit(doubt) / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= most, F.lit(True))
     heads = written(heads.select("__row", "n_bytes", "perplexity", "threshold", kept.alias("kept")))
     return base.join(heads, "__row").select(*names, "n_bytes", "perplexity", "threshold", "kept")
