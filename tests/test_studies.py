@@ -105,6 +105,15 @@ def test_search_is_one_job_a_generation_and_repeats(spark):
     assert set(n) == {0, 1, 2, 3}
 
 
+def test_islands_and_sharing(spark):
+    bars = spark.range(300).selectExpr("if(id % 2 = 0, 'a', 'b') as symbol", "cast(id div 2 as int) as i", "100 + 10 * sin(id / 15D) as close")
+    a, b = (search.islands(spark, bars, count=2, size=6, generations=2, elite=2) for _ in range(2))
+    assert a == b and len(a) == 2 and a[0][1] >= a[1][1]
+    p, q = {"fast": 2, "slow": 10, "polarity": 1}, {"fast": 20, "slow": 60, "polarity": -1}
+    assert search.distance(p, q) == 1 and search.distance(p, p) == 0
+    assert search.shared([(p, 1.0), (dict(p), 1.0), (q, 1.0)]) == [(p, 0.5), (p, 0.5), (q, 1.0)]
+
+
 def test_student_t_tail(spark):
     want = {(2.776445, 4): 0.05, (2.085963, 20): 0.05, (1.0, 1): 0.5, (1.959964, 500): 0.05, (0.0, 7): 1.0}
     d = spark.createDataFrame([(t, n) for t, n in want], "t double, n int")

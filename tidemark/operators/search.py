@@ -56,3 +56,36 @@ def evolve(spark: SparkSession, bars: DataFrame, size: int = 24, generations: in
         parents = [p for p, _ in best]
         population = parents + [mutate(cross(rng.choice(parents), rng.choice(parents), rng), rng) for _ in range(size - elite)]
     return best
+
+
+def distance(a: dict, b: dict) -> float:
+    """Of two genomes, from 0 to 1: the mean of their fields' differences over the fields' ranges."""
+    return sum(abs(a[f] - b[f]) / (hi - lo) for f, (lo, hi) in FIELDS.items()) / len(FIELDS)
+
+
+def shared(scored: list[tuple[dict, float]], radius: float = 0.1) -> list[tuple[dict, float]]:
+    """Fitness sharing: a score divided by how crowded a genome's neighbourhood is."""
+    crowd = lambda p: sum(max(0.0, 1 - distance(p, q) / radius) for q, _ in scored)
+    return [(p, s / crowd(p) if s > 0 else s) for p, s in scored]
+
+
+def islands(spark: SparkSession, bars: DataFrame, count: int = 3, size: int = 12, generations: int = 3, elite: int = 3, seed: int = 1) -> list[tuple[dict, float]]:
+    """Populations apart, whose best genome moves to the next island each generation. All islands of a
+    generation are one job; the best of all, by shared fitness, come back."""
+    rng = random.Random(seed)
+    groups = [genomes(size, seed + k) for k in range(count)]
+    ranked: list[list[tuple[dict, float]]] = []
+    for _ in range(generations):
+        every = [p for g in groups for p in g]
+        scores = {r.genome: r.score for r in evaluate(spark, bars, every).collect()}
+        ranked = []
+        for k, g in enumerate(groups):
+            s = shared([(p, scores.get(k * size + j, float("-inf"))) for j, p in enumerate(g)])
+            ranked.append(sorted(s, key=lambda x: (-x[1], sorted(x[0].items())))[:elite])
+        moved = [ranked[k - 1][0][0] for k in range(count)]
+        groups = []
+        for k in range(count):
+            parents = [p for p, _ in ranked[k]]
+            young = [mutate(cross(rng.choice(parents), rng.choice(parents), rng), rng) for _ in range(size - len(parents) - 1)]
+            groups.append([*parents, moved[k], *young])
+    return sorted((x for r in ranked for x in r), key=lambda x: (-x[1], sorted(x[0].items())))[:elite]

@@ -44,6 +44,7 @@ def _register() -> None:
         QUERIES[f"ind_{name}"] = lambda spark, sf_dir, ind=ind: _rounded(I.compute(hourly(spark, sf_dir), ind), ind.outputs)
         SQL[f"ind_{name}"] = _chain(ind)
     QUERIES["ind_parabolic_sar"] = lambda spark, sf_dir: _rounded(I.parabolic_sar(hourly(spark, sf_dir)), ["sar"])
+    QUERIES["ind_trailing_reverse"] = lambda spark, sf_dir: _rounded(I.trailing_reverse(hourly(spark, sf_dir)), ["stop", "side"])
     QUERIES["ind_zigzag"] = lambda spark, sf_dir: _rounded(I.zigzag(hourly(spark, sf_dir)), ["pivot", "price"])
 
 
