@@ -26,9 +26,7 @@ _B = f"""{bars_sql(60)}, s AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PA
 
 
 def _deltas(spark, sf_dir):
-    b = hourly(spark, sf_dir)
-    v = compute(b, catalogue()["sma"]).join(b.select("symbol", "i", "close"), ["symbol", "i"])
-    return backtest.switches(v, "sma")
+    return backtest.switches(compute(hourly(spark, sf_dir), catalogue()["sma"], keep=("close",)), "sma")
 
 
 def _trades(spark, sf_dir):
