@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from tidemark.llm.common import written
 
+from .helpers import ROWS, documents
 from .test_jaccard import plain
 from .test_packing import check as check_packing
 
@@ -72,3 +73,20 @@ def test_packing_of_what_is_left(spark, steps):
     mine = Counter(tuple(r[c] for c in cols) for r in steps[5].collect())
     run = Counter(tuple(r[c] for c in cols) for r in corpus_pipeline.run(spark, SF).collect())
     assert mine == run
+
+
+@pytest.mark.parametrize("rows", [ROWS, [], ROWS[1:4], [(None, None, None, None)] * 2])
+def test_every_stage_takes_awkward_and_empty_tables(spark, rows):
+    docs = written(documents(spark, rows))
+    for name, f in corpus_pipeline.STAGES:
+        out = written(f(spark, docs, "/root/testdata/sf0.001"))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        assert out.count() <= 2 * max(1, len(rows)) + 60
+
+
+def test_stages_one_after_the_other_from_nothing(spark):
+    docs = written(documents(spark, []))
+    for _, f in corpus_pipeline.STAGES:
+        docs = written(f(spark, docs, "/root/testdata/sf0.001"))
+    assert docs.count() == 0
