@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session sets none (tests on one machine) /tmp/checkpoints serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    name = f"tidemark-{uuid.uuid4().hex}"
+    if base:
+        return f"{base.rstrip('/')}/{name}"
+    atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
+    return f"file:///tmp/checkpoints/{name}"
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, as its worker lives on beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
 
 
 def written(df: DataFrame) -> DataFrame:

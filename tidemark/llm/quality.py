@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 ORDER = 5
 #: Text bytes that one chunk of documents holds, about.
 CHUNK_BYTES = 48 << 20
 #: Bytes whose n-grams are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 #: A sum of trusted ids up to this many rows is broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 #: Documents of a language needed for a quantile of its own; fewer use that of all languages.
@@ -77,13 +77,15 @@ def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             for at in range(0, b.num_rows, 1000):
                 for part in _batches([t.encode() for t in b.column(0).slice(at, 1000).to_pylist() if t]):
                     waiting.append(np.unique(_grams(part, order)[0], return_counts=True))
-                    if sum(len(x[0]) for x in waiting) > 2_000_000:
+                    if sum(len(x[0]) for x in waiting) > 800_000:
                         keys, sums = _merge(np.concatenate([keys, *(x[0] for x in waiting)]), np.concatenate([sums, *(x[1] for x in waiting)]))
                         waiting = []
         if waiting:
             keys, sums = _merge(np.concatenate([keys, *(x[0] for x in waiting)]), np.concatenate([sums, *(x[1] for x in waiting)]))
         for i in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(sums[i : i + 100_000])], ["g", "c"])
+        del keys, sums, waiting
+        give_back()
 
     return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -165,12 +167,14 @@ def perplexities(docs: DataFrame, tables: list[dict], order: int = ORDER) -> Dat
                     got = seen.setdefault(int(c), [])
                     for some in _batches([texts[i] for i in np.flatnonzero(chunks == c)]):
                         got.append(np.unique(_grams(some, order)[0]))
-                    if sum(map(len, got)) > 4_000_000:
+                    if sum(map(len, got)) > 1_500_000:
                         got[:] = [np.unique(np.concatenate(got))]
                 for c in [c for c in seen if c < chunks.max()]:  # rows come in order: those are complete
                     yield from flush(c, seen.pop(c))
         for c, got in seen.items():
             yield from flush(c, got)
+        seen.clear()
+        give_back()
 
     def flush(chunk, got):
         g = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
@@ -202,15 +206,16 @@ def perplexities(docs: DataFrame, tables: list[dict], order: int = ORDER) -> Dat
         ids, n, s = (np.concatenate(x) if x else np.zeros(0) for x in (ids, n, s))
         with np.errstate(invalid="ignore", divide="ignore"):
             per = np.where(n > 0, np.exp(-s / n), np.nan)
+        give_back()
         return pd.DataFrame({"id": ids.astype(np.int64), "n_bytes": n.astype(np.int64), "perplexity": per})
 
     out = _packs(spread).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "id long, n_bytes long, perplexity double")
     return out.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.col("perplexity")))
 
 
-def _unpack(raw: bytes, sizes) -> list[bytes]:
-    ends = np.cumsum(sizes).tolist()
-    return [raw[e - int(n) : e] for e, n in zip(ends, sizes)]
+def _unpack(raw: bytes, sizes) -> list[memoryview]:
+    ends, view = np.cumsum(sizes).tolist(), memoryview(raw)
+    return [view[e - int(n) : e] for e, n in zip(ends, sizes)]
 
 
 def _packs(spread: DataFrame) -> DataFrame:
@@ -237,6 +242,8 @@ def _packs(spread: DataFrame) -> DataFrame:
                     size += len(t)
         if held[0]:
             yield flush(now, *held, z)
+        del held
+        give_back()
 
     def flush(chunk, ids, texts, z):
         row = {"chunk": [chunk], "ids": [ids], "sizes": [[len(t) for t in texts]], "blob": [z.compress(b"".join(texts))]}
