@@ -86,6 +86,25 @@ def contract_order(spark, sf_dir):
     return top.select("id", "n", F.row_number().over(Window.orderBy("root", "kind", "day", "strike", "id", "n")).cast("long").alias("pos"))
 
 
+@query(f"""WITH {_C} SELECT id, n, row_number() OVER (ORDER BY root NULLS FIRST, kind, day NULLS FIRST, strike NULLS FIRST, id NULLS FIRST, n NULLS FIRST) AS pos FROM c""")
+def contract_positions(spark, sf_dir):
+    """The place of every contract in the total order of `contract_order`, which reports the first hundred.
+
+    Rows are counted by cell (root, kind, day); the cells before a row's own and its place inside
+    make its position, so no task sorts the table."""
+    c, cell = _contracts(spark, sf_dir), ["root", "kind", "day"]
+    counts = c.groupBy(*cell).agg(F.count("*").alias("rows_"))
+    before = lambda w: F.coalesce(F.sum("rows_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("root", "kind").agg(F.sum("rows_").alias("rows_"))
+    groups = groups.select(F.col("root").alias("r"), F.col("kind").alias("k"), before(Window.orderBy("root", "kind")).alias("ahead"))
+    cells = counts.withColumn("earlier", before(Window.partitionBy("root", "kind").orderBy("day")))
+    cells = cells.join(F.broadcast(groups), F.col("root").eqNullSafe(F.col("r")) & F.col("kind").eqNullSafe(F.col("k")))
+    cells = cells.select("r", "k", F.col("day").alias("d"), (F.col("ahead") + F.col("earlier")).alias("start"))
+    same = F.col("root").eqNullSafe(F.col("r")) & F.col("kind").eqNullSafe(F.col("k")) & F.col("day").eqNullSafe(F.col("d"))
+    own = F.row_number().over(Window.partitionBy(*cell).orderBy("strike", "id", "n"))
+    return c.withColumn("own", own).join(cells, same).select("id", "n", (F.col("start") + F.col("own")).alias("pos"))
+
+
 @query(f"""WITH {_C}, e AS (SELECT root, count(DISTINCT (kind, strike, day)) AS expected FROM c GROUP BY root), a AS (SELECT root, count(DISTINCT (kind, strike, day)) AS actual FROM c WHERE n <= 5 GROUP BY root)
  SELECT root, expected, actual, expected - actual AS missing FROM e JOIN a USING (root) WHERE expected > actual ORDER BY missing DESC, root LIMIT 5""")
 def completeness_report(spark, sf_dir):
