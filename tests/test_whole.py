@@ -1,6 +1,10 @@
 """Queries that take every row, where a cut would leave some out."""
 
+import numpy as np
+import pytest
+
 from tidemark.plans import registry
+from tidemark.plans.indicator_queries import hourly
 
 SF = "/root/testdata/sf0.01"
 
@@ -20,3 +24,30 @@ def test_every_contract_has_a_position(spark, tmp_path):
 def test_the_first_hundred_positions_are_the_report(spark):
     key = lambda d: sorted((r.pos, r.id, r.n) for r in d.collect())
     assert key(run(spark, "contract_positions").where("pos <= 100")) == key(run(spark, "contract_order"))
+
+
+def closes(spark):
+    d = hourly(spark, SF).select("symbol", "i", "close").toPandas().sort_values(["symbol", "i"])
+    return {k: g["close"].to_numpy() for k, g in d.groupby("symbol")}
+
+
+def test_every_bar_enters_the_spectrum(spark):
+    got = {(r.symbol, r.block, r.k): r.magnitude for r in run(spark, "fourier_blocks").collect()}
+    want = {}
+    for symbol, x in closes(spark).items():
+        assert len(x) > 64
+        for b in range(-(-len(x) // 64)):
+            want |= {(symbol, b, k): v for k, v in enumerate(np.abs(np.fft.rfft(x[64 * b : 64 * b + 64], 64)))}
+    assert got == pytest.approx(want, abs=1e-4)
+    report = {(r.symbol, 0, r.k): r.magnitude for r in run(spark, "fourier_magnitudes").collect()}
+    assert report == {p: v for p, v in got.items() if p[1] == 0}
+
+
+def test_every_bar_enters_the_haar_details(spark):
+    got = {r.symbol: (r.haar, r.fine) for r in run(spark, "haar_all_bars").collect()}
+    for symbol, x in closes(spark).items():
+        assert len(x) > 512
+        q = np.concatenate([x, np.repeat(x[-1], -len(x) % 4)]).reshape(-1, 4)
+        p = q.reshape(-1, 2)
+        want = (q[:, :2].sum() - q[:, 2:].sum(), (p[:, 0] - p[:, 1]).sum())
+        assert got[symbol] == pytest.approx(want, abs=1e-3)

@@ -117,6 +117,19 @@ def haar_details(spark, sf_dir):
     return s.groupBy("symbol").agg(side(F.col("i") % 4 < 2).alias("haar"), side(F.col("i") % 2 == 0).alias("fine"))
 
 
+@query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, row_number() OVER (PARTITION BY symbol ORDER BY ts) = count(*) OVER (PARTITION BY symbol) AS final FROM b)
+ SELECT symbol, round(sum(close * CASE WHEN final THEN CASE i % 4 WHEN 0 THEN 0 WHEN 2 THEN -2 ELSE -1 END WHEN i % 4 < 2 THEN 1 ELSE -1 END), 4) AS haar,
+  round(sum(close * CASE WHEN i % 2 = 1 THEN -1 WHEN final THEN 0 ELSE 1 END), 4) AS fine FROM s GROUP BY symbol""")
+def haar_all_bars(spark, sf_dir):
+    """The details of every quad and pair; the last close is repeated until the last quad is full."""
+    s = hourly(spark, sf_dir).withColumn("final", F.col("i") + 1 == F.count("*").over(Window.partitionBy("symbol")))
+    i, total = F.col("i"), lambda w: F.round(F.sum(F.col("close") * w), 4)
+    last = F.when(i % 4 == 0, 0).when(i % 4 == 2, -2).otherwise(-1)
+    quad = F.when(F.col("final"), last).when(i % 4 < 2, 1).otherwise(-1)
+    pair = F.when(i % 2 == 1, -1).when(F.col("final"), 0).otherwise(1)
+    return s.groupBy("symbol").agg(total(quad).alias("haar"), total(pair).alias("fine"))
+
+
 @query(f"""WITH {bars_sql(60)}, m AS (SELECT symbol, ts, close, high, low, max(high) OVER w AS hh, min(low) OVER w AS ll, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM b
    WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 63 PRECEDING AND CURRENT ROW))
  SELECT symbol, {stamp()} AS ts, round(ll + (hh - ll) * 0.25, 6) AS level_2, round(ll + (hh - ll) * 0.5, 6) AS level_4, round(ll + (hh - ll) * 0.75, 6) AS level_6 FROM m WHERE k >= 64""")

@@ -359,6 +359,17 @@ def fourier_magnitudes(spark, sf_dir):
     return x.groupBy("symbol", "k").agg(F.round(F.sqrt(part(F.cos) + part(F.sin)), 4).alias("magnitude"))
 
 
+@query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), x AS (SELECT symbol, close, i // 64 AS block, i % 64 AS j FROM s), f AS (SELECT unnest(range(0, 33)) AS k)
+ SELECT symbol, block, k, round(sqrt(pow(sum(close * cos(2 * pi() * k * j / 64)), 2) + pow(sum(close * sin(2 * pi() * k * j / 64)), 2)), 4) AS magnitude FROM x, f GROUP BY symbol, block, k""")
+def fourier_blocks(spark, sf_dir):
+    """The spectrum of every consecutive block of 64 bars, so that all bars enter; the last block is filled with zeros."""
+    x = hourly(spark, sf_dir).select("symbol", "close", F.expr("i div 64").alias("block"), (F.col("i") % 64).alias("j"))
+    x = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"))))
+    a = 2 * 3.141592653589793 * F.col("k") * F.col("j") / 64
+    part = lambda f: F.pow(F.sum(F.col("close") * f(a)), F.lit(2.0))
+    return x.groupBy("symbol", "block", "k").agg(F.round(F.sqrt(part(F.cos) + part(F.sin)), 4).alias("magnitude"))
+
+
 @query("""SELECT (SELECT count(*) FROM events) AS n, round(sum(value), 4) AS total, round(var_pop(value), 4) AS variance FROM events""")
 def reduction(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.var_pop("value"), 4).alias("variance"))
