@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tidemark.operators import backtest
 from tidemark.plans import registry
 from tidemark.plans.indicator_queries import hourly
 
@@ -51,3 +52,24 @@ def test_every_bar_enters_the_haar_details(spark):
         p = q.reshape(-1, 2)
         want = (q[:, :2].sum() - q[:, 2:].sum(), (p[:, 0] - p[:, 1]).sum())
         assert got[symbol] == pytest.approx(want, abs=1e-3)
+
+
+def test_windows_reach_each_symbols_last_bars(spark):
+    sizes = {"a": 40, "b": 17, "c": 8, "d": 9}
+    d = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "symbol string, i int")
+    got = {(r.symbol, r.window, r.part, r.i) for r in backtest.in_all_windows(d, 6, 3, 4).collect()}
+    want = {
+        (s, k, "train" if i < b else "test", i) for s, n in sizes.items() for k, (a, b, c) in enumerate(backtest.walk_forward(n, 6, 3, 4)) for i in range(a, c)
+    }
+    assert got == want and ("a", 7, "test", 36) in got
+
+
+def test_walk_forward_and_folds_use_every_symbols_own_bars(spark):
+    x = closes(spark)
+    got = {r.symbol: r.windows for r in run(spark, "walk_forward_score_all").collect()}
+    assert got == {s: len(backtest.walk_forward(len(c), 252, 63, 63)) for s, c in x.items()}
+    assert all(v > 5 for v in got.values())
+    folds = {(r.symbol, r.fold): (r.train, r.test) for r in run(spark, "purged_folds_all").collect()}
+    for s, c in x.items():
+        for k, (a, b, t, z) in enumerate(backtest.expanding_folds(len(c), 5, 5)):
+            assert folds[s, k] == pytest.approx((c[a:b].mean(), c[t:z].mean()), abs=1e-5)

@@ -75,6 +75,18 @@ def in_windows(rows: DataFrame, windows: list[tuple[int, int, int]], index: str
     return d.withColumn("window", F.col("__w.window")).withColumn("part", part).drop("__w")
 
 
+def in_all_windows(rows: DataFrame, train: int, test: int, step: int, index: str = "i") -> DataFrame:
+    """rows, once for each walk-forward window and part that holds them: the windows of `walk_forward`
+    for each symbol's own number of rows. A row's windows follow from its index; none are joined."""
+    i, n = F.col(index), F.count("*").over(Window.partitionBy("symbol"))
+    d = rows.withColumn("__n", n)
+    first = F.greatest(F.lit(0), F.floor((i - (train + test)) / step).cast("int") + 1)
+    final = F.least(F.floor(i / step), F.floor((F.col("__n") - train - test) / step)).cast("int")
+    d = d.withColumn("window", F.explode(F.when(final >= first, F.sequence(first, final))))
+    part = F.when(i < F.col("window") * step + train, "train").otherwise("test")
+    return d.withColumn("part", part).drop("__n")
+
+
 def expanding_folds(n: int, folds: int = 5, purge: int = 0) -> list[tuple[int, int, int, int]]:
     """(train_start, train_end, test_start, test_end): train grows, tests half a fold; purge rows go between."""
     size = n // (folds + 1)

@@ -9,9 +9,9 @@ from ..functions import scalars as S
 from ..operators import backtest
 from ..session import table
 from .bar_queries import _bars
-from .define import bars_sql, query, stamp
+from .define import SQL, bars_sql, query, stamp
 from .indicator_queries import hourly
-from .study_queries import _WF, _WF_SQL, _signals, _T, _cdf_sql
+from .study_queries import _WF, _WF_SQL, _signals, _T, _cdf_sql, _whole_sql
 
 _P = f"""{bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), w(window_, a, z, c) AS (VALUES {_WF_SQL}),
  j AS (SELECT symbol, window_, CASE WHEN i < z THEN 'train' ELSE 'test' END AS part, close, i FROM s JOIN w ON i >= a AND i < c),
@@ -19,7 +19,14 @@ _P = f"""{bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol
 
 
 def _windows(spark, sf_dir):
-    d = backtest.in_windows(hourly(spark, sf_dir), _WF)
+    return _performance(backtest.in_windows(hourly(spark, sf_dir), _WF))
+
+
+def _all_windows(spark, sf_dir):
+    return _performance(backtest.in_all_windows(hourly(spark, sf_dir), 252, 63, 63))
+
+
+def _performance(d):
     perf = lambda part: F.max_by("close", F.when(F.col("part") == part, F.col("i"))) / F.min_by("close", F.when(F.col("part") == part, F.col("i"))) - 1
     return d.groupBy("symbol", "window").agg(perf("train").alias("train"), perf("test").alias("test"))
 
@@ -29,7 +36,11 @@ def _windows(spark, sf_dir):
   round(0.4 * CASE WHEN test > 0 THEN 1.0 ELSE 0.0 END + 0.3 / (1 + sigma) + 0.2 * greatest(0.0, 1 - overfit / 100) + 0.1 * least(1.0, greatest(0.0, test)), 6) AS score FROM r""")
 def robustness(spark, sf_dir):
     """Mean performance, its spread, how often training looked better, and a composite."""
-    r = _windows(spark, sf_dir).groupBy("symbol").agg(
+    return _robustness(_windows(spark, sf_dir))
+
+
+def _robustness(p):
+    r = p.groupBy("symbol").agg(
         F.avg("train").alias("train"), F.avg("test").alias("test"), F.stddev_pop("test").alias("sigma"), (F.avg(F.when(F.col("train") > F.col("test"), 1.0).otherwise(0.0)) * 100).alias("overfit")
     )
     train, test, sigma, over = (F.col(c) for c in ("train", "test", "sigma", "overfit"))
@@ -40,10 +51,26 @@ def robustness(spark, sf_dir):
 
 @query(f"""WITH {_P}, m AS (SELECT *, test - 2 * abs(train - test) AS merit FROM p) SELECT symbol, arg_max(window_, (merit, -window_)) AS best, round(max(merit), 6) AS merit FROM m GROUP BY symbol""")
 def model_choice(spark, sf_dir):
-    m = _windows(spark, sf_dir).withColumn("merit", F.col("test") - 2 * F.abs(F.col("train") - F.col("test")))
+    return _model_choice(_windows(spark, sf_dir))
+
+
+def _model_choice(p):
+    m = p.withColumn("merit", F.col("test") - 2 * F.abs(F.col("train") - F.col("test")))
     return m.groupBy("symbol").agg(F.max_by("window", F.struct("merit", -F.col("window"))).alias("best"), F.round(F.max("merit"), 6).alias("merit"))
 
 
+@query(_whole_sql(SQL["robustness"]))
+def robustness_all(spark, sf_dir):
+    """`robustness` over the windows of all bars, not of the first 600."""
+    return _robustness(_all_windows(spark, sf_dir))
+
+
+@query(_whole_sql(SQL["model_choice"]))
+def model_choice_all(spark, sf_dir):
+    """`model_choice` among the windows of all bars, not of the first 600."""
+    return _model_choice(_all_windows(spark, sf_dir))
+
+
 @query(f"""WITH {bars_sql(1440)}, f AS (SELECT symbol, ts, close, close / avg(close) OVER w - 1 AS trend, stddev_samp(close) OVER w / avg(close) OVER w AS vol FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
  SELECT symbol, {stamp()} AS ts, CASE WHEN trend > 0.08 AND vol < 0.3 THEN 'bull' WHEN trend < -0.08 THEN 'defensive' ELSE 'neutral' END AS regime,
   CASE WHEN trend > 0.08 AND vol < 0.3 THEN 0.9 WHEN trend < -0.08 THEN 0.4 ELSE 0.65 END::DOUBLE AS exposure FROM f""")

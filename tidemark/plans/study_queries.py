@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import backtest, insider, markov, risk
 from ..operators.indicators import catalogue, compute
 from ..session import table
-from .define import bars_sql, query
+from .define import SQL, bars_sql, query
 from .indicator_queries import hourly
 
 _B = f"""{bars_sql(60)}, s AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i FROM b),
@@ -110,7 +110,10 @@ _WF_SQL = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(_WF))
   round(0.5 * median(perf) FILTER (part = 'test') + 0.2 * avg(perf) FILTER (part = 'test') + 0.1 * avg(CASE WHEN perf > 0 THEN 1.0 ELSE 0.0 END) FILTER (part = 'test')
    + 0.2 * least(0.0, min(perf) FILTER (part = 'test')) - 0.3 * greatest(0.0, avg(perf) FILTER (part = 'train') - avg(perf) FILTER (part = 'test')), 6) AS score FROM p GROUP BY symbol""")
 def walk_forward_score(spark, sf_dir):
-    d = backtest.in_windows(hourly(spark, sf_dir), _WF)
+    return _walk_forward_score(backtest.in_windows(hourly(spark, sf_dir), _WF))
+
+
+def _walk_forward_score(d):
     p = d.groupBy("symbol", "window", "part").agg((F.max_by("close", "i") / F.min_by("close", "i") - 1).alias("perf"))
     test = F.when(F.col("part") == "test", F.col("perf"))
     gap = F.avg(F.when(F.col("part") == "train", F.col("perf"))) - F.avg(test)
@@ -120,6 +123,18 @@ def walk_forward_score(spark, sf_dir):
     return p.groupBy("symbol").agg(F.count(test).alias("windows"), r(F.median(test), "med"), r(F.avg(test), "mean"), r(gap, "gap"), r(score, "score"))
 
 
+def _whole_sql(sql: str) -> str:
+    """The same over the windows of each symbol's own number of bars."""
+    own = "w AS (SELECT symbol AS sy, CAST(a // 63 AS INT) AS window_, a, a + 252 AS z, a + 315 AS c FROM (SELECT symbol, unnest(range(0, count(*) - 314, 63)) AS a FROM s GROUP BY symbol))"
+    return sql.replace(f"w(window_, a, z, c) AS (VALUES {_WF_SQL})", own).replace("JOIN w ON i >= a", "JOIN w ON sy = symbol AND i >= a")
+
+
+@query(_whole_sql(SQL["walk_forward_score"]))
+def walk_forward_score_all(spark, sf_dir):
+    """`walk_forward_score` over the windows of all bars, not of the first 600."""
+    return _walk_forward_score(backtest.in_all_windows(hourly(spark, sf_dir), 252, 63, 63))
+
+
 _FOLDS = backtest.expanding_folds(600, 5, 5)
 _FOLDS_SQL = ", ".join(f"({k}, {b}, {c}, {d})" for k, (_, b, c, d) in enumerate(_FOLDS))
 
@@ -136,6 +151,20 @@ def purged_folds(spark, sf_dir):
     )
 
 
+@query(f"""WITH {bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), m AS (SELECT symbol AS sy, count(*) AS n, count(*) // 6 AS size FROM s GROUP BY symbol),
+ w AS (SELECT sy, CAST(k AS INT) AS fold, size * (k + 1) AS te, size * (k + 1) + 5 AS ts_, least(n, size * (k + 1) + 5 + size // 2) AS tz FROM m, (SELECT unnest(range(0, 5)) AS k)),
+ p AS (SELECT symbol, fold, avg(close) FILTER (i < te) AS train, avg(close) FILTER (i >= ts_ AND i < tz) AS test FROM s JOIN w ON sy = symbol GROUP BY symbol, fold)
+ SELECT symbol, fold, round(train, 6) AS train, round(test, 6) AS test FROM p""")
+def purged_folds_all(spark, sf_dir):
+    """`purged_folds` with folds of each symbol's own number of bars, not of the first 600."""
+    d = hourly(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("size", F.expr("n div 6"))
+    d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("end", F.col("size") * (F.col("fold") + 1))
+    i, start = F.col("i"), F.col("end") + 5
+    tested = (i >= start) & (i < F.least("n", start + F.expr("size div 2")))
+    mean = lambda c, n: F.round(F.avg(F.when(c, F.col("close"))), 6).alias(n)
+    return d.groupBy("symbol", "fold").agg(mean(i < F.col("end"), "train"), mean(tested, "test"))
+
+
 @query("""WITH a AS (SELECT event_id, [sign(value - 20), sign(user_id % 3 - 1), sign(event_id % 5 - 2)] AS s FROM events)
  SELECT event_id, CAST(list_sum(s) AS INT) AS total, CAST(sign(list_sum(s)) AS INT) AS majority, CAST(CASE WHEN s[1] = s[2] AND s[2] = s[3] THEN s[1] ELSE 0 END AS INT) AS consensus,
   CAST(round(s[1] * 0.5 + s[2] * 0.25 + s[3] * 0.75, 0) AS INT) AS weighted FROM a""")
