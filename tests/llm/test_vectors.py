@@ -107,6 +107,18 @@ def test_neighbours_of_awkward_rows(spark):
     assert vectors.nearest(frame(spark, []), frame(spark, []), "vec_id", "embedding").collect() == []
 
 
+@pytest.mark.parametrize("n,times,list_rows", [(12, 2, 1000), (120, 3, 1000), (120, 3, 20)])
+def test_neighbours_where_every_row_is_repeated(spark, n, times, list_rows):
+    rows = clustered(11, n)[: n // 2] + [(1000 + i, v) for i, v in clustered(12, n)[: n - n // 2]]
+    df = frame(spark, [r for r in rows for _ in range(times)])
+    got = vectors.nearest(df, df, "vec_id", "embedding", list_rows=list_rows).collect()
+    ids = [i for i, _ in rows]
+    want = brute_nearest(rows, ids, 10)
+    assert len(got) == len(want) and len({(r.query_id, r.vec_id) for r in got}) == len(want)
+    mine = {(r.query_id, r.vec_id) for r in got}
+    assert sum((q, i) in mine for q, _, i, _ in want) >= 0.95 * len(want)
+
+
 def test_recall_on_the_table(spark):
     """With the parameters of the query."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

@@ -327,7 +327,8 @@ def nearest(
     """The k nearest of vectors to each query by Euclidean distance in double precision.
 
     Both frames: id_col, vec_col. Returns query_id, rank, vec_id, score; ties go to the smaller
-    id; a row is no neighbour of a query with its own id. A query asks the lists whose centroid,
+    id; a row is no neighbour of a query with its own id; rows of one
+    id count once, at their smallest distance. A query asks the lists whose centroid,
     found by the graph, is at most `ratio` times as far as the nearest, most_lists at most, and
     more only where those cannot hold k candidates. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do rows of another length than most have or with
@@ -347,16 +348,16 @@ def nearest(
     centres = fit_centres(all_rows, "v", list_rows)
     graph = Graph(centres)
     lists = written(posting_lists(all_rows, centres, "id", "v"))
-    # one row a centroid, MOST_CENTRES at most: the driver may know how long the lists are
-    sizes = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}
-    length = np.array([sizes.get(i, 0) for i in range(len(centres))])
+    # one row a centroid, MOST_CENTRES at most: the driver may know how many rows and ids the lists hold
+    sizes = {r["list"]: r for r in lists.groupBy("list", "id").count().groupBy("list").agg(F.sum("count").alias("rows"), F.count("*").alias("ids")).collect()}
+    length, distinct = (np.array([sizes[i][c] if i in sizes else 0 for i in range(len(centres))]) for c in ("rows", "ids"))
 
     def choose(batches):
         for b in batches:
             x, at, chosen = _matrix(b.column(1), dims), [], []
             for i, q in enumerate(x):
                 found, d = graph.search(q, len(centres) if len(centres) <= most_lists else most_lists, 2 * most_lists)
-                keep = max(int((d <= ratio * d[0] + 1e-12).sum()), int(np.searchsorted(np.cumsum(length[found]), 8 * k)) + 1)
+                keep = max(int((d <= ratio * d[0] + 1e-12).sum()), int(np.searchsorted(np.cumsum(distinct[found]), 8 * k)) + 1)
                 chosen += found[:keep].tolist()
                 at += [i] * len(found[:keep])
             take = pa.array(at, pa.int64())
@@ -371,18 +372,15 @@ def nearest(
     def scan(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
-            ids, v = x["id"].to_numpy(), _rows(x["v"])
+            x = x.sort_values("id", kind="stable")
+            v = _rows(x["v"])
+            ids, first = np.unique(x["id"].to_numpy(), return_index=True)
             for qid, w in zip(q["query_id"], q["q"]):
-                d = np.sqrt(((v - np.asarray(w, np.float64)) ** 2).sum(1))
+                d = np.minimum.reduceat(np.sqrt(((v - np.asarray(w, np.float64)) ** 2).sum(1)), first)
                 d = np.where(ids == qid, np.inf, d)
-                near = np.lexsort((ids, d))[: k + 1] if len(d) <= 4 * k else None
-                if near is None:
-                    edge = np.partition(d, 2 * k)[2 * k]
-                    near = np.flatnonzero(d <= edge)
-                    near = near[np.lexsort((ids[near], d[near]))]
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
                 near = near[np.isfinite(d[near])]
-                _, first = np.unique(ids[near], return_index=True)
-                near = near[np.sort(first)][:k]
+                near = near[np.lexsort((ids[near], d[near]))][:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near], "score": d[near]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64").astype({"score": "float64"})
 
