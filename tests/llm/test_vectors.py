@@ -119,6 +119,16 @@ def test_neighbours_where_every_row_is_repeated(spark, n, times, list_rows):
     assert sum((q, i) in mine for q, _, i, _ in want) >= 0.95 * len(want)
 
 
+def test_neighbours_of_every_length_and_of_far_more_lists_than_the_first_width(spark):
+    rows = clustered(13, 300)
+    short = [(1000 + i, v[:3]) for i, v in rows[:30]]
+    df = frame(spark, rows + short)
+    asked = df.where("vec_id % 30 = 0 or vec_id >= 1000")
+    got = vectors.nearest(asked, df, "vec_id", "embedding", list_rows=10, ratio=1e9, width=4).collect()
+    want = brute_nearest(rows, [i for i, _ in rows if i % 30 == 0], 10) + brute_nearest(short, [i for i, _ in short], 10)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {w[:3] for w in want}
+
+
 def test_recall_on_the_table(spark):
     """With the parameters of the query."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

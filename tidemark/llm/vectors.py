@@ -321,7 +321,7 @@ def nearest(
     k: int = 10,
     list_rows: int = 400,
     ratio: float = 1.12,
-    most_lists: int = 96,
+    width: int = 96,
     salt_rows: int = 20_000,
 ) -> DataFrame:
     """The k nearest of vectors to each query by Euclidean distance in double precision.
@@ -329,22 +329,34 @@ def nearest(
     Both frames: id_col, vec_col. Returns query_id, rank, vec_id, score; ties go to the smaller
     id; a row is no neighbour of a query with its own id; rows of one
     id count once, at their smallest distance. A query asks the lists whose centroid,
-    found by the graph, is at most `ratio` times as far as the nearest, most_lists at most, and
-    more only where those cannot hold k candidates. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows of another length than most have or with
-    a null id. The index is fitted to SAMPLE_ROWS vectors at most and holds every row; long
+    found by the graph, is at most `ratio` times as far as the nearest, and more only where
+    those cannot hold k candidates; the search starts with `width` lists and widens until it has
+    them all. Vectors that are null, zero, or hold null or
+    non-finite components take no part, nor do rows with a null id; each length of vectors has an
+    index and neighbours of its own. An index is fitted to SAMPLE_ROWS vectors at most and holds every row; long
     lists are dealt over several tasks. Empty tables give no rows.
     """
     pick = lambda d: d.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v")
     )
     all_rows, asked = pick(vectors), pick(queries)
-    usual = all_rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    parts = sorted(r["n"] for r in all_rows.select(F.size("v").alias("n")).distinct().collect())
     schema = "query_id long, rank int, vec_id long, score double"
-    if usual is None:
+    if not parts:
         return all_rows.sparkSession.createDataFrame([], schema)
-    dims = usual["n"]
-    all_rows, asked = (d.where(F.size("v") == dims) for d in (all_rows, asked))
+    got = None
+    for n in parts:
+        one = _candidates(*(d.where(F.size("v") == n) for d in (asked, all_rows)), n, k, list_rows, ratio, width, salt_rows)
+        got = one if got is None else got.unionByName(one)
+    best = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    top = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
+    return top.select("query_id", F.posexplode("top").alias("pos", "n")).select(
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score")
+    )
+
+
+def _candidates(asked: DataFrame, all_rows: DataFrame, dims: int, k: int, list_rows: int, ratio: float, width: int, salt_rows: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest of every list asked; all vectors of one length."""
     centres = fit_centres(all_rows, "v", list_rows)
     graph = Graph(centres)
     lists = written(posting_lists(all_rows, centres, "id", "v"))
@@ -356,8 +368,18 @@ def nearest(
         for b in batches:
             x, at, chosen = _matrix(b.column(1), dims), [], []
             for i, q in enumerate(x):
-                found, d = graph.search(q, len(centres) if len(centres) <= most_lists else most_lists, 2 * most_lists)
-                keep = max(int((d <= ratio * d[0] + 1e-12).sum()), int(np.searchsorted(np.cumsum(distinct[found]), 8 * k)) + 1)
+                want = width
+                while True:
+                    if want < len(centres):
+                        found, d = graph.search(q, want, 2 * want)
+                    else:
+                        d = np.sqrt(((centres - q) ** 2).sum(1))
+                        found = np.argsort(d, kind="stable")
+                        d = d[found]
+                    keep = max(int((d <= ratio * d[0] + 1e-12).sum()), int(np.searchsorted(np.cumsum(distinct[found]), 8 * k)) + 1)
+                    if keep < len(found) or want >= len(centres):
+                        break
+                    want *= 4
                 chosen += found[:keep].tolist()
                 at += [i] * len(found[:keep])
             take = pa.array(at, pa.int64())
@@ -384,9 +406,4 @@ def nearest(
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near], "score": d[near]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64").astype({"score": "float64"})
 
-    got = asks.groupBy("list", "salt").cogroup(held.groupBy("list", "salt")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    best = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    top = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("pos", "n")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score")
-    )
+    return asks.groupBy("list", "salt").cogroup(held.groupBy("list", "salt")).applyInPandas(scan, "query_id long, vec_id long, score double")
