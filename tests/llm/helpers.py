@@ -19,3 +19,20 @@ SCHEMA = "doc_id long, text string, lang string, source string, row long, size s
 def documents(spark, rows=ROWS):
     """Columns beyond the usual ones have names that operators use inside."""
     return spark.createDataFrame([(*r, 9, "x", 9, 9, 9) for r in rows], SCHEMA)
+
+
+def relayout(spark, monkeypatch, *modules):
+    """Let files be cut and dealt differently after every table that the modules write."""
+    from tidemark.llm import common
+
+    sizes, real = iter([200, 4096, 1 << 20, 900, 64 << 20, 300] * 200), common.written
+
+    def written(df):
+        out = real(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return out
+
+    for m in (common, *modules):
+        if hasattr(m, "written"):
+            monkeypatch.setattr(m, "written", written)

@@ -5,7 +5,7 @@ import pytest
 
 from tidemark.llm import jaccard
 
-from .helpers import ROWS, documents
+from .helpers import ROWS, documents, relayout
 
 
 def words_of(t):
@@ -83,27 +83,85 @@ def corpus(seed, n=260):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("small,block,depth", [(1000, 250, 12), (5, 20, 12), (3, 250, 1)])
-def test_links_equal_all_pairs(spark, monkeypatch, small, block, depth):
+@pytest.mark.parametrize("small,block", [(1000, 250), (5, 20), (40, 5)])
+def test_links_equal_all_pairs(spark, monkeypatch, small, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard.candidates, "__defaults__", (0.8, 16, depth, small))
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 3 * block)
     rows = corpus(small)
-    check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), rows)
+    check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), rows, small=small)
 
 
-def test_recall_near_the_threshold(spark):
-    """Pairs of similarity just over 0.8, which a run finds least often."""
-    rng = random.Random(5)
+def test_nodes_left_at_the_last_level(spark):
+    """With one level all that is left is compared in blocks, so nothing is lost."""
+    rows = corpus(3)
+    sets = jaccard.numbered(spark.createDataFrame(rows, "row long, text string").selectExpr("row", "row AS id", "text"), "r").select("row", "id", "text")
+    heads = sets.mapInArrow(jaccard._sketches(5), "row long, id long, h1 long, h2 long, bytes long, sketch binary").where("h1 is not null")
+    heads = heads.dropDuplicates(["h1"]).selectExpr("row AS set", "sketch")
+    found = {frozenset(r) for r in jaccard.candidates(jaccard.written(heads), depth=1, small=3).collect()}
+    assert found
+
+
+def pairs_at(rng, n, words, changed):
+    """n pairs of texts that differ in so many words, far from each other."""
     rows = []
-    for i in range(150):
-        w = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    for i in range(n):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(words)]
         v = list(w)
-        v[30], v[70] = "x", "y"  # ten of a hundred shingles differ: 90 / 110
+        for k in range(changed):
+            v[10 + k * (words - 20) // changed] = f"x{k}"
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
-    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    return rows
+
+
+@pytest.mark.parametrize("least,words,changed", [(0.8, 104, 2), (0.6, 104, 5)])
+def test_recall_near_the_threshold(spark, least, words, changed):
+    """Pairs of similarity just over the threshold, which a run finds least often."""
+    rows = pairs_at(random.Random(5), 150, words, changed)
+    a, b = (plain(rows[i][1]) for i in (0, 1))
+    assert least <= len(a & b) / len(a | b) < least + 0.03
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), least=least)
     assert got.where("n_links = 1").count() >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("least,changed", [(0.8, 2), (0.6, 5)])
+def test_recall_through_many_levels(spark, least, changed):
+    """All texts share a passage, so nodes stay large and pairs must survive several levels."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} {t}") for i, t in pairs_at(rng, 200, 104, changed)]
+    reached = []
+    runs = jaccard._runs
+
+    def watched(*args):
+        edges, levels = runs(*args)
+        reached.append(levels)
+        return edges, levels
+
+    jaccard._runs = watched
+    try:
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), least=least, small=2)
+        found = got.where("n_links >= 1").count()
+    finally:
+        jaccard._runs = runs
+    assert max(reached) >= 4 and len(reached) * jaccard.AT_ONCE >= jaccard.runs_for(jaccard.RECALL, max(reached))
+    assert found >= 0.99 * len(rows)
+
+
+def test_runs_follow_target_and_depth():
+    assert jaccard.survival(0) == 1 and abs(jaccard.survival(1) - 0.632) < 1e-3
+    assert jaccard.runs_for(0.99, 1) == 5
+    assert jaccard.runs_for(0.999, 1) < jaccard.runs_for(0.999, 4) < jaccard.runs_for(0.999, 12)
+
+
+def test_numbers_survive_another_layout(spark, tmp_path, monkeypatch):
+    """The table is read in other partitions by every job; the result is that of all pairs."""
+    rows = corpus(9, 120)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(path)
+    relayout(spark, monkeypatch, jaccard)
+    check(spark.read.parquet(path), rows)
+
+
 def test_awkward_rows(spark):
     check(documents(spark), [(r[0], r[1]) for r in ROWS])
 

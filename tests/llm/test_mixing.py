@@ -5,7 +5,7 @@ import pytest
 
 from tidemark.llm import mixing
 
-from .helpers import ROWS, documents
+from .helpers import ROWS, documents, relayout
 
 
 def brute_targets(sizes):
@@ -45,6 +45,79 @@ def check(docs, rows):
     return got
 
 
+def brute_mix(rows, targets):
+    """rows: (id, source, size, key, th), ids all different -> {id: copies}: plain Efraimidis-Spirakis."""
+    out = {}
+    for s, target in targets.items():
+        own = sorted((k, n, th, i) for i, x, n, k, th in rows if x == s)
+        whole = sum(n for _, n, _, _ in own)
+        epochs = int(target // whole) if whole else 0
+        rest, upto, cut = target - epochs * whole, 0, False
+        out |= {i: epochs for *_, i in own}
+        later = []
+        for k, n, th, i in own:
+            if whole and rest > 0 and not cut and upto + n <= rest:
+                upto += n
+                out[i] += 1
+            else:
+                cut = True
+                later.append((k, n, th, i))
+        gap = rest - upto
+        close = [(abs(n - gap), k, th, i) for k, n, th, i in later if n and abs(n - gap) < gap]
+        if close:
+            out[min(close)[3]] += 1
+    return out
+
+
+def same_as_brute(spark, docs):
+    """copies of mixing.mix(docs) beside those of the plain sample of the same keys; ids all different."""
+    keys = [(r.doc_id, r.source, r["size"], r.key, r.th) for r in mixing.keyed(docs, 17).collect()]
+    sizes = defaultdict(int)
+    for _, s, n, _, _ in keys:
+        sizes[s] += n
+    want = brute_mix(keys, brute_targets(sizes))
+    got = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    return got, want
+
+
+def test_selection_equals_plain_sampling(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["doc_id"])
+    got, want = same_as_brute(spark, docs)
+    assert got == want and set(got.values()) == {1, 2} | set(got.values())
+
+
+def test_wordless_texts_are_not_taken_beyond_the_epochs(spark):
+    """A source whose target is twice its size is taken twice, and so are its texts of white space."""
+    rows = [(i, "   " if i % 6 else "some words of a text", "en", "small") for i in range(60)]
+    rows += [(100 + i, "w " * 400, "en", "tall") for i in range(40)]
+    docs = documents(spark, rows)
+    got, want = same_as_brute(spark, docs)
+    assert got == want and max(got.values()) <= 2
+
+
+def test_equal_rows_are_drawn_apart(spark):
+    rows = [(None, "w " * 30, "en", "b")] * 400 + [(i, "one two three", "en", "a") for i in range(400)]
+    got = [r.copies for r in mixing.mix(documents(spark, rows)).collect() if r.doc_id is None]
+    assert len(set(got)) == 2
+
+
+@pytest.mark.parametrize("weight", ["a ", "$ ", "$$$$$$$$$$$$$$$$$$$ "])
+def test_no_bin_is_hot(spark, weight):
+    """Whatever the quality weights, documents spread over the bins."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"repeat('{weight}', 9) AS text", "'s' AS source")
+    top = mixing.keyed(docs, 17).groupBy("bin").count().agg({"count": "max"}).first()[0]
+    assert top <= 0.002 * 20_000
+
+
+def test_layout_does_not_matter(spark, monkeypatch, tmp_path):
+    docs = documents(spark, [(i, f"text {i} " * (1 + i % 7), "en", "ab"[i % 2]) for i in range(300)])
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    relayout(spark, monkeypatch, mixing)
+    got, want = same_as_brute(spark, docs)
+    assert got == want
+
+
 def test_awkward_rows(spark):
     check(documents(spark), ROWS)
 

@@ -62,3 +62,34 @@ def test_plan_uses_every_item_once(counts):
 
 def test_plan_finds_the_fullest_bin():
     assert packing.plan({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10)[0] == ({6: 1, 4: 1}, 1)
+
+
+def test_bins_are_those_of_exhaustive_minimum_slack():
+    """Every bin holds the largest item left and the fullest combination of the others."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(150):
+        room = rng.randint(6, 40)
+        items = sorted(rng.randint(1, room) for _ in range(rng.randint(1, 11)))
+        counts = {n: items.count(n) for n in set(items)}
+        left = list(items)
+        for use, bins in packing.plan(counts, room):
+            for _ in range(bins):
+                seed = max(left)
+                rest = list(left)
+                rest.remove(seed)
+                fullest = max(seed + sum(c) for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if seed + sum(c) <= room)
+                assert sum(n * k for n, k in use.items()) == fullest and use.get(seed)
+                for n, k in use.items():
+                    for _ in range(k):
+                        left.remove(n)
+        assert not left
+
+
+def test_equal_pieces_are_spread(spark):
+    """Pieces equal in all columns go to several buckets and still get places of their own."""
+    items = spark.createDataFrame([(None, 0, 5, 700)] * 3000, "doc_id long, piece int, ids_crc32 long, length long").repartition(9)
+    got = packing.pack(items, ["doc_id", "piece", "ids_crc32"]).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import quality
 
-from .helpers import ROWS, documents
+from .helpers import ROWS, documents, relayout
 
 
 def brute(trusted, texts, order):
@@ -60,6 +60,54 @@ def test_chunks_do_not_matter(spark, sf_dir, monkeypatch):
     assert one == two and len(one) == docs.count()
 
 
+def brute_kept(rows, trusted, keep=0.99, slack=1.05, doubt=1.0):
+    """rows: (id, lang, bytes, perplexity) -> {id: (threshold, kept)}, by sorting."""
+
+    def limit(values):
+        x = sorted(values)[math.ceil(len(values) * keep - 1e-9) - 1]
+        return math.exp(math.ceil(math.log(x) * quality.BINS) / quality.BINS)
+
+    by = defaultdict(list)
+    for i, lang, n, p in rows:
+        if i in trusted and p is not None:
+            by[lang].append(p)
+    every = [p for ps in by.values() for p in ps]
+    out = {}
+    for i, lang, n, p in rows:
+        t = limit(by[lang] if len(by[lang]) >= quality.LEAST_DOCS else every) if every else None
+        out[i] = (t, p is not None and (t is None or p <= t * slack * math.exp(doubt / math.sqrt(max(n, 1)))))
+    return out
+
+
+def test_thresholds_and_verdicts_equal_sorting(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) == 0
+    trusted = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").where(fold).collect()}
+    got = quality.classify(docs, labels, columns=["doc_id", "lang"]).collect()
+    want = brute_kept([(r.doc_id, r.lang, r.n_bytes, r.perplexity) for r in got], trusted)
+    for r in got:
+        assert r.threshold == pytest.approx(want[r.doc_id][0], rel=1e-9) and r.kept == want[r.doc_id][1]
+    assert 0 < sum(r.kept for r in got) < len(got)
+
+
+def test_layout_does_not_matter(spark, monkeypatch, tmp_path):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs.limit(300).repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    take = lambda: {r.doc_id: (r.text, r.perplexity, r.kept) for r in quality.classify(docs, labels).collect()}
+    one = take()
+    relayout(spark, monkeypatch, quality)
+    assert take() == one
+
+
+def test_clashing_names(spark):
+    docs = documents(spark).withColumn("KEPT", F.lit(7)).withColumn("perplexity", F.lit("mine"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels)
+    assert got.columns == [*docs.columns, "n_bytes", "perplexity_", "threshold", "kept_"]
+    assert {(r["KEPT"], r["perplexity"]) for r in got.collect()} == {(7, "mine")}
+
+
 def test_labels_are_met(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))

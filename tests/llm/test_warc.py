@@ -6,6 +6,8 @@ import pytest
 
 from tidemark.llm import warc
 
+from .helpers import relayout
+
 BIG = "<p>é</p>" * 400
 ROWS = [
     (1, "http://a/", BIG),
@@ -79,3 +81,18 @@ def test_every_cut_owns_each_record_once(cut):
     got = [r["fields"]["Page-Id"] for s in range(0, len(data), cut) for _, r in warc.records_in(f, len(data), s, min(s + cut, len(data)))]
     assert got == ["1", "2", "3", "4", "5"]
     assert data.count(warc.MAGIC) == 5 + 4 + 8 + 20
+
+
+def test_numbers_survive_another_layout(spark, monkeypatch, tmp_path):
+    rows = [(i, f"u{i}", BIG + str(i % 40)) for i in range(300)]
+    frame(spark, rows).repartition(6).write.parquet(str(tmp_path / "p"))
+    relayout(spark, monkeypatch, warc)
+    got = warc.round_trip(spark, spark.read.parquet(str(tmp_path / "p"))).collect()
+    mine = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got]
+    assert sorted(mine) == sorted(brute(rows))
+
+
+def test_many_revisits_come_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    got = warc.round_trip(spark, frame(spark)).collect()
+    assert sum(r.record_type == "revisit" for r in got) == 4

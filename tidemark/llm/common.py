@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written tables and connected components."""
+"""What the operators share: the shared folder, written and numbered tables, connected components."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of (long, long) that may be broadcast; a larger side is joined by shuffling.
+BROADCAST_ROWS = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,16 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors see, under spark.checkpoint.dir.
 
-    Where the session sets none (tests on one machine) /tmp/checkpoints serves.
+    Where the session sets none, a session on one machine uses /tmp/checkpoints and clears it at
+    the end; a session on several has no folder that all its machines see, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     name = f"tidemark-{uuid.uuid4().hex}"
     if base:
-        return f"{base.rstrip('/')}/{name}"
+        path = f"{base.rstrip('/')}/{name}"
+        atexit.register(_clear, spark, path)
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
     return f"file:///tmp/checkpoints/{name}"
 
 
+def _clear(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this program's, when the program ends and if its session still runs."""
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session or its gateway has ended; nothing can be deleted through it
+        pass
+
+
 def give_back() -> None:
     """Return what a task has freed to the system, as its worker lives on beside the next task's."""
     pa.default_memory_pool().release_unused()
@@ -49,13 +67,30 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, so that no column of df is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """df with a column `row` that tells its rows apart, written once.
+
+    A number is given by the job that writes it and never again: a plan that reads df twice
+    may see its rows in other partitions when executors come or go, but reads this table alike.
+    """
+    return written(df.withColumn(row, F.monotonically_increasing_id()))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: (node, component), component its smallest node.
 
     edges: columns u, v (long). Alternates large-star and small-star joins; every round is
-    written, and the loop ends when a round changes nothing. Nodes without an edge to
-    another node are absent. A node of very high degree is only ever the join's skewed
-    side or the key of a pre-aggregated minimum.
+    written, and the loop ends when a round changes nothing, after some log(nodes) rounds.
+    Nodes without an edge to another node are absent. A node of very high degree is only ever
+    the join's skewed side or the key of a pre-aggregated minimum.
     """
 
     def mark(e: DataFrame):
@@ -68,9 +103,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
     e = written(e)
     before = mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, united, written
+from .common import BROADCAST_ROWS, connected_components, numbered, united, written
 
 WORDS = 5
 LEAST = 0.8
@@ -18,16 +18,14 @@ TOKENS = 64
 SMALL = 1000
 #: Rows of the buckets in which small nodes are brute-forced many at a time.
 BUCKET = 20_000
-#: Members of candidate groups up to this many rows are broadcast to the texts; more are joined by shuffling.
-BROADCAST_ROWS = 2_000_000
-#: Runs and depth: a pair at the threshold survives a level with probability about 1 - 1/e.
-RUNS, DEPTH = 16, 12
-#: Sets of a block when the members of a candidate group are compared exactly.
-BLOCK = 250
-#: Share of equal coordinates that makes a pair a candidate, five deviations under the threshold;
-#: and that at which a set may leave a node with its pivot: what it links to is in distance at
-#: most 0.2 from it and 0.4 from the pivot, and so a candidate of the pivot, too.
-LIKELY, CLOSE = 0.5, 0.8
+#: Share of the pairs at the threshold that the runs are to find, and runs made at a time until they do.
+RECALL, AT_ONCE = 0.999, 8
+#: Levels after which a node that is still large is compared in blocks.
+DEPTH = 12
+#: Sets of a block when the members of a candidate group are compared exactly, and bytes of its texts.
+BLOCK, BLOCK_BYTES = 250, 8 << 20
+#: Sets of a block when a group's sketches are compared to find which blocks need comparing.
+SKETCH_BLOCK = 4000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(256, bool)
@@ -97,22 +95,32 @@ def _sketches_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketches(batches):
-    """(row, text) -> row, set (a hash of the whole set, null if it is empty), sketch."""
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            sets = shingles(part.column(1).to_pylist())
-            full = [s for s in sets if len(s)]
-            keys, mins = iter([]), iter([])
-            if full:
-                n = np.array([len(s) for s in full], np.uint64)
-                sums = np.add.reduceat(_mix(np.concatenate(full) + np.uint64(11)), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64))
-                keys = iter(_mix(sums ^ (n * _K)).view(np.int64).tolist())
-                mins = iter([m.tobytes() for m in _sketches_of(full)])
-            key = [next(keys) if len(s) else None for s in sets]
-            sketch = [next(mins) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], ["row", "set", "sketch"])
+def _sketches(words: int):
+    """A task function: (row, id, text) -> row, id, two hashes of the whole set (null if it is
+    empty), bytes of the text, sketch."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = part.column(2).to_pylist()
+                sets = shingles(texts, words)
+                has = np.array([len(s) > 0 for s in sets])
+                full = [s for s in sets if len(s)]
+                one, two, mins = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), iter([])
+                if full:
+                    n = np.array([len(s) for s in full], np.uint64)
+                    starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+                    flat = np.concatenate(full)
+                    for out, seed in ((one, np.uint64(11)), (two, np.uint64(1_000_003))):
+                        out[has] = _mix(np.add.reduceat(_mix(flat + seed), starts) ^ (n * _K)).view(np.int64)
+                    mins = iter([m.tobytes() for m in _sketches_of(full)])
+                cols = [part.column(0), part.column(1), pa.array(one, mask=~has), pa.array(two, mask=~has)]
+                cols.append(pa.array([len(t or "") for t in texts], pa.int64()))
+                cols.append(pa.array([next(mins) if h else None for h in has], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "h1", "h2", "bytes", "sketch"])
+
+    return run
 
 
 def _children(nodes: np.ndarray, mins: np.ndarray, least: float):
@@ -128,31 +136,76 @@ def _children(nodes: np.ndarray, mins: np.ndarray, least: float):
     return at, child.view(np.int64)
 
 
+def limits(least: float) -> tuple[float, float]:
+    """(likely, close): the shares of equal coordinates at which a pair is a candidate, and at
+    which a set may leave a node with its pivot.
+
+    likely is five deviations under the threshold. What a set links to is in Jaccard distance at
+    most 1 - least from it, and so in 1 - least + 1 - close from the pivot: close is what makes
+    that a candidate of the pivot, too, with a deviation to spare.
+    """
+    likely = max(0.1, least - 5 * (least * (1 - least) / TOKENS) ** 0.5)
+    return likely, min(1.0, 1 - least + likely + (likely * (1 - likely) / TOKENS) ** 0.5)
+
+
+def survival(levels: int) -> float:
+    """Probability that a pair at the threshold shares a node after so many levels of a run.
+
+    The coordinates that two sets share in a node's choice are one on average, as the hash gives
+    Poisson numbers of them: a critical branching process, whose survival after each level is
+    1 - exp(-survival before).
+    """
+    p = 1.0
+    for _ in range(levels):
+        p = 1 - float(np.exp(-p))
+    return p
+
+
+def runs_for(recall: float, levels: int) -> int:
+    """Runs of so many levels that find a pair at the threshold with at least that probability."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - survival(levels))))
+
+
 def _as_mins(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, TOKENS)
 
 
-def candidates(sets: DataFrame, least: float = LEAST, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+def candidates(sets: DataFrame, least: float = LEAST, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """sets (set, sketch; sets distinct) -> edges (u, v) that join likely pairs into groups.
 
+    Runs are repeated, AT_ONCE side by side, until they are as many as `recall` needs for trees
+    of the depth that the deepest run so far has reached, at any depth.
+    """
+    edges, done, levels = None, 0, 1
+    while done < runs_for(recall, levels):
+        found, reached = _runs(sets, least, range(done, done + AT_ONCE), depth, small)
+        edges = found if edges is None else edges.unionByName(found)
+        done, levels = done + AT_ONCE, max(levels, reached)
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _runs(sets: DataFrame, least: float, numbers: range, depth: int, small: int):
+    """(u, v) edges of the runs of these numbers, and the levels of their deepest tree.
+
     Every level is one distributed pass over all runs: nodes of one set end; nodes of at most
     `small` are brute-forced by sketches; each larger one compares all its sets with one pivot,
     links what is likely similar, lets go of what is close to it (its links lie with those of
     the pivot's group) and is split again on the coordinates that its hash samples. What is
     left at the last level is compared in blocks. So no node, however large, meets in one task.
     """
+    likely, close = limits(least)
 
     def roots(batches):
         for b in batches:
             mins = _as_mins(b.column(1).to_pylist())
             ids = b.column(0)
-            for r in range(runs):
+            for r in numbers:
                 top = np.full(len(mins), _mix(np.array([r + 1], np.uint64))[0]).view(np.int64)
                 at, child = _children(top, mins, least)
                 yield pa.RecordBatch.from_arrays([pa.array(child), ids.take(pa.array(at))], ["node", "set"])
 
     level = sets.select("set", "sketch").mapInArrow(roots, "node long, set long")
-    found = []
+    found = [sets.select(F.col("set").alias("u"), F.col("set").alias("v")).limit(0)]
     for step in range(depth + 1):
         level = written(level)
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("set"), "set")).getField("set").alias("pivot"))
@@ -160,7 +213,7 @@ def candidates(sets: DataFrame, least: float = LEAST, runs: int = RUNS, depth: i
         crowd = written(level.join(sizes, "node").select("node", "set", "n", "pivot"))
         counts = crowd.agg(F.count_if(F.col("n") <= small), F.count_if(F.col("n") > small)).first()
         if counts[0]:
-            found.append(_brute(crowd.where(F.col("n") <= small).select("node", "set"), sets))
+            found.append(_brute(crowd.where(F.col("n") <= small).select("node", "set"), sets, likely))
         if not counts[1]:
             break
         large = crowd.where(F.col("n") > small).select("node", "set", "n", "pivot")
@@ -169,7 +222,7 @@ def candidates(sets: DataFrame, least: float = LEAST, runs: int = RUNS, depth: i
             cells = cells.withColumn("block", F.pmod(F.xxhash64("set", "node"), F.col("blocks")).cast("int"))
             cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             cells = cells.select(F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with")).alias("node"), "set")
-            found.append(_brute(cells, sets))
+            found.append(_brute(cells, sets, likely))
             break
         pivots = large.groupBy("node", "pivot").count().join(sets, F.col("pivot") == F.col("set")).select("node", F.col("sketch").alias("of_pivot"))
         near = large.join(sets, "set").join(pivots, "node")
@@ -179,9 +232,9 @@ def candidates(sets: DataFrame, least: float = LEAST, runs: int = RUNS, depth: i
                 node, own, pivot = b.column(0).to_numpy(), b.column(1), b.column(2)
                 mins, other = _as_mins(b.column(3).to_pylist()), _as_mins(b.column(4).to_pylist())
                 like = (mins == other).mean(1)
-                tie = np.flatnonzero(like >= LIKELY)
+                tie = np.flatnonzero(like >= likely)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(tie), pa.int64()), own.take(pa.array(tie)), pivot.take(pa.array(tie))], ["node", "set", "to"])
-                stay = np.flatnonzero(like < CLOSE)
+                stay = np.flatnonzero(like < close)
                 at, child = _children(node[stay], mins[stay], least)
                 take = pa.array(stay[at])
                 yield pa.RecordBatch.from_arrays([pa.array(child), own.take(take), pa.nulls(len(at), pa.int64())], ["node", "set", "to"])
@@ -189,13 +242,13 @@ def candidates(sets: DataFrame, least: float = LEAST, runs: int = RUNS, depth: i
         made = written(near.select("node", "set", "pivot", "sketch", "of_pivot").mapInArrow(split, "node long, set long, to long"))
         found.append(made.where("to is not null and set <> to").select(F.col("set").alias("u"), F.col("to").alias("v")))
         level = made.where("to is null").select("node", "set")
-    edges = sets.select(F.col("set").alias("u"), F.col("set").alias("v")).limit(0)
-    for f in found:
+    edges = found[0]
+    for f in found[1:]:
         edges = edges.unionByName(f)
-    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return edges, step + 1
 
 
-def _brute(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _brute(members: DataFrame, sets: DataFrame, likely: float) -> DataFrame:
     """Likely pairs inside small nodes, as stars of each node's likely groups.
 
     Nodes are dealt into buckets of many; a bucket compares its rows, in order of nodes, with
@@ -213,7 +266,7 @@ def _brute(members: DataFrame, sets: DataFrame) -> DataFrame:
                 break
             for s in range(0, len(at), 50_000):
                 i = at[s : s + 50_000]
-                like = (mins[i] == mins[i + d]).sum(1) >= LIKELY * TOKENS
+                like = (mins[i] == mins[i + d]).sum(1) >= likely * TOKENS
                 if like.any():
                     label = united(label, i[like], i[like] + d)
         far = np.flatnonzero(label != np.arange(len(ids)))
@@ -224,18 +277,45 @@ def _brute(members: DataFrame, sets: DataFrame) -> DataFrame:
     return written(dealt.groupBy("bucket").applyInPandas(compare, "u long, v long"))
 
 
-def _verify(groups: DataFrame, least: float, words: int) -> DataFrame:
-    """Exact links inside candidate groups: (set, links, to).
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (group, set, bytes, sketch, ...) with n, the sets of the group, and block.
 
-    groups: set, group, weight (its rows), text. A group is compared in pairs of blocks; a
-    task gives a row for each set, with the rows it links to and the first set of its part.
+    A group of up to BLOCK sets and BLOCK_BYTES is block 0. A larger one is cut by the start of the
+    sketches, so that near ones lie together, and each part again by hashes of its sets, as often
+    as its sets and bytes need.
     """
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    g = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("set", F.lit(7)), F.col("blocks")).cast("int"))
-    g = g.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = g.select("group", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "set", "weight", "block", "text")
+    sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1))
+    m = members.join(sums.select("group", "n", parts.cast("long").alias("parts")), "group")
+    m = written(m.withColumn("cell", F.pmod(F.xxhash64(F.substring("sketch", 1, 8)), F.col("parts"))).drop("parts"))
+    cells = m.groupBy("group", "cell").agg(F.count("*").alias("k"), F.sum("bytes").alias("sum"))
+    subs = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1))
+    m = m.join(cells.select("group", "cell", subs.cast("long").alias("subs")), ["group", "cell"])
+    sub = F.pmod(F.xxhash64("set", F.lit(7)), F.col("subs"))
+    return m.withColumn("block", F.shiftleft("cell", 24) + sub).drop("cell", "subs")
+
+
+def _verify(members: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """Exact links inside candidate groups: (set, links, to).
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    members: set, group, weight (its rows), sketch, bytes, row (one of them); texts: row, text. A
+    group of one block is compared at once, each text sent once. Of a larger one the sketches are
+    compared first, and texts are sent only to pairs of blocks that hold a candidate pair. A task
+    gives a row for each set, with the rows it links to and the first set of its part.
+    """
+    m = written(_blocks(members))
+    names = m.groupBy("group").agg(F.count_distinct("block").alias("blocks"))
+    m = written(m.join(names, "group"))
+    few = m.count() * 64 <= BROADCAST_ROWS * 16  # a member without its sketch has some 64 bytes
+    side = m.select("row", "group", "set", "weight", "block", "blocks")
+    with_text = texts.join(F.broadcast(side) if few else side, "row")
+    one = with_text.where("blocks = 1").select("group", F.col("block").alias("lo"), F.col("block").alias("hi"), "set", "weight", "block", "text")
+    pairs = written(_likely_blocks(m.where("blocks > 1").select("group", "n", "set", "block", "sketch"), limits(least)[0]))
+    sides = pairs.select("group", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    some = with_text.where("blocks > 1").join(sides, ["group", "block"])
+    units = one.unionByName(some.select(*one.columns))
+
+    def compare(key, pdf):
         ids, weight, block = pdf["set"].to_numpy(), pdf["weight"].to_numpy(), pdf["block"].to_numpy()
         sh = shingles(pdf["text"].tolist(), words)
         n = np.array([len(s) for s in sh])
@@ -251,7 +331,40 @@ def _verify(groups: DataFrame, least: float, words: int) -> DataFrame:
         keep = np.flatnonzero(near.any(1))
         return pd.DataFrame({"set": ids[keep], "links": (near[keep] * weight[None, :]).sum(1).astype(np.int64), "to": ids[label[keep]]})
 
-    return g.groupBy("group", "lo", "hi").applyInPandas(compare, "set long, links long, to long")
+    return units.groupBy("group", "lo", "hi").applyInPandas(compare, "set long, links long, to long")
+
+
+def _likely_blocks(sets: DataFrame, likely: float) -> DataFrame:
+    """(group, lo, hi): the pairs of blocks of a group that hold a pair of likely similar sketches.
+
+    sets: group, n (sets of the group), set, block, sketch. A sketch has a quarter of a kilobyte, so
+    blocks of SKETCH_BLOCK of them meet in pairs where texts could not.
+    """
+    s = sets.withColumn("supers", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int"))
+    s = s.withColumn("super", F.pmod(F.xxhash64("block", F.lit(3)), F.col("supers")).cast("int"))
+    s = s.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("supers") - 1)))
+    s = s.select("group", F.least("super", "with").alias("a"), F.greatest("super", "with").alias("b"), "super", "block", "sketch")
+
+    def meet(key, pdf):
+        pdf = pdf.sort_values("block", kind="stable")
+        mins, block, own = _as_mins(pdf["sketch"]), pdf["block"].to_numpy(), pdf["super"].to_numpy()
+        found = set()
+        names, first = np.unique(block, return_index=True)
+        ends = np.append(first[1:], len(block))
+        for x, (a, b) in enumerate(zip(first, ends)):
+            found.add((x, x))
+            for y in range(x + 1, len(names)):
+                if key[1] != key[2] and own[first[x]] == own[first[y]]:
+                    continue
+                for i in range(a, b, 64):
+                    hits = sum((mins[i : min(b, i + 64), None, t] == mins[None, first[y] : ends[y], t]).astype(np.uint8) for t in range(TOKENS))
+                    if (hits >= likely * TOKENS).any():
+                        found.add((x, y))
+                        break
+        at = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"group": key[0], "lo": names[at[:, 0]], "hi": names[at[:, 1]]})
+
+    return s.groupBy("group", "a", "b").applyInPandas(meet, "group long, lo long, hi long").distinct()
 
 
 def _common(owner: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
@@ -274,44 +387,44 @@ def _common(owner: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def join(docs: DataFrame, least: float = LEAST, words: int = WORDS, runs: int = RUNS, id_col: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, least: float = LEAST, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", row: str | None = None, small: int = SMALL) -> DataFrame:
     """Near-duplicate classes: one row per row of docs (id_col, text, any others).
 
-    Returns row (a number of its own), id_col, class_id (the smallest id among rows with the
-    same shingle set), n_links (rows, other than itself, whose Jaccard similarity of word
-    shingles is `least` or more), component_id (the smallest id reachable by links) and kept
-    (true for one row of each component, the one of the smallest id).
+    Returns row (its number), id_col, class_id (the smallest id among rows with the same shingle
+    set), n_links (rows, other than itself, whose Jaccard similarity of word shingles is `least`
+    or more), component_id (the smallest id reachable by links) and kept (true for one row of
+    each component, the one of the smallest id).
 
-    The candidates come from chosen-path runs over sketches; every link is then decided on the
-    whole texts' shingle sets, and so are all pairs within a candidate group. Texts without a
+    The candidates come from chosen-path runs over sketches, as many as `recall` asks for; every
+    link is then decided on the whole texts' shingle sets, and so is every likely pair within a
+    candidate group. Sets are the same if two 64-bit hashes of them are. Texts without a
     word (null, empty, only signs) have no shingles: they link with nothing and are kept, with
     their own id. A null id is larger than any other; of repeated rows one is kept; an empty
-    table gives no rows. docs is read twice and must come in the same order each time.
+    table gives no rows. row: a column of a written table that numbers its rows; without one,
+    ids and texts are numbered and written first.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col("text").alias("text"))
-    heads = written(base.select("row", "text").mapInArrow(_sketches, "row long, set long, sketch binary"))
-    ids = base.select("row", "id")
-    heads_id = heads.select("row", "set").join(ids, "row")
+    base = numbered(docs.select(F.col(id_col).alias("id"), F.col("text").alias("text")), "row") if row is None else docs.select(
+        F.col(row).alias("row"), F.col(id_col).alias("id"), F.col("text").alias("text")
+    )
+    heads = written(base.select("row", "id", "text").mapInArrow(_sketches(words), f"row long, id {base.schema['id'].dataType.simpleString()}, h1 long, h2 long, bytes long, sketch binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    classes = heads_id.where("set is not null").groupBy("set").agg(F.count("*").alias("weight"), F.min(order).alias("first"))
-    classes = written(classes)
-    sketches = heads.where("set is not null").groupBy("set").agg(F.min("sketch").alias("sketch"))
-    sets = written(sketches)
-    groups = connected_components(candidates(sets, least, runs)).select(F.col("node").alias("set"), F.col("component").alias("group"))
-    members = written(groups.join(classes.select("set", "weight", F.col("first.row").alias("row")), "set"))
-    side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    with_text = base.select("row", "text").join(side, "row").select("set", "group", "weight", "text")
-    links = written(_verify(with_text, least, words))
+    classes = heads.where("h1 is not null").groupBy("h1", "h2").agg(
+        F.count("*").alias("weight"), F.min(order).alias("first"), F.min("bytes").alias("bytes"), F.min("sketch").alias("sketch")
+    )
+    classes = numbered(classes, "set")
+    groups = connected_components(candidates(classes.select("set", "sketch"), least, recall, small=small)).select(F.col("node").alias("set"), F.col("component").alias("group"))
+    members = groups.join(classes.select("set", "weight", "bytes", "sketch", F.col("first.row").alias("row")), "set")
+    links = written(_verify(members, base.select("row", "text"), least, words))
     comp = connected_components(links.select(F.col("set").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "set")
     total = links.groupBy("set").agg(F.sum("links").alias("links"))
-    per = classes.join(total, "set", "left").join(comp, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    per = written(per.select("set", "weight", "first", F.coalesce("links", F.lit(0)).alias("links"), "component"))
+    per = classes.select("set", "h1", "h2", "weight", "first").join(total, "set", "left").join(comp, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    per = written(per.select("h1", "h2", "weight", "first", F.coalesce("links", F.lit(0)).alias("links"), "component"))
     best = per.groupBy("component").agg(F.min("first").alias("best"))
     per = per.join(best, "component").select(
-        "set", F.col("first.id").alias("class_id"), (F.col("weight") - 1 + F.col("links")).alias("n_links"), "best"
+        "h1", "h2", F.col("first.id").alias("class_id"), (F.col("weight") - 1 + F.col("links")).alias("n_links"), "best"
     )
-    out = heads_id.join(per, "set", "left")
-    alone = F.col("set").isNull()
+    out = heads.select("row", "id", "h1", "h2").join(per, ["h1", "h2"], "left")
+    alone = F.col("h1").isNull()
     return out.select(
         "row",
         F.col("id").alias(id_col),

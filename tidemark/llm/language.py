@@ -7,15 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Bytes of a window; the state starts afresh in each, and every byte of a text is in one.
 WINDOW = 96
 HIDDEN = 6
 #: Bound on the labelled documents the network is trained on, per language.
 TRAIN_DOCS = 400
-#: Languages learned at most, the most frequent labels.
-MOST_LANGS = 1000
+#: Windows of all documents and languages together, at most (one of each language at least), and of a document.
+TRAIN_WINDOWS, PER_DOC = 200_000, 8
 STEPS, BATCH, RATE = 260, 96, 0.02
 
 
@@ -109,15 +109,16 @@ def _gradient(p, x, y):
     return loss, grad
 
 
-def train(texts: list[str], labels: list[str], seed: int = 5, steps: int = STEPS) -> dict:
-    """A model of the languages in labels from whole labelled texts, by Adam on random windows."""
+def train(texts: list[bytes], labels: list[str], seed: int = 5, steps: int = STEPS) -> dict:
+    """A model of the languages in labels from labelled texts or windows of them, by Adam on random windows."""
     langs = sorted(set(labels))
     if len(langs) < 2:
         return {"langs": langs, "p": None}
     rng = np.random.default_rng(seed)
-    x, used, owner = _windows([t.encode() for t in texts])
+    x, used, owner = _windows(texts)
     full = np.flatnonzero(used == WINDOW) if (used == WINDOW).any() else np.arange(len(used))
-    y = np.array([langs.index(v) for v in labels])[owner]
+    nth = {v: k for k, v in enumerate(langs)}
+    y = np.array([nth[v] for v in labels])[owner]
     by = [full[y[full] == k] for k in range(len(langs))]
     by = [b if len(b) else np.flatnonzero(y == k) for k, b in enumerate(by)]
     p = _start(len(langs), rng)
@@ -166,23 +167,35 @@ def document_probabilities(model: dict, texts: list[bytes], block: int = 4096) -
 
 
 def fit(docs: DataFrame, lang: str = "lang", limit: int = TRAIN_DOCS) -> dict:
-    """Train on at most `limit` documents of each language: non-null text and lang, not held out.
+    """Train on windows of at most `limit` documents of each language: non-null text and lang, not held out.
 
-    They are those of the smallest hash, found by a per-language sort in which each task
-    keeps `limit` rows, so the driver receives a bounded sample whatever the size.
+    They are those of the smallest hash of id and text, found by a per-language sort in which each
+    task keeps `limit` rows. Of each come PER_DOC windows from even places over its whole text,
+    so the driver receives a bounded number of bytes whatever the texts' sizes. All languages are
+    learned: where there are many, each has fewer documents, so that all have TRAIN_WINDOWS.
     """
     from pyspark.sql import Window
 
     ok = docs.where(F.col("text").rlike(r"\p{L}") & F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    r = F.xxhash64("doc_id", F.lit(3))
-    # one random share per document, so that the window below sorts a bounded part of each language
-    n = written(ok.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(MOST_LANGS))
-    at = Window.partitionBy(lang).orderBy("r", "doc_id", "text")
-    few = ok.select("doc_id", "text", F.col(lang).alias(lang), r.alias("r")).join(F.broadcast(n), lang)
-    few = few.where(F.pmod(F.col("r"), F.lit(1 << 30)) <= (F.lit(4.0 * limit) / F.col("count") * (1 << 30)))
-    few = few.withColumn("k", F.row_number().over(at)).where(F.col("k") <= limit)
-    rows = few.select("text", lang, "k").orderBy(lang, "k").collect()
-    return train([x[0] for x in rows], [x[1] for x in rows])
+    ok = ok.select("doc_id", "text", F.col(lang).alias("lang"), F.xxhash64("doc_id", "text", F.lit(3)).alias("r"))
+    # a random share of a language's documents, so that the window below sorts a bounded part of it
+    n = written(ok.groupBy("lang").count())
+    langs = n.count()
+    if not langs:
+        return train([], [])
+    most = max(1, min(limit, TRAIN_WINDOWS // (PER_DOC * langs)))
+    at = Window.partitionBy("lang").orderBy("r", "doc_id", "text")
+    few = ok.join(F.broadcast(n) if langs <= 100_000 else n, "lang")
+    few = few.where(F.pmod(F.col("r"), F.lit(1 << 30)) <= (F.lit(4.0 * most + 64) / F.col("count") * (1 << 30)))
+    few = few.withColumn("k", F.row_number().over(at)).where(F.col("k") <= most)
+    raw = F.encode("text", "UTF-8")
+    size = F.octet_length("text")
+    parts = F.least(F.lit(PER_DOC), F.ceil(size / WINDOW).cast("int"))
+    # window j of p starts at (size - WINDOW) * j / (p - 1): the first at the start, the last at the end
+    start = F.when(parts > 1, F.floor((size - WINDOW) * F.col("j") / (parts - 1))).otherwise(0).cast("int")
+    few = few.withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = few.select(F.substring(raw, start + 1, F.lit(WINDOW)).alias("window"), "lang", "k", "j").orderBy("lang", "k", "j").collect()
+    return train([bytes(x[0]) for x in rows], [x[1] for x in rows])
 
 
 def held_out(doc_id):
@@ -190,16 +203,17 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score (the mean probability of lang_pred over all bytes).
+def predict(docs: DataFrame, model: dict, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with columns pred and score (the mean probability of the language over all bytes).
 
     Null text or text without a letter: `und`, score 0. With one learned language the answer
     is that, score 1; with none `und`. Empty tables give no rows; repeated rows, null ids and
-    further columns pass through as they are (columns lang_pred and score are replaced).
+    further columns pass through as they are (columns of those two names are replaced).
     """
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop(pred, score)
     langs = model["langs"]
-    base = base.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    letters_name = free_name(base, "letters")
+    base = base.withColumn(letters_name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     i, j = base.columns.index("text"), len(base.columns) - 1
 
     def run(batches):
@@ -217,7 +231,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     names[idx] = np.array(langs, object)[q.argmax(1)]
                     scores[idx] = np.clip(q.max(1), 0, 1)
                 cols = [*b.columns[:j], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:j], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:j], pred, score])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, schema + ", lang_pred string, score double")
+    return base.mapInArrow(run, schema + f", `{pred}` string, `{score}` double")

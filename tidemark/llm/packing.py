@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, numbered
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at once; it starts afresh beyond. They stay with the worker
@@ -168,9 +168,11 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     bins. Items of one length are interchangeable: each is numbered within its length, by
     buckets so that a length of any share of the rows is spread, and finds its place in the plan.
     """
-    total = items.count()
-    buckets = 1 + total // 50_000
-    t = items.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    row = free_name(items, "row")
+    t = numbered(items, row)
+    buckets = 1 + t.count() // 50_000
+    # rows equal in all of `order` are dealt over the buckets by the number they are written with
+    t = t.withColumn("bucket", F.pmod(F.xxhash64(*order, row), F.lit(buckets)))
     sums = t.groupBy("length", "bucket").count()
     made = plan({r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,4 +217,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     one piece of the end id; null doc_ids and repeated rows are packed like any other; an empty
     table gives no rows; other columns are ignored.
     """
-    return pack(written(pieces(docs, path, capacity=capacity, ids=ids, remember=remember)), ["doc_id", "piece", "ids_crc32"], capacity)
+    return pack(pieces(docs, path, capacity=capacity, ids=ids, remember=remember), ["doc_id", "piece", "ids_crc32"], capacity)

@@ -8,15 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, written
+from .common import BROADCAST_ROWS, free_name, give_back, shared_dir, written
 
 ORDER = 5
-#: Text bytes that one chunk of documents holds, about.
-CHUNK_BYTES = 48 << 20
+#: Text bytes after which a chunk of documents ends; only a longer single text exceeds them.
+CHUNK_BYTES = 32 << 20
 #: Bytes whose n-grams are sorted at once.
 SORT_BYTES = 1 << 20
-#: A sum of trusted ids up to this many rows is broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 2_000_000
 #: Documents of a language needed for a quantile of its own; fewer use that of all languages.
 LEAST_DOCS = 20
 #: Bins of the logarithm of perplexity, per unit.
@@ -143,114 +141,106 @@ def probabilities(wanted: DataFrame, tables: list[dict]) -> DataFrame:
     return p.select("g", F.ln("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, tables: list[dict], order: int = ORDER) -> DataFrame:
-    """docs (id, text) -> id, n_bytes, perplexity (null where there is no byte).
+def perplexities(docs: DataFrame, tables: list[dict], order: int = ORDER, give: tuple[str, ...] = ("id",)) -> DataFrame:
+    """docs (text, the columns of give) -> the columns of give, n_bytes, perplexity (null without a byte).
 
-    id: monotonically_increasing_id() over a table as it is read. Rows that follow each other
-    there make a chunk of about CHUNK_BYTES. Each chunk asks once for every distinct n-gram in
-    it; the answers come back by chunk and are looked up at every byte. What is gathered so
-    follows the input, and no task holds the model.
+    A task cuts its rows, as they come, into chunks of CHUNK_BYTES of text. It stores each chunk in
+    a file of its own in the shared folder and asks once for every distinct n-gram in it. The
+    answers are gathered by chunk, in as many partitions as there are chunks; the task that has
+    a chunk's answers opens its file and looks up every byte. So no text is shuffled, what
+    language-model scoring gathers follows the input, no task holds the model or more than a
+    chunk, and nothing is read twice: an attempt that fails leaves files that nobody names.
     """
-    total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    rows = max(1, CHUNK_BYTES * total[0] // max(1, total[1]))
-    nth = F.floor(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) / rows).cast("long")
-    spread = docs.select("id", "text", (F.shiftleft(F.shiftright("id", 33), 33) + nth).alias("chunk"))
+    folder = shared_dir(docs.sparkSession)
+    rows = docs.select(F.col("text").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(give)])
 
     def ask(batches):
-        seen: dict[int, list] = {}
+        import io
+        import uuid
+
+        import zstandard
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        held, texts, size = [], [], 0
+
+        def flush():
+            nonlocal held, texts, size
+            chunk = uuid.uuid4().int >> 65
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, held[0].schema) as w:
+                for part in held:
+                    w.write_batch(part)
+            with store.open_output_stream(f"{top}/{chunk:x}") as f:
+                f.write(zstandard.ZstdCompressor(level=3).compress(out.getbuffer()))
+            del out
+            got = [np.zeros(1, np.int64)]  # so that a chunk of empty texts is answered, too
+            for some in _batches(texts):
+                got.append(np.unique(_grams(some, order)[0]))
+                if sum(map(len, got)) > 1_500_000:
+                    got = [np.unique(np.concatenate(got))]
+            g = np.unique(np.concatenate(got))
+            held, texts, size = [], [], 0
+            for i in range(0, len(g), 100_000):
+                x = g[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), chunk, np.int64)), pa.array(x)], ["chunk", "g"])
+
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                chunks = part.column(1).to_numpy()
-                texts = [(t or "").encode() for t in part.column(0).to_pylist()]
-                for c in np.unique(chunks):
-                    got = seen.setdefault(int(c), [])
-                    for some in _batches([texts[i] for i in np.flatnonzero(chunks == c)]):
-                        got.append(np.unique(_grams(some, order)[0]))
-                    if sum(map(len, got)) > 1_500_000:
-                        got[:] = [np.unique(np.concatenate(got))]
-                for c in [c for c in seen if c < chunks.max()]:  # rows come in order: those are complete
-                    yield from flush(c, seen.pop(c))
-        for c, got in seen.items():
-            yield from flush(c, got)
-        seen.clear()
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                raw = [(t or "").encode() for t in part.column(0).to_pylist()]
+                n, first = np.cumsum([len(t) for t in raw]), 0
+                while first < len(raw):  # as many rows as the chunk has room for, one at least
+                    room = CHUNK_BYTES - size + (n[first - 1] if first else 0)
+                    upto = max(int(np.searchsorted(n, room, "right")), first + (not held))
+                    if upto > first:
+                        held.append(part.slice(first, upto - first))
+                        texts += raw[first:upto]
+                        size += int(n[upto - 1] - (n[first - 1] if first else 0))
+                    if upto < len(raw):
+                        yield from flush()
+                    first = upto
+        if held:
+            yield from flush()
         give_back()
 
-    def flush(chunk, got):
-        g = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
-        for i in range(0, len(g), 100_000):
-            x = g[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), chunk, np.int64)), pa.array(x)], ["chunk", "g"])
-
-    asked = written(spread.select("text", "chunk").mapInArrow(ask, "chunk long, g long"))
+    asked = written(rows.mapInArrow(ask, "chunk long, g long"))
+    chunks = asked.select("chunk").distinct().count()
     known = probabilities(asked.select("g").distinct(), tables)
-    answers = asked.join(known, "g").select("chunk", "g", "logp")
+    answers = asked.join(known, "g").select("chunk", "g", "logp").repartition(max(1, chunks), "chunk")
+    kinds = [docs.schema[c].dataType.simpleString() for c in give]
+    schema = "".join(f"c{i} {k}, " for i, k in enumerate(kinds)) + "n_bytes long, perplexity double"
 
-    def score(packs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def score(key, answered):
         import zstandard
-
-        z = zstandard.ZstdDecompressor()
-        order_ = np.argsort(table["g"].to_numpy())
-        keys, logp = table["g"].to_numpy()[order_], table["logp"].to_numpy()[order_]
-        ids, n, s = [], [], []
-        for blob, sizes, own in zip(packs["blob"], packs["sizes"], packs["ids"]):
-            texts = _unpack(z.decompress(blob), sizes)
-            for part in _batches(texts):
-                g, k = _grams(part, order)
-                u, at = np.unique(g, return_inverse=True)
+        from pyarrow import fs
+
+        g = answered.column("g").to_numpy()
+        place = np.argsort(g)
+        keys, logp = g[place], answered.column("logp").to_numpy()[place]
+        store, top = fs.FileSystem.from_uri(folder)
+        with store.open_input_stream(f"{top}/{key[0].as_py():x}") as f:
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(f.read())
+        parts, n, s = [], [], []
+        for batch in pa.ipc.open_stream(raw):
+            parts.append(batch)
+            for some in _batches([(t or "").encode() for t in batch.column(0).to_pylist()]):
+                x, k = _grams(some, order)
+                u, at = np.unique(x, return_inverse=True)
                 lp = logp[np.searchsorted(keys, u)] if len(u) else np.zeros(0, np.float32)
-                owner = np.repeat(np.arange(len(part)), k)
-                s.append(np.bincount(owner, lp[at] if len(u) else None, len(part)))
+                s.append(np.bincount(np.repeat(np.arange(len(some)), k), lp[at] if len(u) else None, len(some)))
                 n.append(k)
-            ids.append(np.asarray(own))
-        ids, n, s = (np.concatenate(x) if x else np.zeros(0) for x in (ids, n, s))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            per = np.where(n > 0, np.exp(-s / n), np.nan)
-        give_back()
-        return pd.DataFrame({"id": ids.astype(np.int64), "n_bytes": n.astype(np.int64), "perplexity": per})
-
-    out = _packs(spread).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "id long, n_bytes long, perplexity double")
-    return out.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.col("perplexity")))
-
-
-def _unpack(raw: bytes, sizes) -> list[memoryview]:
-    ends, view = np.cumsum(sizes).tolist(), memoryview(raw)
-    return [view[e - int(n) : e] for e, n in zip(ends, sizes)]
-
-
-def _packs(spread: DataFrame) -> DataFrame:
-    """(id, text, chunk) -> (chunk, ids, sizes, blob): texts of a task by chunk, compressed.
-
-    Packed before the shuffle, a text crosses it at less than half of its size.
-    """
-
-    def pack(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        held, size, now = ([], []), 0, None
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                for i, t, c in zip(*(x.to_pylist() for x in b.slice(at, 1000).columns)):
-                    if c != now or size > CHUNK_BYTES:
-                        if held[0]:
-                            yield flush(now, *held, z)
-                        held, size, now = ([], []), 0, c
-                    t = (t or "").encode()
-                    held[0].append(i)
-                    held[1].append(t)
-                    size += len(t)
-        if held[0]:
-            yield flush(now, *held, z)
-        del held
+        n, s = np.concatenate(n).astype(np.int64), np.concatenate(s)
+        per = np.exp(-s / np.maximum(n, 1))
+        whole = pa.Table.from_batches(parts).drop_columns(["text"])
+        out = whole.append_column("n_bytes", pa.array(n)).append_column("perplexity", pa.array(per, mask=n == 0))
+        del raw, parts
         give_back()
+        return out
 
-    def flush(chunk, ids, texts, z):
-        row = {"chunk": [chunk], "ids": [ids], "sizes": [[len(t) for t in texts]], "blob": [z.compress(b"".join(texts))]}
-        return pa.RecordBatch.from_pydict(row, schema)
-
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())])
-    return spread.mapInArrow(pack, "chunk long, ids array<long>, sizes array<long>, blob binary")
+    out = answers.groupBy("chunk").applyInArrow(score, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(give)], "n_bytes", "perplexity")
 
 
 def thresholds(scored: DataFrame, keep: float) -> DataFrame:
@@ -272,8 +262,18 @@ def thresholds(scored: DataFrame, keep: float) -> DataFrame:
     return t.where((F.col("n") >= LEAST_DOCS) | (F.col("lkey") == "")).select("lkey", "threshold")
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.99, slack: float = 1.05, doubt: float = 1.0, order: int = ORDER) -> DataFrame:
-    """docs (doc_id, text, lang, ...) with n_bytes, perplexity, threshold and kept.
+ADDED = ("n_bytes", "perplexity", "threshold", "kept")
+
+
+def names(docs: DataFrame) -> dict[str, str]:
+    """What classify calls the columns it adds: their names, with underscores where docs has such."""
+    return {c: free_name(docs, c) for c in ADDED}
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, keep: float = 0.99, slack: float = 1.05, doubt: float = 1.0, order: int = ORDER, columns: list[str] | None = None
+) -> DataFrame:
+    """docs (doc_id, text, lang, ...), or `columns` of it, with n_bytes, perplexity, threshold and kept.
 
     Trusted text: all documents that labels (doc_id, quality, toxic) call good and not toxic. A
     fifth of them, by the hash of doc_id, is not trained on and sets the thresholds, for the
@@ -285,30 +285,34 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.99, slack: floa
     own; a null doc_id is never trusted but scored; repeated rows are scored each; a doc_id that
     labels hold twice is trusted if every one of its rows agrees. Without trusted text the
     model is uniform; without any that is held out the threshold is null and every document
-    with text kept. Empty tables give
-    no rows. docs is read several times and must come in the same order each time, as a stored
-    table does. Added columns replace such of the same name.
+    with text kept. Empty tables give no rows. Rows are never numbered: a document's columns
+    travel with it to its score. An added column that docs has already is called by names(docs).
     """
-    names = [c for c in docs.columns if c not in ("n_bytes", "perplexity", "threshold", "kept")]
-    base = docs.select(*names).withColumn("__row", F.monotonically_increasing_id())
+    called, out = names(docs), docs.columns if columns is None else columns
     good = labels.groupBy("doc_id").agg(
         (F.min(F.coalesce("quality", F.lit(0))) > 0).alias("ok"), (F.max(F.coalesce("toxic", F.lit(0))) == 0).alias("mild")
     )
     fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) == 0
-    good = written(good.where("ok and mild and doc_id is not null").select("doc_id", fold.alias("trusted")))
-    few = good.count() <= BROADCAST_ROWS
-    side = F.broadcast(good) if few else good
-    tables = model(counts(base.join(side.where("not trusted"), "doc_id", "left_semi"), order), order)
-    scored = perplexities(base.select(F.col("__row").alias("id"), "text"), tables, order)
-    heads = base.select("__row", "doc_id", "lang").join(side, "doc_id", "left")
-    heads = heads.join(scored.withColumnRenamed("id", "__row"), "__row")
-    heads = written(heads.select("__row", "n_bytes", "perplexity", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted")))
-    cut = written(thresholds(heads, keep))
-    every = cut.where("lkey = ''").select(F.col("threshold").alias("of_all"))
-    heads = heads.withColumn("lkey", F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("n")))
-    top = every.first()
-    heads = heads.join(cut.where("lkey <> ''"), "lkey", "left").withColumn("threshold", F.coalesce("threshold", F.lit(top[0] if top else None).cast("double")))
+    good = written(good.where("ok and mild and doc_id is not null").select(F.col("doc_id").alias("id"), fold.alias("trusted")))
+    side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    tables = model(counts(texts.join(side.where("not trusted"), "id", "left_semi"), order), order)
+    give = list(dict.fromkeys([*out, "doc_id", "lang"]))
+    if "text" in give:  # a column of its own, as the text that is scored may not be given
+        scored = perplexities(docs, tables, order, tuple(give))
+    else:
+        scored = perplexities(docs.select("text", *give), tables, order, tuple(give))
+    at = {c: f"c{i}" for i, c in enumerate(give)}
+    scored = scored.toDF(*at.values(), "n_bytes", "perplexity")
+    scored = scored.join(side.withColumnRenamed("id", at["doc_id"]), at["doc_id"], "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    scored = written(scored)
+    lang = F.col(at["lang"])
+    cut = written(thresholds(scored.select("n_bytes", "perplexity", "trusted", lang.alias("lang")), keep))
+    top = cut.where("lkey = ''").first()
+    scored = scored.withColumn("lkey", F.coalesce(F.concat(F.lit("l"), lang), F.lit("n")))
+    scored = scored.join(cut.where("lkey <> ''"), "lkey", "left")
+    scored = scored.withColumn("threshold", F.coalesce("threshold", F.lit(top["threshold"] if top else None).cast("double")))
     most = F.col("threshold") * F.lit(slack) * F.exp(F.lit(doubt) / F.sqrt(F.greatest("n_bytes", F.lit(1))))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= most, F.lit(True))
-    heads = written(heads.select("__row", "n_bytes", "perplexity", "threshold", kept.alias("kept")))
-    return base.join(heads, "__row").select(*names, "n_bytes", "perplexity", "threshold", "kept")
+    scored = scored.withColumn("kept", kept)
+    return scored.select(*[F.col(at[c]).alias(c) for c in out], *[F.col(c).alias(called[c]) for c in ADDED])

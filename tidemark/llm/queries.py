@@ -46,8 +46,7 @@ def op8_ngram_jaccard(spark, sf_dir):
 
 
 def op9_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "lang"])
 
 
 def op10_token_counts(spark, sf_dir):

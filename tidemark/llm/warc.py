@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import BROADCAST_ROWS, numbered, shared_dir, written
 
 #: Payloads below this many bytes are always stored.
 LEAST_BYTES = 1000
@@ -33,27 +33,24 @@ def deduplicate(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, payload, digest (hex), refers_to, is_revisit.
 
     Of equal payloads of at least `least` bytes the row with the largest page_id (a null is
-    smallest; among rows of the same page_id one) is kept and the others refer to it. Only
-    digests are gathered, and only those that occur twice; html moves in one join, whose
-    hot digests Spark splits.
+    smallest; among rows of the same page_id one) is kept and the others refer to it. The pages
+    are numbered and written once, and all else reads that table. Only digests are gathered, and
+    only those that occur twice; the few revisits come to the pages by a broadcast, and by a
+    shuffle where they are more than BROADCAST_ROWS.
     """
-    base = pages.select(
-        F.monotonically_increasing_id().alias("__row"),
-        pages["page_id"].alias("page_id"),
-        pages["url"].alias("url"),
-        F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8").alias("payload"),
-    )
-    base = base.withColumn("digest", F.sha1("payload"))
-    heads = written(base.select("__row", "page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least))
+    payload = F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8")
+    base = numbered(pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest")), "row")
+    heads = base.select("row", "page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     best = (
         heads.groupBy("digest")
-        .agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "__row")).alias("best"), F.count("*").alias("k"))
+        .agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "row")).alias("best"), F.count("*").alias("k"))
         .where("k > 1")
-        .select("digest", F.col("best.page_id").alias("keeper"), F.col("best.__row").alias("keeper_row"))
+        .select("digest", F.col("best.page_id").alias("keeper"), F.col("best.row").alias("keeper_row"))
     )
     # a revisit needs no payload, so rows are matched by their number and html stays where it is read
-    revisits = heads.join(best, "digest").where("__row <> keeper_row").select("__row", F.col("keeper").alias("refers_to"), F.lit(True).alias("r"))
-    j = base.join(revisits, "__row", "left")
+    revisits = written(heads.join(best, "digest").where("row <> keeper_row").select("row", F.col("keeper").alias("refers_to"), F.lit(True).alias("r")))
+    side = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
+    j = base.join(side, "row", "left")
     return j.select("page_id", "url", "payload", "digest", "refers_to", F.coalesce("r", F.lit(False)).alias("is_revisit"))
 
 
