@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language, mixing, packing, quality
-from tidemark.llm.common import table, written
+from tidemark.llm.common import free_name, numbered, table, written
 
 #: A document stays if some language has at least this mean probability over its bytes.
 LEAST_SCORE = 0.5
@@ -19,26 +19,34 @@ LEAST_SCORE = 0.5
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted text's model their language allows."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.where(F.col(quality.names(docs)["kept"])).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without letters or of no clear language go."""
-    seen = language.predict(docs, language.fit(docs))
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    seen = language.predict(docs, language.fit(docs), pred, score)
+    return seen.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id."""
-    kept = jaccard.join(docs).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").select(*docs.columns)
+    """One document of each group of near-duplicates, the one of the smallest doc_id.
+
+    The rows are numbered in a written table, which alone is read from then on.
+    """
+    n = free_name(docs, "row_number")
+    rows = numbered(docs, n)
+    kept = jaccard.join(rows, row=n).where("kept").select(F.col("row").alias(n))
+    return rows.join(kept, n, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a repeated document is a repeated row."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("row").alias("__row"), "copies")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken, "__row")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    n, c = free_name(docs, "row_number"), free_name(docs, "copies")
+    rows = numbered(docs, n)
+    taken = mixing.mix(rows, row=n).where("copies > 0").select(F.col("row").alias(n), F.col("copies").cast("int").alias(c))
+    return rows.join(taken, n).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(c))).alias(c)).drop(c)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
