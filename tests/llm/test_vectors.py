@@ -44,13 +44,55 @@ def clustered(seed, n, dims=8, spread=0.25):
     return [(int(i), [float(y) for y in v]) for i, v in zip(rng.permutation(n), x.astype(np.float32))]
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 2000), (6, 2000), (6, 17), (40, 25)])
-def test_links_equal_all_pairs(spark, monkeypatch, pivots, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
-    rows = clustered(pivots, 240)
+@pytest.mark.parametrize("pivots,block,spread", [(1, 2000, 0.25), (6, 2000, 0.25), (6, 17, 0.25), (40, 25, 0.25), (6, 50, 0.02)])
+def test_links_equal_all_pairs(spark, monkeypatch, pivots, block, spread):
+    monkeypatch.setattr(vectors, "HOME_BLOCK", block)
+    monkeypatch.setattr(vectors, "GUEST_BLOCK", block + 3)
+    rows = clustered(pivots, 240, spread=spread)
     same(vectors.link(frame(spark, rows), "vec_id", "embedding", pivots=pivots).collect(), brute_links(rows))
 
 
+def test_cores_settle_hot_groups(spark):
+    """Two groups of near copies whose balls overlap in reach, stragglers around them, exact copies."""
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=16)
+    c /= np.linalg.norm(c)
+    away = rng.normal(size=16)
+    away -= c * (away @ c)
+    away /= np.linalg.norm(away)
+    at = lambda angle, n, noise: np.cos(angle) * c + np.sin(angle) * away + noise * rng.normal(size=(n, 16))
+    x = np.concatenate([at(0, 120, 0.01), at(0.3, 100, 0.01), at(0.44, 20, 0.02), at(0.6, 20, 0.05), rng.normal(size=(60, 16))])
+    x[200:220] = x[5]
+    rows = [(int(i), [float(y) for y in v]) for i, v in zip(rng.permutation(len(x)), x.astype(np.float32))]
+    same(vectors.link(frame(spark, rows), "vec_id", "embedding").collect(), brute_links(rows))
+    sample = np.array([v for _, v in rows])
+    assert len(vectors._cores(sample / np.linalg.norm(sample, axis=1)[:, None], np.sqrt(0.2))) >= 2
+
+
+def compared(spark, path):
+    """(rows, pairs compared, cells used) for a table."""
+    e = spark.read.parquet(path)
+    classes = vectors.numbered(e.where("embedding IS NOT NULL").selectExpr("transform(embedding, x -> cast(x as double)) AS v", "cast(1 as long) AS copies"), "class")
+    classes = classes.where(vectors.usable(classes["v"])).select("class", "copies", "v")
+    used = []
+    real = vectors._cells
+    vectors._cells = lambda cores, reach, pivots, radius: used.append(len(cores) + len(pivots)) or real(cores, reach, pivots, radius)
+    try:
+        found = vectors._link_classes(classes, 0.9, None)
+    finally:
+        vectors._cells = real
+    return classes.count(), found.agg({"compared": "sum"}).first()[0], used[0]
+
+
+def test_cells_prune(spark):
+    """More than one cell, a small share of all pairs, and growth below the square of the rows."""
+    n1, c1, k1 = compared(spark, "/root/testdata/sf0.01/embeddings.parquet")
+    n2, c2, k2 = compared(spark, "/root/testdata/sf0.1/embeddings.parquet")
+    assert min(k1, k2) > 1
+    assert c1 <= 0.5 * n1 * (n1 - 1) / 2 and c2 <= 0.35 * n2 * (n2 - 1) / 2
+    assert c2 / c1 < 0.75 * (n2 / n1) ** 2
+
+
 AWKWARD = [
     (1, [1.0, 0.0]),
     (2, [2.0, 0.1]),
@@ -105,6 +147,9 @@ def test_neighbours_of_awkward_rows(spark):
     assert {r.query_id for r in got} == {1, 2, 8, 11}
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 1] == [8, 2, 11]
     assert vectors.nearest(frame(spark, []), frame(spark, []), "vec_id", "embedding").collect() == []
+    nameless = frame(spark, [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0])])
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in vectors.nearest(nameless, nameless, "vec_id", "embedding").collect() if r.query_id == 2)
+    assert [g[2] for g in got] == [None, 1]
 
 
 @pytest.mark.parametrize("n,times,list_rows", [(12, 2, 1000), (120, 3, 1000), (120, 3, 20)])
@@ -129,6 +174,40 @@ def test_neighbours_of_every_length_and_of_far_more_lists_than_the_first_width(s
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {w[:3] for w in want}
 
 
+def separated(groups, each, dims=24, seed=5):
+    """Points in groups that lie far apart, and their group."""
+    rng = np.random.default_rng(seed)
+    c = 50 * rng.normal(size=(groups, dims))
+    return np.concatenate([c[g] + rng.normal(size=(each, dims)) for g in range(groups)])
+
+
+@pytest.mark.parametrize("groups", [10, 40, 100])
+def test_graph_reaches_the_nearest_centroid(groups):
+    c = separated(groups, 25)
+    g = vectors.Graph(c)
+    assert vectors.Graph._parts([set(map(int, x)) for x in g.near]).max() == 0
+    rng = np.random.default_rng(1)
+    hit = 0
+    for i in range(0, len(c), 7):
+        q = c[i] + 0.3 * rng.normal(size=c.shape[1])
+        found, d = g.search(q, 8, 16)
+        hit += int(((c - q) ** 2).sum(1).argmin()) == found[0]
+        assert list(d) == sorted(d)
+    assert hit >= 0.98 * len(range(0, len(c), 7))
+
+
+@pytest.mark.parametrize("groups", [40, 100])
+def test_recall_on_separated_groups(spark, groups):
+    x = separated(groups, 30, seed=9)
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x.astype(np.float32))]
+    df = frame(spark, rows)
+    got = vectors.nearest(df.where("vec_id % 20 = 0"), df, "vec_id", "embedding", list_rows=4, width=8).collect()
+    want = brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 10)
+    mine = {(r.query_id, r.vec_id) for r in got}
+    assert len(got) == len(want)
+    assert sum((q, i) in mine for q, _, i, _ in want) >= 0.9 * len(want)
+
+
 def test_recall_on_the_table(spark):
     """With the parameters of the query."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -10,14 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, united, written
+from .common import connected_components, numbered, united, written
 
 #: Bound on the sample that pivots and centroids are fitted to, and on their number.
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 4096
-#: Rows of a block: a pair of blocks is one unit of comparing, whatever a cell holds.
-BLOCK = 8000
-#: What the choice of pivots weighs: comparing a pair, and sending a row to a unit.
-PAIR_COST, ROW_COST = 1.5e-8, 1e-5
+#: Rows that a cell should be home to, and cells at most.
+CELL_ROWS, MOST_CELLS = 4000, 256
+#: Rows of a home block and of a block of visitors: two blocks are one unit of comparing, whatever a cell holds.
+HOME_BLOCK, GUEST_BLOCK = 8000, 12_000
+#: Rows for an inner pivot, and distances to inner pivots held at most: a unit is cut once more by
+#: pivots of its own, and only cells in reach are compared.
+INNER_ROWS, INNER_DISTANCES = 10, 1 << 24
+#: What stands for a null id while neighbours are sought.
+NO_ID = -(1 << 63)
+#: Share of the sample that a ball must hold to be a cell whose rows all link with each other.
+CORE_SHARE = 0.002
 
 
 def usable(col):
@@ -85,81 +93,123 @@ def _places(x: np.ndarray, pivots: np.ndarray, radius: float):
     return home, *np.nonzero(plane & near & smaller)
 
 
-def _choose_pivots(sample: np.ndarray, total: int, radius: float) -> np.ndarray:
-    """The pivots, of several numbers of them, that promise the least work by the sample."""
-    scale, best = total / len(sample), None
-    for k in (1, 4, 16, 64, 256):
-        if k > max(1, len(sample) // 4):
+def _cores(sample: np.ndarray, radius: float) -> np.ndarray:
+    """Centres of balls of half the radius, disjoint in the sample, that hold CORE_SHARE of it.
+
+    All rows of such a ball are links of each other, so a hot group of near copies is counted
+    by its centre and is never compared pair by pair. Candidates are centroids of the sample.
+    """
+    least, left, found = max(16, int(CORE_SHARE * len(sample))), sample, []
+    while len(left) >= least:
+        c = _unit(_kmeans(left, min(128, max(1, len(left) // 16)), 4))
+        inside = _squared(left, c) <= (radius / 2 - 1e-7) ** 2
+        held = inside.sum(0)
+        took = np.zeros(len(left), bool)
+        for j in np.argsort(-held, kind="stable"):
+            free = inside[:, j] & ~took
+            if held[j] >= least and free.sum() >= least:
+                found.append(c[j])
+                took |= inside[:, j]
+        if not took.any():
             break
-        p = _kmeans(sample, k)
-        home, _, cell = _places(sample[:4000], p, radius)
-        up = scale * len(sample) / min(len(sample), 4000)
-        h, g = (np.bincount(c, minlength=len(p)) * up for c in (home, cell))
-        cost = PAIR_COST * (h * (h / 2 + g)).sum() + ROW_COST * ((h + g) * np.ceil((h + g) / BLOCK)).sum()
-        if best is None or cost < best[0]:
-            best = cost, p
-    return best[1]
+        left = left[~took]
+    return np.array(found).reshape(-1, sample.shape[1])
+
 
+def _cells(cores: np.ndarray, reach: np.ndarray, pivots: np.ndarray, radius: float):
+    """A task function: (set, copies, v) -> cell, home, id, copies, v, links.
 
-def _cells(pivots: np.ndarray, radius: float):
-    """A task function: each vector's cells, (cell, home, id, copies, v)."""
+    The cores are the first cells. A row in a core is at home in the nearest one. Any row with a
+    home of larger number looks at each core by the triangle inequality: beyond the core's reach
+    plus the radius it links with nothing there; within the radius less the reach it links with
+    all, which a row without a vector says; between them it visits. Other rows are at home with
+    their nearest pivot and visit as _places says.
+    """
+    k = len(cores)
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                home, rows, cells = _places(_unit(_matrix(part.column(2))), pivots, radius)
-                rows = np.concatenate([np.arange(len(home)), rows])
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([home, cells]).astype(np.int32)), pa.array(home[rows].astype(np.int32)), *(c.take(take) for c in part.columns)],
-                    ["cell", "home", "id", "copies", "v"],
-                )
+                x = _unit(_matrix(part.column(2)))
+                home, rows, cells = _places(x, pivots, radius)
+                home, cells = home + k, cells + k
+                whole = np.zeros((2, 0), np.int64)
+                if k:
+                    d = np.sqrt(_squared(x, cores))
+                    near = d.argmin(1)
+                    inside = d[np.arange(len(x)), near] <= radius / 2 - 1e-7
+                    keep = ~inside[rows]
+                    rows, cells = rows[keep], cells[keep]
+                    home = np.where(inside, near, home)
+                    before = np.arange(k)[None, :] < home[:, None]
+                    every = before & (d <= radius - reach[None, :] - 1e-7)
+                    some = before & ~every & (d <= radius + reach[None, :] + 1e-7)
+                    whole = np.array(np.nonzero(every))
+                    r, c = np.nonzero(some)
+                    rows, cells = np.concatenate([rows, r]), np.concatenate([cells, c])
+                for take, cell, full in ((np.concatenate([np.arange(len(x)), rows]), np.concatenate([home, cells]), False), (whole[0], whole[1], True)):
+                    at_ = pa.array(take)
+                    v = pa.nulls(len(take), part.schema.field(2).type) if full else part.column(2).take(at_)
+                    cols = [pa.array(cell.astype(np.int32)), pa.array(home[take].astype(np.int32)), part.column(0).take(at_), part.column(1).take(at_), v]
+                    yield pa.RecordBatch.from_arrays(cols, ["cell", "home", "id", "copies", "v"])
 
     return run
 
 
+def _core_reach(classes: DataFrame, cores: np.ndarray, radius: float) -> np.ndarray:
+    """The distance of each core's farthest row from its centre: one small row a task and core."""
+
+    def far(batches):
+        top = np.zeros(len(cores))
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                d = np.sqrt(_squared(_unit(_matrix(b.column(0).slice(at, 2000))), cores))
+                near = d.argmin(1)
+                own = d[np.arange(len(d)), near]
+                inside = own <= radius / 2 - 1e-7
+                np.maximum.at(top, near[inside], own[inside])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cores))), pa.array(top)], ["core", "far"])
+
+    found = classes.select("v").mapInArrow(far, "core long, far double").groupBy("core").agg(F.max("far").alias("far"))
+    return np.array([r["far"] for r in found.orderBy("core").collect()])
+
+
 def link(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9, pivots: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row, linked by cosine >= least, exactly.
 
-    Equal directions are one class: pairs are sought between distinct vectors only, and a
-    class counts as often as it has rows. Unit vectors within the Euclidean radius of the
-    cosine are found by cells around pivots, which join independently; a cell of any size is
-    compared in pairs of blocks, so no task holds more than two blocks. A task gives a row
-    for each vector, not for each pair.
+    Equal vectors are one class: pairs are sought between distinct vectors only, and a class
+    counts as often as it has rows. Unit vectors within the Euclidean radius of the cosine
+    are found by cells around pivots, which join independently: the triangle inequality says
+    which cells a row visits. Dense balls of half the radius are cells of their own whose rows
+    all link with each other, uncompared. Inside a cell pivots of its own cut once more, so that
+    few pairs are compared; a cell of any size is compared in pairs of blocks, so no task holds
+    more than two blocks. A task gives a row for each vector, not for each pair.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing;
     component_id is then their id. Vectors of differing length never link. Repeated ids count as
     rows; a null id links like any other row but is nobody's component_id unless alone. An
     empty table gives no rows.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), usable(F.col(vec_col)).alias("ok"))
-    # a class is a vector bit for bit; equal classes have cosine 1
-    base = base.withColumn("class", F.when(F.col("ok"), F.xxhash64("v")))
-    base = written(base)
-    classes = base.where("ok").groupBy("class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
-    classes = written(classes.withColumn("n", F.size("v")))
+    base = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"), usable(F.col(vec_col)).alias("ok")))
+    # a class is a vector, component for component; equal ones have cosine 1
+    classes = base.where("ok").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    classes = numbered(classes.withColumn("n", F.size("v")), "class")
     parts = [r["n"] for r in classes.select("n").distinct().collect()]
-    sums, edges = [], []
-    for n in parts:
-        s, e = _link_classes(classes.where(F.col("n") == n).select("class", "copies", "v"), least, pivots)
-        sums.append(s)
-        edges.append(e)
-    out = base.select("vec_id", "class")
+    out = base.select("vec_id", F.when(F.col("ok"), F.col("v")).alias("v"))
     if not parts:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links, pairs = sums[0], edges[0]
-    for s, e in zip(sums[1:], edges[1:]):
-        links, pairs = links.unionByName(s), pairs.unionByName(e)
-    links = links.groupBy("class").agg(F.sum("links").alias("links"))
-    comp = connected_components(pairs).withColumnRenamed("node", "class")
-    per = classes.select("class", "copies", "first").join(links, "class", "left").join(comp, "class", "left")
+    found = [_link_classes(classes.where(F.col("n") == n).select("class", "copies", "v"), least, pivots) for n in parts]
+    found = functools.reduce(DataFrame.unionByName, found).where("class >= 0")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    comp = connected_components(found.select(F.col("class").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "class")
+    per = classes.select("class", "v", "copies", "first").join(links, "class", "left").join(comp, "class", "left")
     per = written(per.withColumn("component", F.coalesce("component", "class")))
     least_id = per.groupBy("component").agg(F.min("first").alias("component_id"))
     per = per.join(least_id, "component").select(
-        "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id"
+        "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id"
     )
-    out = out.join(per, "class", "left")
+    out = out.join(per, "v", "left")
     own = F.coalesce("component_id", "vec_id").alias("component_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
@@ -169,14 +219,15 @@ def link(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9, pivo
 def _near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float):
     """Arrays (i, j) of the pairs of unit vectors with cosine >= least, each pair once.
 
-    Single precision finds them with a margin; double precision decides.
+    Single precision finds them, with a margin for its rounding, which grows with the length;
+    double precision decides.
     """
-    same, y = left is right, x.astype(np.float32)
+    same, y, margin = left is right, x.astype(np.float32), (x.shape[1] + 8) * 1.2e-7
     for s in range(0, len(left), 256):
         rows, cols = left[s : s + 256], right[s:] if same else right
         if not len(cols):
             continue
-        at, to = np.divmod(np.flatnonzero(y[rows] @ y[cols].T >= np.float32(least - 1e-5)), len(cols))
+        at, to = np.divmod(np.flatnonzero(y[rows] @ y[cols].T >= np.float32(least - margin)), len(cols))
         if same:
             at, to = at[to > at], to[to > at]
         i, j = rows[at], cols[to]
@@ -185,65 +236,191 @@ def _near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float
             yield i[exact >= least], j[exact >= least]
 
 
+def _inner(x: np.ndarray, radius: float):
+    """Rows of a unit cut by pivots of its own: (cells as arrays of rows, for each the rows to meet).
+
+    A row of cell i can only have a neighbour in cell j if its distance to the plane between the
+    pivots and the least such distance of j's rows sum to no more than the radius. It meets
+    those j of smaller number. With fewer rows than two cells need there is one cell.
+    """
+    k = min(len(x) // INNER_ROWS, INNER_DISTANCES // max(1, len(x)))
+    if k < 4:
+        return [np.arange(len(x))], [np.zeros(0, np.int64)]
+    pivots = _kmeans(x, k, 2)
+    k = len(pivots)
+    between = np.maximum(np.sqrt(_squared(pivots, pivots)), 1e-12)
+    home, gaps, margin = np.zeros(len(x), np.int64), np.empty((len(x), k), np.float32), np.full((k, k), np.inf, np.float32)
+    for s in range(0, len(x), 2048):
+        d2 = _squared(x[s : s + 2048], pivots)
+        h = d2.argmin(1)
+        home[s : s + 2048] = h
+        gaps[s : s + 2048] = (d2 - d2[np.arange(len(h)), h][:, None]) / (2 * between[h])
+        gaps[np.arange(s, s + len(h)), h] = 0
+    order = np.argsort(home, kind="stable")
+    first = np.searchsorted(home[order], np.arange(k + 1))
+    for i in np.flatnonzero(np.diff(first)):
+        margin[i] = gaps[order[first[i] : first[i + 1]]].min(0)
+    cells, guests = [], [[] for _ in range(k)]
+    for i in range(k):
+        own = order[first[i] : first[i + 1]]
+        cells.append(own)
+        if len(own):
+            r, c = np.nonzero(gaps[own, :i] + margin[:i, i][None, :] <= np.float32(radius + 1e-4))
+            for j in np.unique(c):
+                guests[j].append(own[r[c == j]])
+    return cells, [np.concatenate(g) if g else np.zeros(0, np.int64) for g in guests]
+
+
+def _unit_pairs(x: np.ndarray, side: np.ndarray, meet: np.ndarray, least: float, radius: float):
+    """(i, j, 0) of a unit's near pairs whose sides meet, by inner cells; last ([], [], pairs compared)."""
+    cells, guests = _inner(x, radius)
+    compared, none = 0, np.zeros(0, np.int64)
+    for own, far in zip(cells, guests):
+        one, two = own[side[own] == 0], own[side[own] == 1]
+        a, b = far[side[far] == 0], far[side[far] == 1]
+        todo = [(one, two), (one, b), (two, a)] if meet[0, 1] else []
+        todo += [(one, one), (one, a)] if meet[0, 0] else []
+        for left, right in todo:
+            compared += len(left) * (len(left) - 1) // 2 if left is right else len(left) * len(right)
+            for i, j in _near_pairs(x, left, right, least):
+                yield i, j, 0
+    yield none, none, compared
+
+
 def _link_classes(classes: DataFrame, least: float, pivots: int | None):
-    """Links of distinct vectors of one length: (class, links) and (u, v) edges."""
+    """Links of distinct vectors of one length, written: class, links, to (a class it is joined with);
+    rows of class -1 say in `compared` how many pairs a unit compared."""
     total = classes.count()
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
     sample = _unit(_sample(classes, "v", SAMPLE_ROWS))
-    centres = _kmeans(sample, pivots) if pivots else _choose_pivots(sample, total, radius)
+    cores = _cores(sample, radius) if least > 0 else sample[:0]
+    reach = _core_reach(classes, cores, radius) if len(cores) else np.zeros(0)
+    free = sample if not len(cores) else sample[_squared(sample, cores).min(1) > (radius / 2) ** 2]
+    free = free if len(free) else sample
+    # four cells at least where there are rows for them, and as many as keep a cell small
+    want = pivots or max(min(4, total // 16), min(MOST_CELLS, -(-total // CELL_ROWS)), 1)
+    centres = _kmeans(free, want)
+    k = len(cores)
     kind = classes.schema["v"].dataType.simpleString()
-    schema = f"cell int, home int, id long, copies long, v {kind}"
-    cells = written(classes.select("class", "copies", "v").mapInArrow(_cells(centres, radius), schema))
-    sizes = cells.groupBy("cell").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("cell", "blocks")
-    placed = cells.join(F.broadcast(sizes), "cell")  # one row a pivot, MOST_CENTRES at most
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-    # block b meets every block: the group (lo, hi) holds the rows of both
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    units = placed.select("cell", "home", "id", "copies", "v", "block", other)
-    units = units.select(
-        "cell", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "home", "id", "copies", "v", "block"
+    # a function of the written vectors alone, so it may be computed as often as it is read
+    cells = classes.select("class", "copies", "v").mapInArrow(_cells(cores, reach, centres, radius), f"cell int, home int, id long, copies long, v {kind}")
+    at_home = F.col("cell") == F.col("home")
+
+    # what the cores settle without comparing
+    settled = None
+    if k:
+        places = written(cells.where(F.col("cell") < k).select("cell", "id", "copies", at_home.alias("own"), F.col("v").isNull().alias("whole")))
+        core = places.groupBy("cell").agg(
+            F.coalesce(F.sum(F.when(F.col("own"), F.col("copies"))), F.lit(0)).alias("weight"),
+            F.min(F.when(F.col("own"), F.col("id"))).alias("rep"),
+            F.coalesce(F.sum(F.when(F.col("whole"), F.col("copies"))), F.lit(0)).alias("more"),
+        )
+        core = F.broadcast(written(core))  # a row for each core, bounded by their number
+        links = F.when(F.col("own"), F.col("weight") - F.col("copies") + F.col("more")).otherwise(F.col("weight"))
+        settled = places.where("own or whole").join(core, "cell").select(F.col("id").alias("class"), links.alias("links"), F.col("rep").alias("to"))
+
+    # a core's rows are compared only with visitors, so only where there are some
+    rows = cells.where("v is not null")
+    sizes = rows.groupBy("cell").agg(F.count_if(at_home).alias("own"), F.count_if(~at_home).alias("guests"))
+    sizes = sizes.where((F.col("cell") >= k) | (F.col("guests") > 0))
+    blocks = lambda c, n: F.greatest(F.lit(1), F.ceil(F.col(c) / n)).cast("int")
+    sizes = written(sizes.select("cell", blocks("own", HOME_BLOCK).alias("homes"), blocks("guests", GUEST_BLOCK).alias("groups")))
+    placed = rows.join(F.broadcast(sizes), "cell").withColumn("own", at_home)  # a row for each cell
+    h = F.xxhash64("id", F.lit(5))
+    placed = placed.withColumn("block", F.pmod(h, F.when(F.col("own"), F.col("homes")).otherwise(F.col("groups"))).cast("int"))
+    # a home block meets every block of visitors (with, itself: in the first of them) and every other home block
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    unit = lambda lo, hi, guests: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(guests).alias("guests"))
+    b = F.col("block")
+    mine = F.concat(
+        F.transform(to(F.col("groups")), lambda g: unit(b, g, True)),
+        F.transform(F.filter(to(F.col("homes")), lambda w: w != b), lambda w: unit(F.least(b, w), F.greatest(b, w), False)),
     )
+    units = placed.withColumn("u", F.explode(F.when(F.col("own"), mine).otherwise(F.transform(to(F.col("homes")), lambda w: unit(w, b, True)))))
+    units = units.select("cell", "u.lo", "u.hi", "u.guests", "own", "id", "copies", "v", "block")
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, lo, hi = key
+    def compare(key, pdf):
+        cell, lo, hi, guests = key
         x = _unit(_rows(pdf["v"]))
-        ids, copies, block = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        at_home = pdf["home"].to_numpy() == cell
-        home, guest = (np.flatnonzero(m & (block == lo)) for m in (at_home, ~at_home))
-        if lo == hi:  # two guests meet in another cell
-            sides = [(home, home), (home, guest)]
-        else:
-            sides = [(home, np.flatnonzero(block == hi)), (guest, np.flatnonzero((block == hi) & at_home))]
-        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        for left, right in sides:
-            for i, j in _near_pairs(x, left, right, least):
-                links += np.bincount(i, copies[j], len(x)).astype(np.int64) + np.bincount(j, copies[i], len(x)).astype(np.int64)
-                label = united(label, i, j)
+        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
+        # two rows meet if they are of the two sides, or both of the home block in its first unit; two
+        # rows at home in a core never do
+        side = (~pdf["own"].to_numpy() if guests else pdf["block"].to_numpy() != lo).astype(np.int64)
+        meet = np.zeros((2, 2), bool)
+        meet[0, 1] = meet[1, 0] = guests or cell >= k
+        meet[0, 0] = guests and hi == 0 and cell >= k
+        links, label, pairs = np.zeros(len(x), np.int64), np.arange(len(x)), 0
+        for i, j, n in _unit_pairs(x, side, meet, least, radius):
+            pairs += n
+            links += np.bincount(i, copies[j], len(x)).astype(np.int64) + np.bincount(j, copies[i], len(x)).astype(np.int64)
+            label = united(label, i, j)
         keep = np.flatnonzero(links)
-        return pd.DataFrame({"class": ids[keep], "links": links[keep], "to": ids[label[keep]]})
+        out = pd.DataFrame({"class": ids[keep], "links": links[keep], "to": ids[label[keep]], "compared": 0})
+        return pd.concat([out, pd.DataFrame({"class": [-1], "links": [0], "to": [-1], "compared": [pairs]})])
 
-    found = units.groupBy("cell", "lo", "hi").applyInPandas(compare, "class long, links long, to long")
-    found = written(found)
-    return found.select("class", "links"), found.select(F.col("class").alias("u"), F.col("to").alias("v"))
+    found = units.groupBy("cell", "lo", "hi", "guests").applyInPandas(compare, "class long, links long, to long, compared long")
+    if settled is not None:
+        found = found.unionByName(settled.withColumn("compared", F.lit(0).cast("long")))
+    return written(found)
 
 
 # -- nearest neighbours --------------------------------------------------------------------
 
 
 class Graph:
-    """The centroids with a graph of near neighbours, searched best-first in memory."""
-
-    def __init__(self, centres: np.ndarray, degree: int = 16, entries: int = 8):
-        self.c = centres
-        d = _squared(centres, centres)
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : degree + 1]
-        out = [set(map(int, r)) for r in near]
-        for i, r in enumerate(near):  # both ways, so that no centroid is out of reach of its neighbours
-            for j in r:
-                out[int(j)].add(i)
+    """The centroids with a graph of near neighbours, searched best-first in memory.
+
+    The graph is connected: its parts are joined by their shortest edges. A search starts from
+    many entries, spread over the centroids so that each is far from those before it, one in
+    every part at least; groups of centroids that lie far apart are so reached directly.
+    """
+
+    def __init__(self, centres: np.ndarray, degree: int = 16):
+        self.c, n = centres, len(centres)
+        out = [set() for _ in range(n)]
+        step = max(1, (1 << 22) // max(1, n))
+        for s in range(0, n, step):
+            d = _squared(centres[s : s + step], centres)
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            k = min(degree, n - 1)
+            near = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(d), 0), np.int64)
+            for i, r in enumerate(near, s):  # both ways, so that no centroid is out of reach of its neighbours
+                for j in map(int, r):
+                    out[i].add(j)
+                    out[j].add(i)
+        part = self._parts(out)
+        firsts = np.unique(part, return_index=True)[1]
+        while part.max(initial=0) > 0:  # the first part takes the one nearest to it
+            a, b = np.flatnonzero(part == 0), np.flatnonzero(part)
+            best = min(((d.min(), a[s + int(d.min(1).argmin())], b[int(d.min(0).argmin())]) for s in range(0, len(a), step) for d in [_squared(centres[a[s : s + step]], centres[b])]), key=lambda e: e[0])
+            i, j = int(best[1]), int(best[2])
+            out[i].add(j)
+            out[j].add(i)
+            part[part == part[j]] = 0
+            part = np.unique(part, return_inverse=True)[1]
         self.near = [np.fromiter(s, np.int64, len(s)) for s in out]
-        step = max(1, len(centres) // entries)
-        self.entries = np.arange(0, len(centres), step)[:entries]
+        entries, far = [], np.full(n, np.inf)
+        for e in [*firsts.tolist(), *([None] * max(8, n // degree))]:
+            e = int(far.argmax()) if e is None else e
+            if n and far[e] > 0:
+                entries.append(e)
+                far = np.minimum(far, _squared(centres, centres[e : e + 1])[:, 0])
+        self.entries = np.array(entries, np.int64)
+
+    @staticmethod
+    def _parts(out: list[set]) -> np.ndarray:
+        """The connected part of each node, numbered from 0."""
+        part, n = np.full(len(out), -1), 0
+        for i in range(len(out)):
+            if part[i] < 0:
+                todo, part[i] = [i], n
+                while todo:
+                    for j in out[todo.pop()]:
+                        if part[j] < 0:
+                            part[j] = n
+                            todo.append(j)
+                n += 1
+        return part
 
     def search(self, q: np.ndarray, want: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The `want` nearest centroids found, nearest first, and their distances."""
@@ -299,16 +476,17 @@ def posting_lists(vectors: DataFrame, centres: np.ndarray, id_col: str, vec_col:
 
     def run(batches):
         for b in batches:
-            x = _matrix(b.column(1))
-            if not len(x):
-                continue
-            d = np.sqrt(_squared(x, centres))
-            r = min(replicas, d.shape[1])
-            order = np.argsort(d, axis=1, kind="stable")[:, :r]
-            ok = np.take_along_axis(d, order, 1) <= slack * d.min(1)[:, None] + 1e-12
-            at, col = np.nonzero(ok)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(order[at, col].astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], ["list", "id", "v"])
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                d = np.sqrt(_squared(_matrix(part.column(1)), centres))
+                r = min(replicas, d.shape[1])
+                order = np.argpartition(d, r - 1, axis=1)[:, :r]
+                ok = np.take_along_axis(d, order, 1) <= slack * d.min(1)[:, None] + 1e-12
+                at, col = np.nonzero(ok)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(order[at, col].astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["list", "id", "v"]
+                )
 
     return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "list int, id long, v array<double>")
 
@@ -331,15 +509,16 @@ def nearest(
     id count once, at their smallest distance. A query asks the lists whose centroid,
     found by the graph, is at most `ratio` times as far as the nearest, and more only where
     those cannot hold k candidates; the search starts with `width` lists and widens until it has
-    them all. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows with a null id; each length of vectors has an
-    index and neighbours of its own. An index is fitted to SAMPLE_ROWS vectors at most and holds every row; long
+    them all. Vectors that are null, zero, or hold null or non-finite components take no part.
+    Rows with a null id are found like others, as one id that comes before any other (the least
+    long is kept for it), and ask nothing. Each length of vectors has an index and neighbours of
+    its own. An index is fitted to SAMPLE_ROWS vectors at most and holds every row; long
     lists are dealt over several tasks. Empty tables give no rows.
     """
-    pick = lambda d: d.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v")
+    pick = lambda d: d.where(usable(F.col(vec_col))).select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v")
     )
-    all_rows, asked = pick(vectors), pick(queries)
+    all_rows, asked = pick(vectors), pick(queries).where(F.col("id") != NO_ID)
     parts = sorted(r["n"] for r in all_rows.select(F.size("v").alias("n")).distinct().collect())
     schema = "query_id long, rank int, vec_id long, score double"
     if not parts:
@@ -351,7 +530,7 @@ def nearest(
     best = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     top = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("pos", "n")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score")
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.when(F.col("n.vec_id") != NO_ID, F.col("n.vec_id")).alias("vec_id"), F.col("n.score").alias("score")
     )
 
 
