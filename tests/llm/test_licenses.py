@@ -19,12 +19,13 @@ def runs(w):
 
 
 def brute(rows, templates):
-    out = []
+    out, sets = [], [(name, set(runs([x for x in split(body) if x]))) for name, body in templates]
     for doc_id, text in rows:
         sh = runs(split(text))
-        for name, body in templates:
-            own = list(dict.fromkeys(runs([x for x in split(body) if x])))
+        for name, own in sets:
             best = None
+            if own.isdisjoint(sh):
+                continue
             for p in [i for i, s in enumerate(sh) if s in own]:
                 at = [i for i in range(p, min(len(sh), p + len(own) + 5)) if sh[i] in own]
                 c = len({sh[i] for i in at}) / len(own)
@@ -76,22 +77,43 @@ def test_awkward_rows(spark):
     assert licenses.scan(documents(spark), [("none", "too few words")]).collect() == []
 
 
-def test_no_python_and_no_join(spark, sf_dir):
+def test_no_python_and_no_shuffled_join(spark, sf_dir):
     plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow|Join", plan)
-
-
-def test_bands_find_a_shared_shingle(spark):
-    """Windows that share one shingle of two meet in some band."""
-    df = spark.range(20_000).select(F.xxhash64("id").alias("x"), F.xxhash64(-F.col("id") - 1).alias("y"), F.xxhash64(F.col("id") + 10**9).alias("z"))
-    one, two = [F.col("x"), F.col("y")], [F.col("x"), F.col("z")]
-    same = [licenses._band(k, one) == licenses._band(k, two) for k in range(licenses.BANDS)]
-    hit = same[0]
-    for s in same[1:]:
-        hit = hit | s
-    assert df.where(~hit).count() <= 20_000 * (2 / 3) ** licenses.BANDS * 2 + 3
-    single = [licenses._band(k, one) == licenses._band(k, [F.col("x"), F.col("x")]) for k in range(licenses.BANDS)]
-    hit = single[0]
-    for s in single[1:]:
-        hit = hit | s
-    assert df.where(~hit).count() <= 20_000 * 0.5**licenses.BANDS * 2 + 3
+    assert not re.search("Python|Pandas|Arrow|SortMergeJoin|ShuffledHashJoin|Cartesian|NestedLoop", plan)
+
+
+def test_hundreds_of_templates(spark):
+    """Templates of all lengths, whole, altered up to a fifth of their shingles and over, in any place."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(900)]
+    templates = [(f"t{i}", " ".join(rng.choices(vocab, k=rng.choice([5, 9, 15, 17, 40, 52, 60, 200])))) for i in range(300)]
+    rows = []
+    for i in range(260):
+        w = rng.choices(vocab, k=rng.randint(0, 90))
+        b = rng.choice(templates)[1].split()
+        for _ in range(rng.choice([0, 0, 1, len(b) // 30, len(b) // 25])):
+            b[rng.randrange(len(b))] = "changed"
+        at = rng.randint(0, len(w))
+        rows.append((i, " ".join(w[:at] + b + w[at:])))
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"), rows, templates)
+    assert len(got) > 150 and any(r.containment < 1 for r in got)
+
+
+def test_a_table_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    rows = [(1, "x " + licenses.TEMPLATES[0][1]), (2, "nothing here"), (3, dict(licenses.TEMPLATES)["mit-license"])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, licenses.TEMPLATES)
+
+
+def test_bands_find_windows_as_often_as_stated(spark):
+    """A pair that shares one shingle, and the chance of rows and bands, over many random shingles."""
+    n = 20_000
+    df = spark.range(n).select(*[F.xxhash64("id", F.lit(k)).alias(f"x{k}") for k in range(4)])
+    x = [F.col(f"x{k}") for k in range(4)]
+    own = licenses._bands(x[0], x[0])
+    missed = df.where(~F.arrays_overlap(own, licenses._bands(x[1], x[0])) & ~F.arrays_overlap(own, licenses._bands(x[0], x[2])))
+    assert missed.count() <= 3
+    both = df.where(F.arrays_overlap(licenses._bands(x[0], x[1]), licenses._bands(x[2], x[3])))
+    assert both.count() == 0
+    share = df.where(F.get(licenses._bands(x[0], x[1]), F.lit(0)) == F.get(licenses._bands(x[0], x[2]), F.lit(0))).count() / n
+    assert abs(share - 1 / 3) < 0.02  # the Jaccard similarity of the two pairs
