@@ -6,35 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def backward(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, within_seconds: int | None = None) -> DataFrame:
+#: Seconds of a time slice: rows of one key are sorted by slices, not all in one task.
+SLICE = 86_400
+
+
+def _seconds(ts: str):
+    return F.col(ts).cast("timestamp").cast("long")
+
+
+def _carried(d: DataFrame, by: str, ts: str, seconds: int, later: bool) -> DataFrame:
+    """d (__side 0: rows that carry __v) with __got: struct (t, v) of the last carrying row at or before each
+    row's time, or of the next at or after it.
+
+    Every (by, slice of time) is sorted alone; the last (first) carrying row of each slice, one small
+    row, is handed on over the slices that have none.
+    """
+    d = d.withColumn("__slice", F.floor(_seconds(ts) / F.lit(seconds)))
+    own = F.when(F.col("__side") == 0, F.struct(F.col(ts).alias("t"), F.col("__v").alias("v")))
+    order = [F.col(ts).desc(), F.col("__side"), F.col("__v").desc()] if later else [F.col(ts), F.col("__side"), F.col("__v")]
+    inside = Window.partitionBy(by, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = d.groupBy(by, "__slice").agg((F.min(own) if later else F.max(own)).alias("__edge"))
+    along = Window.partitionBy(by).orderBy(F.col("__slice").desc() if later else F.col("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(by).alias("__by"), F.col("__slice").alias("__s"), F.last("__edge", ignorenulls=True).over(along).alias("__before"))
+    d = d.withColumn("__in", F.last(own, ignorenulls=True).over(inside))
+    d = d.join(ends, F.col(by).eqNullSafe(F.col("__by")) & F.col("__slice").eqNullSafe(F.col("__s")))
+    return d.withColumn("__got", F.coalesce("__in", "__before")).where("__side = 1")
+
+
+def _both(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
+    empty = {c: F.lit(None).cast(left.schema[c].dataType) for c in left.columns if c not in (by, ts)}
+    l = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(1)})
+    return l.unionByName(right.select(F.col(by), F.col(ts), F.col(value).alias("__v"), F.lit(0).alias("__side")).withColumns(empty))
+
+
+def backward(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, within_seconds: int | None = None, slice_seconds: int = SLICE) -> DataFrame:
     """left with the `value` of right's last row at or before its time, null if older than allowed.
 
-    One union, one sort by (by, ts): no pair of rows is ever formed.
+    A union, a sort by slices of time and one row a slice handed on: no pair of rows is formed and a
+    key with any share of the rows is spread over its slices. Of rows of one time the largest value counts.
     """
-    names = left.columns
-    l = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__t": F.lit(None).cast(right.schema[ts].dataType), "__side": F.lit(1)})
-    empty = {c: F.lit(None).cast(left.schema[c].dataType) for c in names if c not in (by, ts)}
-    r = right.select(F.col(by), F.col(ts), F.col(value).alias("__v"), F.col(ts).alias("__t"), F.lit(0).alias("__side")).withColumns(empty)
-    w = Window.partitionBy(by).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    d = l.unionByName(r).withColumn("__last", F.last(F.when(F.col("__side") == 0, F.struct("__v", "__t")), ignorenulls=True).over(w))
-    d = d.where("__side = 1")
-    v = F.col("__last.__v")
+    d = _carried(_both(left, right, by, ts, value), by, ts, slice_seconds, False)
+    v = F.col("__got.v")
     if within_seconds is not None:
-        age = F.col(ts).cast("timestamp").cast("long") - F.col("__last.__t").cast("timestamp").cast("long")
-        v = F.when(age <= within_seconds, v)
-    return d.select(*names, v.alias(value))
+        v = F.when(_seconds(ts) - F.col("__got.t").cast("timestamp").cast("long") <= within_seconds, v)
+    return d.select(*left.columns, v.alias(value))
 
 
-def forward(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
-    """left with the `value` of right's first row at or after its time."""
-    names = left.columns
-    l = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(0)})
-    empty = {c: F.lit(None).cast(left.schema[c].dataType) for c in names if c not in (by, ts)}
-    r = right.select(F.col(by), F.col(ts), F.col(value).alias("__v"), F.lit(1).alias("__side")).withColumns(empty)
-    # backwards in time the next row is the last one seen, which a growing frame keeps at no cost
-    w = Window.partitionBy(by).orderBy(F.col(ts).desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = l.unionByName(r).withColumn("__next", F.last(F.when(F.col("__side") == 1, F.struct("__v")), ignorenulls=True).over(w))
-    return d.where("__side = 0").select(*names, F.col("__next.__v").alias(value))
+def forward(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, slice_seconds: int = SLICE) -> DataFrame:
+    """left with the `value` of right's first row at or after its time; of rows of one time the smallest."""
+    d = _carried(_both(left, right, by, ts, value), by, ts, slice_seconds, True)
+    return d.select(*left.columns, F.col("__got.v").alias(value))
 
 
 def horizon_returns(signals: DataFrame, prices: DataFrame, days=(1, 7, 14, 30, 45, 60, 90)) -> DataFrame:
@@ -43,7 +64,7 @@ def horizon_returns(signals: DataFrame, prices: DataFrame, days=(1, 7, 14, 30, 4
     signal and horizon: id, symbol, day, horizon, entry, exit, ret."""
     h = signals.select("id", "symbol", "day", F.explode(F.array(F.lit(0), *[F.lit(d) for d in days])).alias("horizon"))
     h = h.withColumnRenamed("day", "signal_day").withColumn("day", F.expr("date_add(signal_day, greatest(horizon, 1))"))
-    got = forward(h, prices.select("symbol", "day", F.col("close").alias("price")), "symbol", "day", "price")
+    got = forward(h, prices.select("symbol", "day", F.col("close").alias("price")), "symbol", "day", "price", 64 * SLICE)
     entry = F.max(F.when(F.col("horizon") == 0, F.col("price"))).over(Window.partitionBy("id"))
     d = got.withColumn("entry", entry).where("horizon > 0")
     ret = F.when(F.col("entry") != 0, F.col("price") / F.col("entry") - 1)

@@ -1,4 +1,4 @@
-"""One query per indicator over hourly bars, and its steps as a chain of SQL tables."""
+"""One query per indicator over hourly bars, beside SQL that states its rule."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import indicators as I
+from ..operators import patterns as P
 from ..session import table
-from .define import QUERIES, SQL, bars_sql
+from .define import QUERIES, SQL
+from .indicator_sql import statement
 
 
 def hourly(spark, sf_dir, minutes: int = 60):
@@ -19,30 +21,13 @@ def _rounded(df, outputs):
     return df.select("symbol", "i", *[F.round(F.col(o).cast("double"), 6).alias(o) for o in outputs])
 
 
-def _chain(ind: I.Indicator) -> str:
-    have = {"symbol", "ts", "i", "open", "high", "low", "close", "volume", "wap", "n"}
-    parts = [bars_sql(60), "s0 AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i FROM b)"]
-    for k, s in enumerate(ind.steps):
-        if isinstance(s, I.rec):
-            parts.append(f"q{k} AS MATERIALIZED (SELECT symbol, i, CAST(({s.a}) AS DOUBLE) AS ra, CAST(({s.b}) AS DOUBLE) AS rb FROM s{k})")
-            parts.append(
-                f"r{k} AS (SELECT symbol, i, rb AS y FROM q{k} WHERE i = 0 UNION ALL "
-                f"SELECT q.symbol, q.i, q.ra * r.y + q.rb FROM r{k} r JOIN q{k} q ON q.symbol = r.symbol AND q.i = r.i + 1)"
-            )
-            parts.append(f"s{k + 1} AS MATERIALIZED (SELECT s.*, r.y AS {s.out} FROM s{k} s JOIN r{k} r ON r.symbol = s.symbol AND r.i = s.i)")
-            have.add(s.out)
-        else:
-            new = ", ".join(f"{e} AS {n}" for n, e in s.items() if n not in have)
-            parts.append(f"s{k + 1} AS MATERIALIZED (SELECT *{', ' + new if new else ''} FROM s{k})")
-            have |= set(s)
-    out = ", ".join(f"round(CAST({o} AS DOUBLE), 6) AS {o}" for o in ind.outputs)
-    return "WITH RECURSIVE " + ",\n ".join(parts) + f"\nSELECT symbol, i, {out} FROM s{len(ind.steps)}"
-
-
 def _register() -> None:
-    for name, ind in I.catalogue().items():
-        QUERIES[f"ind_{name}"] = lambda spark, sf_dir, ind=ind: _rounded(I.compute(hourly(spark, sf_dir), ind), ind.outputs)
-        SQL[f"ind_{name}"] = _chain(ind)
+    made = {n: (lambda b, i=i: I.compute(b, i), i.outputs) for n, i in I.catalogue().items()}
+    made |= {n: (lambda b, n=n: P.pivots(b, n), P.outputs(n)) for n in P.LEVELS}
+    made |= {n: (lambda b, n=n: P.candles(b, n), ["hit"]) for n in P.PATTERNS}
+    for name, (compute, outputs) in made.items():
+        QUERIES[f"ind_{name}"] = lambda spark, sf_dir, compute=compute, outputs=outputs: _rounded(compute(hourly(spark, sf_dir)), outputs)
+        SQL[f"ind_{name}"] = statement(name)
     QUERIES["ind_parabolic_sar"] = lambda spark, sf_dir: _rounded(I.parabolic_sar(hourly(spark, sf_dir)), ["sar"])
     QUERIES["ind_trailing_reverse"] = lambda spark, sf_dir: _rounded(I.trailing_reverse(hourly(spark, sf_dir)), ["stop", "side"])
     QUERIES["ind_zigzag"] = lambda spark, sf_dir: _rounded(I.zigzag(hourly(spark, sf_dir)), ["pivot", "price"])

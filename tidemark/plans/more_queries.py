@@ -79,16 +79,9 @@ def chain_selection(spark, sf_dir):
     return _contracts(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 3").select("root", "kind", "id", "n", "strike")
 
 
-@query(f"""WITH {_C}, o AS (SELECT id, n, row_number() OVER (ORDER BY root, kind, day, strike, id, n) AS pos FROM c) SELECT id, n, pos FROM o WHERE pos <= 100""")
-def contract_order(spark, sf_dir):
-    """Root, calls before puts, expiry, strike: the first hundred."""
-    top = _contracts(spark, sf_dir).orderBy("root", "kind", "day", "strike", "id", "n").limit(100)
-    return top.select("id", "n", F.row_number().over(Window.orderBy("root", "kind", "day", "strike", "id", "n")).cast("long").alias("pos"))
-
-
 @query(f"""WITH {_C} SELECT id, n, row_number() OVER (ORDER BY root NULLS FIRST, kind, day NULLS FIRST, strike NULLS FIRST, id NULLS FIRST, n NULLS FIRST) AS pos FROM c""")
-def contract_positions(spark, sf_dir):
-    """The place of every contract in the total order of `contract_order`, which reports the first hundred.
+def contract_order(spark, sf_dir):
+    """The place of every contract in the order of root, calls before puts, expiry and strike.
 
     Rows are counted by cell (root, kind, day); the cells before a row's own and its place inside
     make its position, so no task sorts the table."""
@@ -263,11 +256,3 @@ def moments(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(
         F.round(F.corr("value", "user_id"), 6).alias("correlation"), F.round(F.skewness("value") * adjust, 4).alias("skew_"), F.round(F.expr("percentile(value, 0.9)"), 6).alias("p90")
     )
-
-
-@query()
-def strategy_search(spark, sf_dir):
-    from ..operators import search
-
-    best = search.evolve(spark, hourly(spark, sf_dir), size=12, generations=2, elite=4)
-    return spark.createDataFrame([(k, *[p[f] for f in search.FIELDS], float(s)) for k, (p, s) in enumerate(best)], "rank int, fast int, slow int, polarity int, score double")

@@ -9,20 +9,15 @@ from ..functions import scalars as S
 from ..operators import backtest
 from ..session import table
 from .bar_queries import _bars
-from .define import SQL, bars_sql, query, stamp
+from .define import bars_sql, query, stamp
 from .indicator_queries import hourly
-from .study_queries import _WF, _WF_SQL, _signals, _T, _cdf_sql, _whole_sql
+from .study_queries import _WINDOWS, _signals, _T, _cdf_sql
 
-_P = f"""{bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), w(window_, a, z, c) AS (VALUES {_WF_SQL}),
- j AS (SELECT symbol, window_, CASE WHEN i < z THEN 'train' ELSE 'test' END AS part, close, i FROM s JOIN w ON i >= a AND i < c),
+_P = f"""{_WINDOWS},
  p AS (SELECT symbol, window_, arg_max(close, i) FILTER (part = 'train') / arg_min(close, i) FILTER (part = 'train') - 1 AS train, arg_max(close, i) FILTER (part = 'test') / arg_min(close, i) FILTER (part = 'test') - 1 AS test FROM j GROUP BY ALL)"""
 
 
 def _windows(spark, sf_dir):
-    return _performance(backtest.in_windows(hourly(spark, sf_dir), _WF))
-
-
-def _all_windows(spark, sf_dir):
     return _performance(backtest.in_all_windows(hourly(spark, sf_dir), 252, 63, 63))
 
 
@@ -59,18 +54,6 @@ def _model_choice(p):
     return m.groupBy("symbol").agg(F.max_by("window", F.struct("merit", -F.col("window"))).alias("best"), F.round(F.max("merit"), 6).alias("merit"))
 
 
-@query(_whole_sql(SQL["robustness"]))
-def robustness_all(spark, sf_dir):
-    """`robustness` over the windows of all bars, not of the first 600."""
-    return _robustness(_all_windows(spark, sf_dir))
-
-
-@query(_whole_sql(SQL["model_choice"]))
-def model_choice_all(spark, sf_dir):
-    """`model_choice` among the windows of all bars, not of the first 600."""
-    return _model_choice(_all_windows(spark, sf_dir))
-
-
 @query(f"""WITH {bars_sql(1440)}, f AS (SELECT symbol, ts, close, close / avg(close) OVER w - 1 AS trend, stddev_samp(close) OVER w / avg(close) OVER w AS vol FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
  SELECT symbol, {stamp()} AS ts, CASE WHEN trend > 0.08 AND vol < 0.3 THEN 'bull' WHEN trend < -0.08 THEN 'defensive' ELSE 'neutral' END AS regime,
   CASE WHEN trend > 0.08 AND vol < 0.3 THEN 0.9 WHEN trend < -0.08 THEN 0.4 ELSE 0.65 END::DOUBLE AS exposure FROM f""")
@@ -84,14 +67,14 @@ def regimes(spark, sf_dir):
 
 
 @query(f"""WITH {bars_sql(60)}, d AS (SELECT CAST(ts AS DATE) AS day, count(DISTINCT symbol) AS k FROM b GROUP BY CAST(ts AS DATE)), v AS (SELECT day FROM d WHERE k = (SELECT count(DISTINCT symbol) FROM b)),
- q AS (SELECT CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS x)
+ q AS (SELECT CAST(unnest(generate_series((SELECT min(day) - 7 FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS x)
  SELECT CAST(x AS VARCHAR) AS day, CAST((SELECT min(day) FROM v WHERE day > x AND day <= x + 30) AS VARCHAR) AS session FROM q""")
 def next_common_session(spark, sf_dir):
     """The first later day, within 30, on which every symbol has a bar."""
     b = _bars(spark, sf_dir, 60).select("symbol", F.to_date("ts").alias("s"))
     n = b.select("symbol").distinct().count()
     v = b.distinct().groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") == n).select("s")
-    q = spark.sql("SELECT explode(sequence(DATE'2023-12-25', DATE'2024-01-30')) AS x")
+    q = b.agg(F.min("s").alias("a"), F.max("s").alias("z")).select(F.explode(F.sequence(F.date_sub("a", 7), F.col("z"))).alias("x"))
     # each day looks thirty days ahead by an equality on the day, not by comparing all pairs
     ahead = q.select("x", F.explode(F.sequence(F.date_add("x", 1), F.date_add("x", 30))).alias("s")).join(v.withColumn("ok", F.lit(True)), "s", "left")
     return ahead.groupBy("x").agg(F.min(F.when(F.col("ok"), F.col("s"))).alias("n")).select(F.col("x").cast("string").alias("day"), F.col("n").cast("string").alias("session"))
@@ -136,18 +119,10 @@ def averaged_model(spark, sf_dir):
     return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-@query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b)
- SELECT symbol, round(sum(close * CASE WHEN i % 4 < 2 THEN 1 ELSE -1 END), 4) AS haar, round(sum(CASE WHEN i % 2 = 0 THEN close ELSE -close END), 4) AS fine FROM s WHERE i < 512 GROUP BY symbol""")
-def haar_details(spark, sf_dir):
-    s = hourly(spark, sf_dir).where("i < 512")
-    side = lambda c: F.round(F.sum(F.col("close") * F.when(c, 1).otherwise(-1)), 4)
-    return s.groupBy("symbol").agg(side(F.col("i") % 4 < 2).alias("haar"), side(F.col("i") % 2 == 0).alias("fine"))
-
-
 @query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, row_number() OVER (PARTITION BY symbol ORDER BY ts) = count(*) OVER (PARTITION BY symbol) AS final FROM b)
  SELECT symbol, round(sum(close * CASE WHEN final THEN CASE i % 4 WHEN 0 THEN 0 WHEN 2 THEN -2 ELSE -1 END WHEN i % 4 < 2 THEN 1 ELSE -1 END), 4) AS haar,
   round(sum(close * CASE WHEN i % 2 = 1 THEN -1 WHEN final THEN 0 ELSE 1 END), 4) AS fine FROM s GROUP BY symbol""")
-def haar_all_bars(spark, sf_dir):
+def haar_details(spark, sf_dir):
     """The details of every quad and pair; the last close is repeated until the last quad is full."""
     s = hourly(spark, sf_dir).withColumn("final", F.col("i") + 1 == F.count("*").over(Window.partitionBy("symbol")))
     i, total = F.col("i"), lambda w: F.round(F.sum(F.col("close") * w), 4)

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import backtest, insider, markov, risk
 from ..operators.indicators import catalogue, compute
 from ..session import table
-from .define import SQL, bars_sql, query
+from .define import bars_sql, query
 from .indicator_queries import hourly
 
 _B = f"""{bars_sql(60)}, s AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i FROM b),
@@ -97,20 +97,21 @@ def returns_t_test(spark, sf_dir):
     return risk.t_test(r, "symbol", "r").select("symbol", "n", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"), "df")
 
 
-_N = 680
-_WF = backtest.walk_forward(600, 252, 63, 63)
-_WF_SQL = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(_WF))
+#: CTEs s (bars with i) and w: the windows of each symbol's own number of bars, 252 to train and 63 to test.
+_WINDOWS = f"""{bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b),
+ w AS (SELECT symbol AS sy, CAST(a // 63 AS INT) AS window_, a, a + 252 AS z, a + 315 AS c FROM (SELECT symbol, unnest(range(0, count(*) - 314, 63)) AS a FROM s GROUP BY symbol)),
+ j AS (SELECT symbol, window_, CASE WHEN i < z THEN 'train' ELSE 'test' END AS part, close, i FROM s JOIN w ON sy = symbol AND i >= a AND i < c)"""
 
 
-@query(f"""WITH {bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), w(window_, a, z, c) AS (VALUES {_WF_SQL}),
- j AS (SELECT symbol, window_, CASE WHEN i < z THEN 'train' ELSE 'test' END AS part, close, i FROM s JOIN w ON i >= a AND i < c),
+@query(f"""WITH {_WINDOWS},
  p AS (SELECT symbol, window_, part, arg_max(close, i) / arg_min(close, i) - 1 AS perf FROM j GROUP BY ALL)
  SELECT symbol, count(*) FILTER (part = 'test') AS windows, round(median(perf) FILTER (part = 'test'), 6) AS med, round(avg(perf) FILTER (part = 'test'), 6) AS mean,
   round(avg(perf) FILTER (part = 'train') - avg(perf) FILTER (part = 'test'), 6) AS gap,
   round(0.5 * median(perf) FILTER (part = 'test') + 0.2 * avg(perf) FILTER (part = 'test') + 0.1 * avg(CASE WHEN perf > 0 THEN 1.0 ELSE 0.0 END) FILTER (part = 'test')
    + 0.2 * least(0.0, min(perf) FILTER (part = 'test')) - 0.3 * greatest(0.0, avg(perf) FILTER (part = 'train') - avg(perf) FILTER (part = 'test')), 6) AS score FROM p GROUP BY symbol""")
 def walk_forward_score(spark, sf_dir):
-    return _walk_forward_score(backtest.in_windows(hourly(spark, sf_dir), _WF))
+    """The composite over the windows of all bars of a symbol."""
+    return _walk_forward_score(backtest.in_all_windows(hourly(spark, sf_dir), 252, 63, 63))
 
 
 def _walk_forward_score(d):
@@ -123,40 +124,12 @@ def _walk_forward_score(d):
     return p.groupBy("symbol").agg(F.count(test).alias("windows"), r(F.median(test), "med"), r(F.avg(test), "mean"), r(gap, "gap"), r(score, "score"))
 
 
-def _whole_sql(sql: str) -> str:
-    """The same over the windows of each symbol's own number of bars."""
-    own = "w AS (SELECT symbol AS sy, CAST(a // 63 AS INT) AS window_, a, a + 252 AS z, a + 315 AS c FROM (SELECT symbol, unnest(range(0, count(*) - 314, 63)) AS a FROM s GROUP BY symbol))"
-    return sql.replace(f"w(window_, a, z, c) AS (VALUES {_WF_SQL})", own).replace("JOIN w ON i >= a", "JOIN w ON sy = symbol AND i >= a")
-
-
-@query(_whole_sql(SQL["walk_forward_score"]))
-def walk_forward_score_all(spark, sf_dir):
-    """`walk_forward_score` over the windows of all bars, not of the first 600."""
-    return _walk_forward_score(backtest.in_all_windows(hourly(spark, sf_dir), 252, 63, 63))
-
-
-_FOLDS = backtest.expanding_folds(600, 5, 5)
-_FOLDS_SQL = ", ".join(f"({k}, {b}, {c}, {d})" for k, (_, b, c, d) in enumerate(_FOLDS))
-
-
-@query(f"""WITH {bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), w(fold, te, ts_, tz) AS (VALUES {_FOLDS_SQL}),
- p AS (SELECT symbol, fold, avg(close) FILTER (i < te) AS train, avg(close) FILTER (i >= ts_ AND i < tz) AS test FROM s JOIN w ON true GROUP BY symbol, fold)
- SELECT symbol, fold, round(train, 6) AS train, round(test, 6) AS test FROM p""")
-def purged_folds(spark, sf_dir):
-    f = F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(b).alias("te"), F.lit(c).alias("ts"), F.lit(d).alias("tz")) for k, (_, b, c, d) in enumerate(_FOLDS)]))
-    d = hourly(spark, sf_dir).withColumn("f", f)
-    return d.groupBy("symbol", F.col("f.fold").alias("fold")).agg(
-        F.round(F.avg(F.when(F.col("i") < F.col("f.te"), F.col("close"))), 6).alias("train"),
-        F.round(F.avg(F.when((F.col("i") >= F.col("f.ts")) & (F.col("i") < F.col("f.tz")), F.col("close"))), 6).alias("test"),
-    )
-
-
 @query(f"""WITH {bars_sql(60)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), m AS (SELECT symbol AS sy, count(*) AS n, count(*) // 6 AS size FROM s GROUP BY symbol),
  w AS (SELECT sy, CAST(k AS INT) AS fold, size * (k + 1) AS te, size * (k + 1) + 5 AS ts_, least(n, size * (k + 1) + 5 + size // 2) AS tz FROM m, (SELECT unnest(range(0, 5)) AS k)),
  p AS (SELECT symbol, fold, avg(close) FILTER (i < te) AS train, avg(close) FILTER (i >= ts_ AND i < tz) AS test FROM s JOIN w ON sy = symbol GROUP BY symbol, fold)
  SELECT symbol, fold, round(train, 6) AS train, round(test, 6) AS test FROM p""")
-def purged_folds_all(spark, sf_dir):
-    """`purged_folds` with folds of each symbol's own number of bars, not of the first 600."""
+def purged_folds(spark, sf_dir):
+    """Means of expanding training parts and the purged tests behind them, by each symbol's own number of bars."""
     d = hourly(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("size", F.expr("n div 6"))
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("end", F.col("size") * (F.col("fold") + 1))
     i, start = F.col("i"), F.col("end") + 5
@@ -226,13 +199,6 @@ def value_by_role(spark, sf_dir):
     return _signals(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.round(F.avg("value"), 2).alias("mean"))
 
 
-@query()
-def insider_ledger(spark, sf_dir):
-    s = _signals(spark, sf_dir)
-    e = s.select((F.col("owner") % 40).alias("book"), "day", F.date_add("day", 30).alias("exit_day"), (F.col("price") / 1000).alias("entry"), (F.col("price") / 1000 * (1 + (F.col("id") % 21 - 10) / 100)).alias("exit"))
-    return insider.ledger(e)
-
-
 # -- Markov --------------------------------------------------------------------------------
 
 _M = f"""{bars_sql(60)}, s AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i FROM b),
@@ -379,18 +345,9 @@ def matrix_product(spark, sf_dir):
     return m.join(b, "j").groupBy(F.col("label").alias("r"), "c").agg(F.round(F.sum(F.col("x") * F.col("y")), 3).alias("v"))
 
 
-@query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), x AS (SELECT * FROM s WHERE i < 64), f AS (SELECT unnest(range(0, 33)) AS k)
- SELECT symbol, k, round(sqrt(pow(sum(close * cos(2 * pi() * k * i / 64)), 2) + pow(sum(close * sin(2 * pi() * k * i / 64)), 2)), 4) AS magnitude FROM x, f GROUP BY symbol, k""")
-def fourier_magnitudes(spark, sf_dir):
-    x = hourly(spark, sf_dir).where("i < 64").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"))))
-    a = 2 * 3.141592653589793 * F.col("k") * F.col("i") / 64
-    part = lambda f: F.pow(F.sum(F.col("close") * f(a)), F.lit(2.0))
-    return x.groupBy("symbol", "k").agg(F.round(F.sqrt(part(F.cos) + part(F.sin)), 4).alias("magnitude"))
-
-
 @query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), x AS (SELECT symbol, close, i // 64 AS block, i % 64 AS j FROM s), f AS (SELECT unnest(range(0, 33)) AS k)
  SELECT symbol, block, k, round(sqrt(pow(sum(close * cos(2 * pi() * k * j / 64)), 2) + pow(sum(close * sin(2 * pi() * k * j / 64)), 2)), 4) AS magnitude FROM x, f GROUP BY symbol, block, k""")
-def fourier_blocks(spark, sf_dir):
+def fourier_magnitudes(spark, sf_dir):
     """The spectrum of every consecutive block of 64 bars, so that all bars enter; the last block is filled with zeros."""
     x = hourly(spark, sf_dir).select("symbol", "close", F.expr("i div 64").alias("block"), (F.col("i") % 64).alias("j"))
     x = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"))))
@@ -402,12 +359,3 @@ def fourier_blocks(spark, sf_dir):
 @query("""SELECT (SELECT count(*) FROM events) AS n, round(sum(value), 4) AS total, round(var_pop(value), 4) AS variance FROM events""")
 def reduction(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.var_pop("value"), 4).alias("variance"))
-
-
-@query()
-def monte_carlo_portfolio(spark, sf_dir, paths: int = 20_000, steps: int = 252):
-    """Five correlated-free geometric Brownian assets; a path is a row, its steps sum to one normal draw."""
-    d = spark.range(paths)
-    drift, vol, w = [0.05, 0.07, 0.04, 0.09, 0.03], [0.15, 0.2, 0.1, 0.3, 0.05], [0.3, 0.25, 0.2, 0.15, 0.1]
-    value = sum((F.lit(wi) * F.exp((m - v * v / 2) * steps / 252 + v * (steps / 252) ** 0.5 * F.randn(i)) for i, (m, v, wi) in enumerate(zip(drift, vol, w))), F.lit(0.0))
-    return d.select(value.alias("v")).agg(F.avg("v").alias("mean"), F.expr("percentile(v, 0.05)").alias("p05"), F.expr("percentile(v, 0.95)").alias("p95"))
