@@ -216,24 +216,24 @@ def link(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9, pivo
     )
 
 
-def _near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float):
-    """Arrays (i, j) of the pairs of unit vectors with cosine >= least, each pair once.
+def _near_pairs(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: float):
+    """Arrays (i, j) of the pairs of unit vectors x with cosine >= least between rows and cols, which may
+    start with rows themselves; each pair once.
 
-    Single precision finds them, with a margin for its rounding, which grows with the length;
+    Single precision (y) finds them, with a margin for its rounding, which grows with the length;
     double precision decides.
     """
-    same, y, margin = left is right, x.astype(np.float32), (x.shape[1] + 8) * 1.2e-7
-    for s in range(0, len(left), 256):
-        rows, cols = left[s : s + 256], right[s:] if same else right
-        if not len(cols):
-            continue
-        at, to = np.divmod(np.flatnonzero(y[rows] @ y[cols].T >= np.float32(least - margin)), len(cols))
-        if same:
-            at, to = at[to > at], to[to > at]
-        i, j = rows[at], cols[to]
-        exact = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 100_000]], x[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)] or [np.zeros(0)])
-        if (exact >= least).any():
-            yield i[exact >= least], j[exact >= least]
+    if not len(rows) or not len(cols):
+        return rows[:0], cols[:0]
+    margin = (x.shape[1] + 8) * 1.2e-7
+    at, to = np.divmod(np.flatnonzero(y[rows] @ y[cols].T >= np.float32(least - margin)), len(cols))
+    i, j = rows[at], cols[to]
+    if cols[0] == rows[0]:
+        once = (to >= len(rows)) | (to > at)
+        i, j = i[once], j[once]
+    exact = [np.einsum("nd,nd->n", x[i[k : k + 100_000]], x[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)]
+    ok = np.concatenate(exact) >= least if exact else np.zeros(0, bool)
+    return i[ok], j[ok]
 
 
 def _inner(x: np.ndarray, radius: float):
@@ -260,30 +260,34 @@ def _inner(x: np.ndarray, radius: float):
     first = np.searchsorted(home[order], np.arange(k + 1))
     for i in np.flatnonzero(np.diff(first)):
         margin[i] = gaps[order[first[i] : first[i + 1]]].min(0)
-    cells, guests = [], [[] for _ in range(k)]
-    for i in range(k):
-        own = order[first[i] : first[i + 1]]
-        cells.append(own)
-        if len(own):
-            r, c = np.nonzero(gaps[own, :i] + margin[:i, i][None, :] <= np.float32(radius + 1e-4))
-            for j in np.unique(c):
-                guests[j].append(own[r[c == j]])
-    return cells, [np.concatenate(g) if g else np.zeros(0, np.int64) for g in guests]
+    rows, cols = [], []
+    for s in range(0, len(x), 2048):
+        h = home[s : s + 2048]
+        meets = (gaps[s : s + 2048] + margin[:, h].T <= np.float32(radius + 1e-4)) & (np.arange(k)[None, :] < h[:, None])
+        r, c = np.nonzero(meets)
+        rows.append((r + s).astype(np.int32))
+        cols.append(c.astype(np.int32))
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    by_cell = np.argsort(cols, kind="stable")
+    ends = np.searchsorted(cols[by_cell], np.arange(k + 1))
+    return [order[first[i] : first[i + 1]] for i in range(k)], [rows[by_cell[ends[i] : ends[i + 1]]].astype(np.int64) for i in range(k)]
 
 
 def _unit_pairs(x: np.ndarray, side: np.ndarray, meet: np.ndarray, least: float, radius: float):
     """(i, j, 0) of a unit's near pairs whose sides meet, by inner cells; last ([], [], pairs compared)."""
-    cells, guests = _inner(x, radius)
-    compared, none = 0, np.zeros(0, np.int64)
-    for own, far in zip(cells, guests):
+    y, compared, none = x.astype(np.float32), 0, np.zeros(0, np.int64)
+    for own, far in zip(*_inner(x, radius)):
         one, two = own[side[own] == 0], own[side[own] == 1]
         a, b = far[side[far] == 0], far[side[far] == 1]
-        todo = [(one, two), (one, b), (two, a)] if meet[0, 1] else []
-        todo += [(one, one), (one, a)] if meet[0, 0] else []
+        others = [two, b] if meet[0, 1] else []
+        todo = [(one, np.concatenate([one, a, *others] if meet[0, 0] else others or [none]))]
+        todo += [(two, a)] if meet[0, 1] else []
         for left, right in todo:
-            compared += len(left) * (len(left) - 1) // 2 if left is right else len(left) * len(right)
-            for i, j in _near_pairs(x, left, right, least):
-                yield i, j, 0
+            for s in range(0, len(left), 512):  # the product of a large cell in strips
+                rows = left[s : s + 512]
+                cols = right[s:] if len(right) and len(left) and right[0] == left[0] else right
+                compared += len(rows) * len(cols)
+                yield *_near_pairs(x, y, rows, cols, least), 0
     yield none, none, compared
 
 
