@@ -44,6 +44,44 @@ def metrics(trades: DataFrame, key: str, gain: str = "gain", rf: float = 0.0) ->
     )
 
 
+def all_metrics(trades: DataFrame, key: str, gain: str = "gain", order: str = "open_i", opened: str = "open_i", closed: str = "close_i", rf: float = 0.02, year: int = 252) -> DataFrame:
+    """Every score of a key's trades in one aggregation over one running peak: trades, sharpe, sortino,
+    max_drawdown (of the compounded equity, from its start), cagr (by bars), calmar, win_rate in percent.
+
+    Gains in percent; those that are not finite count for nothing, a loss of all counts as nearly all.
+    The risk-free rate is spread over the trades. A ratio over no deviation or drawdown is infinite
+    where its numerator is positive (calmar: always), else 0.
+    """
+    g = F.col(gain) / 100
+    finite = trades.where(F.col(gain).isNotNull() & ~F.isnan(gain) & (F.abs(F.col(gain).cast("double")) != INF))
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = finite.withColumn("__b", F.exp(F.sum(F.ln(1 + F.greatest(g, F.lit(-0.99999999)))).over(upto)))
+    d = d.withColumn("__peak", F.greatest(F.lit(1.0), F.max("__b").over(upto)))
+    a = d.groupBy(key).agg(
+        F.count("*").alias("trades"),
+        F.avg(g).alias("m"),
+        F.stddev_pop(g).alias("sd"),
+        F.coalesce(F.sqrt(F.avg(F.when(g < 0, g * g))), F.lit(0.0)).alias("dn"),
+        F.max((F.col("__peak") - F.col("__b")) / F.col("__peak")).alias("max_drawdown"),
+        F.max_by("__b", order).alias("end"),
+        F.greatest(F.lit(1), F.max(closed) - F.min(opened)).alias("bars"),
+        (100 * F.avg(F.when(g > 0, 1.0).otherwise(0.0))).alias("win_rate"),
+    )
+    excess = F.col("m") - rf / F.col("trades")
+    edge = F.when(excess > 0, INF).otherwise(0.0)
+    cagr = F.pow("end", F.lit(float(year)) / F.col("bars")) - 1
+    return a.select(
+        key,
+        "trades",
+        _ratio(excess, F.col("sd"), edge).alias("sharpe"),
+        _ratio(excess, F.col("dn"), edge).alias("sortino"),
+        "max_drawdown",
+        cagr.alias("cagr"),
+        _ratio(cagr, F.col("max_drawdown"), F.lit(INF)).alias("calmar"),
+        "win_rate",
+    )
+
+
 def max_drawdown(equity: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The largest fall from a running peak, as a share of the peak."""
     peak = F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
