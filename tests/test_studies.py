@@ -44,7 +44,7 @@ def test_calendar(spark):
 
 
 def test_titles_and_weights(spark):
-    want = {"Chief Executive Officer": "CEO", "EVP & CFO": "CFO", "General Counsel": "General Counsel", "Director": "Director", "  ": "Unknown", "VP Sales": "Other"}
+    want = {"Chief Executive Officer": "CEO", "EVP & CFO": "CFO", "General Counsel": "General Counsel", "Director": "Director", "  ": "Unknown", "VP Sales": "VP", "Sr. Vice-President": "VP", "CTO": "CTO", "Chief Marketing Officer": "Other C-Suite", "Treasurer": "CFO", "Chairman": "Chair", "see remarks": "Unknown", "Advisor": "Other"}
     d = spark.createDataFrame([(k,) for k in want], "t string")
     assert {r.t: r.x for r in d.select("t", S.title(F.col("t")).alias("x")).collect()} == want
     w = one(spark, *[S.role_weight(F.lit(k)).alias(f"w{i}") for i, k in enumerate(S.ROLE_WEIGHTS)])

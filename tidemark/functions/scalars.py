@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 OCC = r"^(?:O:)?(.+)([0-9]{6})([CPcp])([0-9]{8})$"
 #: Titles by ordered keyword rules, weights of roles, labels of transaction codes.
 TITLES = [
-    ("CEO", r"\b(ceo|chief executive)\b"),
-    ("CFO", r"\b(cfo|chief financial)\b"),
-    ("COO", r"\b(coo|chief operating)\b"),
-    ("General Counsel", r"\b(general counsel|chief legal)\b"),
-    ("Chairman", r"\b(chair|chairman|chairwoman)\b"),
-    ("President", r"\bpresident\b"),
-    ("Treasurer", r"\btreasurer\b"),
-    ("Director", r"\bdirector\b"),
+    ("Unknown", "SEE REMARK"),
+    ("Director", r"\bDIRECTOR\b"),
+    ("CEO", r"CHIEF EXEC|\bCEO\b"),
+    ("Chair", r"EXECUTIVE CHAIR|\b(CHAIR|CHAIRMAN)\b"),
+    ("COO", r"\bCOO\b|CHIEF OPERATING"),
+    ("CFO", r"\b(CFO|TREASURER)\b|CHIEF FINANCIAL"),
+    ("CTO", r"\bCTO\b|CHIEF TECHNOLOGY"),
+    ("Other C-Suite", r"\bCMO\b|CHIEF MARKETING|CHIEF MEDICAL"),
+    ("CIO", r"\bCIO\b|CHIEF INVESTMENT"),
+    ("General Counsel", "GENERAL COUNSEL"),
+    ("VP", r"\b(VP|SVP|EVP)\b|VICE PRESIDENT"),
+    ("President", r"\bPRESIDENT\b"),
 ]
 ROLE_WEIGHTS = {"CEO": 4.0, "CFO": 3.5, "COO": 3.0, "General Counsel": 2.5, "Director": 1.25, "Board": 1.0}
 CODES = {
@@ -31,7 +35,14 @@ CODES = {
     "C": "Conversion",
     "J": "Other",
 }
-ZONES = {"Eastern": "America/New_York", "Central": "America/Chicago", "Mountain": "America/Denver", "Pacific": "America/Los_Angeles"}
+ZONES = {
+    **dict.fromkeys(("eastern", "us/eastern", "america/new_york", "est", "edt"), "America/New_York"),
+    **dict.fromkeys(("central", "us/central", "america/chicago", "cst", "cdt"), "America/Chicago"),
+    **dict.fromkeys(("mountain", "us/mountain", "america/denver", "mst", "mdt"), "America/Denver"),
+    **dict.fromkeys(("pacific", "us/pacific", "pacific/los_angeles", "america/los_angeles", "pst", "pdt"), "America/Los_Angeles"),
+    **dict.fromkeys(("hawaii", "us/hawaii", "pacific/honolulu", "hst"), "Pacific/Honolulu"),
+    **dict.fromkeys(("utc", "gmt", "z"), "UTC"),
+}
 
 
 def occ(symbol: Column) -> Column:
@@ -111,8 +122,8 @@ def money(x: Column) -> Column:
 
 def title(raw: Column) -> Column:
     """An officer's title by the first keyword rule that fits; Other, or Unknown if blank."""
-    t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    out = F.when(t == "", "Unknown")
+    t = F.trim(F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "[^A-Z0-9]+", " "))
+    out = F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "Unknown")
     for name, rule in TITLES:
         out = out.when(t.rlike(rule), name)
     return out.otherwise("Other")

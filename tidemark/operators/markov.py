@@ -23,6 +23,21 @@ def transitions(s: DataFrame, keys: list[str]) -> DataFrame:
     return t.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "pattern"))).withColumn("p", F.col("n") / F.col("total"))
 
 
+def known_before(s: DataFrame, block: str) -> DataFrame:
+    """symbol, block, pattern, state -> n, total and p over all blocks of the symbol before the block.
+
+    Counts by block are few; each (pattern, state) that was seen is carried over all later blocks.
+    """
+    t = s.where("pattern is not null and state is not null").groupBy("symbol", "pattern", "state", block).agg(F.count("*").alias("own"))
+    ends = s.groupBy("symbol").agg(F.max(block).alias("__last"))
+    seen = t.groupBy("symbol", "pattern", "state").agg(F.min(block).alias("__first")).join(ends, "symbol")
+    grid = seen.select("symbol", "pattern", "state", F.explode(F.sequence("__first", "__last")).alias(block))
+    before = Window.partitionBy("symbol", "pattern", "state").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    d = grid.join(t, ["symbol", "pattern", "state", block], "left").withColumn("n", F.sum("own").over(before)).where("n > 0")
+    d = d.withColumn("total", F.sum("n").over(Window.partitionBy("symbol", "pattern", block))).withColumn("p", F.col("n") / F.col("total"))
+    return d.drop("own")
+
+
 def confidence(t: DataFrame, keys: list[str]) -> DataFrame:
     """Per pattern: best next state, n and 0.5 min(1, n/30) + 0.3 (1 - H/log2 3) + 0.2 (pmax - 0.33)/0.67."""
     h = -F.sum(F.col("p") * F.log2("p"))

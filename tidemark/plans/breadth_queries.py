@@ -66,7 +66,7 @@ def session_before(spark, sf_dir):
 @query(f"""WITH {_C}, u AS (SELECT root, day, l_orderkey % 7 AS file, arg_max(price, (l_orderkey, l_linenumber)) AS close
    FROM (SELECT *, 'T' || (l_suppkey % 5) AS root, CAST(l_shipdate AS DATE) AS day, l_extendedprice / (l_quantity * 100) AS price FROM lineitem) GROUP BY ALL),
  n AS (SELECT root, day, max(file) AS file FROM u GROUP BY root, day), f AS (SELECT u.root, u.day, u.close FROM u JOIN n ON u.root = n.root AND u.day = n.day AND u.file = n.file)
- SELECT id, c.n, round(f.close, 4) AS underlying FROM c LEFT JOIN f ON f.root = c.root AND f.day = c.day""")
+ SELECT id, c.n, f.close AS underlying FROM c LEFT JOIN f ON f.root = c.root AND f.day = c.day""")
 def contract_underlying_close(spark, sf_dir):
     """Each contract with its root's close of the day, as the newest file that has the day says; small days are joined, not searched."""
     l = table(spark, sf_dir, "lineitem")
@@ -75,7 +75,7 @@ def contract_underlying_close(spark, sf_dir):
         (F.col("l_extendedprice") / (F.col("l_quantity") * 100)).alias("price"), "l_orderkey", "l_linenumber",
     )
     f = u.groupBy("root", "day").agg(F.max_by("price", F.struct("file", "l_orderkey", "l_linenumber")).alias("underlying"))
-    return _contracts(spark, sf_dir).join(f, ["root", "day"], "left").select("id", "n", F.round("underlying", 4).alias("underlying"))
+    return _contracts(spark, sf_dir).join(f, ["root", "day"], "left").select("id", "n", "underlying")
 
 
 @query(f"""WITH {_B}, f AS (SELECT event_type AS symbol, date_trunc('day', ts) + to_minutes(CAST((hour(ts) * 60 + minute(ts)) // 5 * 5 AS BIGINT)) AS ts FROM events WHERE value > 0 GROUP BY ALL),

@@ -232,16 +232,22 @@ def markov_prediction(spark, sf_dir):
     return markov.predict(s, own, every)
 
 
-@query(f"""WITH {_M}, own AS (SELECT symbol, pattern, arg_max(state, (p, state)) AS next, max(total) AS n, max(p) AS pmax FROM pr GROUP BY symbol, pattern),
+@query(f"""WITH {_M}, blk AS (SELECT DISTINCT symbol, i // 63 AS block FROM pt),
+ seen AS (SELECT blk.symbol, block, pattern, state, count(*) AS n FROM blk JOIN pt ON pt.symbol = blk.symbol AND pt.i < block * 63 AND pattern IS NOT NULL AND state IS NOT NULL GROUP BY ALL),
+ own AS (SELECT symbol, block, pattern, arg_max(state, (n, state)) AS next, sum(n) AS n, max(n) / sum(n) AS pmax FROM seen GROUP BY symbol, block, pattern HAVING sum(n) >= 15),
  x AS (SELECT pt.symbol, pt.i, r.ret, CASE WHEN own.next = 'D' THEN 0 WHEN own.next = 'U' THEN 2 + CASE WHEN own.pmax > 0.5 THEN 1 ELSE 0 END + CASE WHEN own.n >= 100 THEN 1 ELSE 0 END ELSE 1 END AS k
-   FROM pt JOIN r USING (symbol, i) LEFT JOIN own ON own.symbol = pt.symbol AND own.pattern = pt.pattern AND own.n >= 15 WHERE pt.pattern IS NOT NULL AND r.ret IS NOT NULL)
+   FROM pt JOIN r USING (symbol, i) LEFT JOIN own ON own.symbol = pt.symbol AND own.pattern = pt.pattern AND own.block = pt.i // 63 WHERE pt.pattern IS NOT NULL AND r.ret IS NOT NULL)
  SELECT symbol, count(*) AS bars, round(avg(0.9 + 0.1 * k), 6) AS exposure, round(sum(ln(greatest(1 + ret * (0.9 + 0.1 * k), 1e-6))), 4) AS log_growth FROM x GROUP BY symbol""")
 def markov_rebalance(spark, sf_dir):
-    """Exposure 0.9 + 0.1 k on every bar: k is 0 for a fall, 1 without a signal, 2 to 4 for a confident rise."""
-    s = markov.states(hourly(spark, sf_dir))
-    t = markov.transitions(s, ["symbol"])
-    own = markov.confidence(t, ["symbol"]).where("n >= 15").select("symbol", "pattern", "next", "n", "pmax")
-    d = s.where("pattern is not null and ret is not null").join(own, ["symbol", "pattern"], "left")
+    """Exposure 0.9 + 0.1 k on every bar: k is 0 for a fall, 1 without a signal, 2 to 4 for a confident rise.
+
+    A block of 63 bars is traded by what the bars before it showed: counts of each block are summed up over the
+    blocks before, so nothing is fitted on the bars that it trades.
+    """
+    s = markov.states(hourly(spark, sf_dir)).withColumn("block", F.floor(F.col("i") / 63))
+    known = markov.known_before(s, "block")
+    own = markov.confidence(known, ["symbol", "block"]).where("n >= 15").select("symbol", "block", "pattern", "next", "n", "pmax")
+    d = s.where("pattern is not null and ret is not null").join(own, ["symbol", "block", "pattern"], "left")
     up = F.lit(2) + F.when(F.col("pmax") > 0.5, 1).otherwise(0) + F.when(F.col("n") >= 100, 1).otherwise(0)
     k = F.when(F.col("next") == "D", 0).when(F.col("next") == "U", up).otherwise(1)
     e = 0.9 + 0.1 * k

@@ -26,7 +26,7 @@ def eastern(time: Column) -> Column:
     """`yyyyMMdd HH:mm:ss <zone>` as Eastern wall-clock time; an unknown zone counts as Eastern."""
     at = F.try_to_timestamp(F.substring(time, 1, 17), F.lit("yyyyMMdd HH:mm:ss")).cast("timestamp_ntz")
     zone = F.trim(F.substring(time, 18, 64))
-    alias = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), zone)
+    alias = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), F.lower(zone))
     known = F.coalesce(alias, F.when(zone.rlike(r"^[A-Za-z_]+/[A-Za-z_/]+$|^UTC$"), zone), F.lit("America/New_York"))
     return F.convert_timezone(known, F.lit("America/New_York"), at)
 
