@@ -92,13 +92,13 @@ def test_links_equal_all_pairs(spark, monkeypatch, small, block):
 
 
 def test_nodes_left_at_the_last_level(spark):
-    """With one level all that is left is compared in blocks, so nothing is lost."""
-    rows = corpus(3)
-    sets = jaccard.numbered(spark.createDataFrame(rows, "row long, text string").selectExpr("row", "row AS id", "text"), "r").select("row", "id", "text")
-    heads = sets.mapInArrow(jaccard._sketches(5), "row long, id long, h1 long, h2 long, bytes long, sketch binary").where("h1 is not null")
-    heads = heads.dropDuplicates(["h1"]).selectExpr("row AS set", "sketch")
-    found = {frozenset(r) for r in jaccard.candidates(jaccard.written(heads), depth=1, small=3).collect()}
-    assert found
+    """With one level all that is left is compared in blocks: every run keeps what it shares a node with."""
+    rows = pairs_at(random.Random(2), 60, 104, 1)
+    df = spark.createDataFrame(rows, "id long, text string").selectExpr("id AS row", "id", "text")
+    heads = df.mapInArrow(jaccard._sketches(5), "row long, id long, h1 long, h2 long, bytes long, sketch binary")
+    sets = jaccard.written(heads.selectExpr("row AS set", "sketch"))
+    found = {frozenset((r.u, r.v)) for r in jaccard.candidates(sets, depth=1, small=2).collect()}
+    assert sum(frozenset((2 * i, 2 * i + 1)) in found for i in range(60)) >= 58
 
 
 def pairs_at(rng, n, words, changed):
@@ -147,6 +147,17 @@ def test_recall_through_many_levels(spark, least, changed):
     assert found >= 0.99 * len(rows)
 
 
+def test_more_rounds_until_the_target(spark, monkeypatch):
+    """A higher target takes further rounds of runs."""
+    made = []
+    runs = jaccard._runs
+    monkeypatch.setattr(jaccard, "_runs", lambda *a: made.append(list(a[2])) or runs(*a))
+    monkeypatch.setattr(jaccard, "AT_ONCE", 4)
+    df = spark.createDataFrame(pairs_at(random.Random(3), 20, 60, 1), "doc_id long, text string")
+    jaccard.join(df, recall=0.999).count()
+    assert [x for m in made for x in m] == list(range(4 * len(made))) and len(made) >= 2
+
+
 def test_runs_follow_target_and_depth():
     assert jaccard.survival(0) == 1 and abs(jaccard.survival(1) - 0.632) < 1e-3
     assert jaccard.runs_for(0.99, 1) == 5

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows of (long, long) that may be broadcast; a larger side is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of a row group of written tables: what a writing task buffers, which is memory that Python's workers lack.
+ROW_GROUP = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,7 +66,7 @@ def written(df: DataFrame) -> DataFrame:
     It cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,8 +18,9 @@ TOKENS = 64
 SMALL = 1000
 #: Rows of the buckets in which small nodes are brute-forced many at a time.
 BUCKET = 20_000
-#: Share of the pairs at the threshold that the runs are to find, and runs made at a time until they do.
-RECALL, AT_ONCE = 0.999, 8
+#: Share of the pairs at the threshold that the runs are to find, and runs made at a time until they do:
+#: as many as trees of six levels need, so that most tables take one round.
+RECALL, AT_ONCE = 0.99, 16
 #: Levels after which a node that is still large is compared in blocks.
 DEPTH = 12
 #: Sets of a block when the members of a candidate group are compared exactly, and bytes of its texts.
@@ -278,21 +279,24 @@ def _brute(members: DataFrame, sets: DataFrame, likely: float) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members (group, set, bytes, sketch, ...) with n, the sets of the group, and block.
+    """members (group, set, bytes, sketch, ...) with n, the sets of the group, parts and block.
 
     A group of up to BLOCK sets and BLOCK_BYTES is block 0. A larger one is cut by the start of the
     sketches, so that near ones lie together, and each part again by hashes of its sets, as often
     as its sets and bytes need.
     """
     sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"))
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1))
-    m = members.join(sums.select("group", "n", parts.cast("long").alias("parts")), "group")
-    m = written(m.withColumn("cell", F.pmod(F.xxhash64(F.substring("sketch", 1, 8)), F.col("parts"))).drop("parts"))
-    cells = m.groupBy("group", "cell").agg(F.count("*").alias("k"), F.sum("bytes").alias("sum"))
-    subs = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1))
-    m = m.join(cells.select("group", "cell", subs.cast("long").alias("subs")), ["group", "cell"])
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1)).cast("long")
+    m = members.join(sums.select("group", "n", parts.alias("parts")), "group")
+    m = written(m.withColumn("cell", F.pmod(F.xxhash64(F.substring("sketch", 1, 8)), F.col("parts"))))
+    big = m.where("parts > 1")
+    cells = big.groupBy("group", "cell").agg(F.count("*").alias("k"), F.sum("bytes").alias("sum"))
+    subs = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1)).cast("long")
+    big = big.join(cells.select("group", "cell", subs.alias("subs")), ["group", "cell"])
     sub = F.pmod(F.xxhash64("set", F.lit(7)), F.col("subs"))
-    return m.withColumn("block", F.shiftleft("cell", 24) + sub).drop("cell", "subs")
+    big = big.withColumn("block", F.shiftleft("cell", 24) + sub)
+    one = m.where("parts = 1").withColumn("block", F.lit(0).cast("long"))
+    return one.unionByName(big.select(*one.columns)).drop("cell")
 
 
 def _verify(members: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
@@ -304,15 +308,13 @@ def _verify(members: DataFrame, texts: DataFrame, least: float, words: int) -> D
     gives a row for each set, with the rows it links to and the first set of its part.
     """
     m = written(_blocks(members))
-    names = m.groupBy("group").agg(F.count_distinct("block").alias("blocks"))
-    m = written(m.join(names, "group"))
     few = m.count() * 64 <= BROADCAST_ROWS * 16  # a member without its sketch has some 64 bytes
-    side = m.select("row", "group", "set", "weight", "block", "blocks")
+    side = m.select("row", "group", "set", "weight", "block", "parts")
     with_text = texts.join(F.broadcast(side) if few else side, "row")
-    one = with_text.where("blocks = 1").select("group", F.col("block").alias("lo"), F.col("block").alias("hi"), "set", "weight", "block", "text")
-    pairs = written(_likely_blocks(m.where("blocks > 1").select("group", "n", "set", "block", "sketch"), limits(least)[0]))
+    one = with_text.where("parts = 1").select("group", F.col("block").alias("lo"), F.col("block").alias("hi"), "set", "weight", "block", "text")
+    pairs = written(_likely_blocks(m.where("parts > 1").select("group", "n", "set", "block", "sketch"), limits(least)[0]))
     sides = pairs.select("group", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    some = with_text.where("blocks > 1").join(sides, ["group", "block"])
+    some = with_text.where("parts > 1").join(sides, ["group", "block"])
     units = one.unionByName(some.select(*one.columns))
 
     def compare(key, pdf):
