@@ -305,3 +305,31 @@ def statement(name: str) -> str:
     bars = f"s AS MATERIALIZED (WITH {bars_sql(60)} SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i, open AS o, high AS h, low AS l, close AS c, volume AS v FROM b)"
     out = ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {k}" for k, e in outputs.items())
     return f"WITH RECURSIVE {bars}{''.join(', ' + c for c in ctes)}\nSELECT symbol, i, {out} FROM {source}"
+
+
+def _bars_cte() -> str:
+    return f"""s AS MATERIALIZED (WITH {bars_sql(60)} SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i, open AS o, high AS h, low AS l, close AS c, volume AS v FROM b),
+ p AS MATERIALIZED (SELECT *, {ago('h')} AS ph, {ago('l')} AS pl, max(i) OVER (PARTITION BY symbol) AS z FROM s)"""
+
+
+#: Stop and reverse as a walk: each row holds the trend, stop, peak, pace and farthest price that its bar meets.
+STOP_AND_REVERSE = f"""WITH RECURSIVE {_bars_cte()},
+ r AS (SELECT symbol, i, -1 AS way, greatest(h, ph) AS stop, l AS peak, 0.02::DOUBLE AS pace, least(l, pl) AS far FROM p WHERE i = 1
+  UNION ALL SELECT symbol, i + 1, way, CASE WHEN way = 1 THEN least(stop + pace * (peak - stop), l, pl) ELSE greatest(stop + pace * (peak - stop), h, ph) END, peak, pace, far FROM (
+   SELECT q.symbol, q.i, q.h, q.l, q.ph, q.pl, CASE WHEN turn THEN -way ELSE way END AS way, CASE WHEN turn THEN edge ELSE stop END AS stop,
+    CASE WHEN turn THEN CASE WHEN way = 1 THEN q.l ELSE q.h END WHEN better THEN CASE WHEN way = 1 THEN q.h ELSE q.l END ELSE peak END AS peak,
+    CASE WHEN turn THEN 0.02 WHEN better THEN least(pace + 0.02, 0.2) ELSE pace END AS pace, CASE WHEN turn THEN CASE WHEN way = 1 THEN q.l ELSE q.h END ELSE edge END AS far
+   FROM (SELECT p.symbol, p.i, p.h, p.l, p.ph, p.pl, r.way, r.stop, r.peak, r.pace, CASE WHEN r.way = 1 THEN r.stop > p.l ELSE r.stop < p.h END AS turn,
+     CASE WHEN r.way = 1 THEN p.h > r.peak ELSE p.l < r.peak END AS better, CASE WHEN r.way = 1 THEN greatest(r.far, p.h) ELSE least(r.far, p.l) END AS edge
+     FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.i WHERE p.i < p.z) q)),
+ e AS (SELECT p.symbol, p.i, CASE WHEN p.z = 0 THEN 0.0 WHEN p.i = 0 THEN p.h WHEN p.i < p.z AND CASE WHEN r.way = 1 THEN r.stop > p.l ELSE r.stop < p.h END
+   THEN CASE WHEN r.way = 1 THEN greatest(r.far, p.h) ELSE least(r.far, p.l) END ELSE r.stop END AS sar FROM p LEFT JOIN r ON r.symbol = p.symbol AND r.i = p.i)
+ SELECT symbol, i, round(sar, 6) AS sar FROM e"""
+
+#: The trailing stop as a walk over closes: side and best close since it turned.
+TRAILING = f"""WITH RECURSIVE {_bars_cte()},
+ r AS (SELECT symbol, i, 1 AS side, c AS best FROM p WHERE i = 0
+  UNION ALL SELECT symbol, i, CASE WHEN out THEN -side ELSE side END, CASE WHEN out THEN c ELSE best END FROM (
+   SELECT symbol, i, c, side, best, CASE WHEN side = 1 THEN c < best * (1 - 0.02::DOUBLE) ELSE c > best * (1 + 0.02::DOUBLE) END AS out FROM (
+    SELECT p.symbol, p.i, p.c, r.side, CASE WHEN r.side = 1 THEN greatest(r.best, p.c) ELSE least(r.best, p.c) END AS best FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.i + 1)))
+ SELECT symbol, i, round(best * (1 - side * 0.02::DOUBLE), 6) AS stop, round(side::DOUBLE, 6) AS side FROM r"""
