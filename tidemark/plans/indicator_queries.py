@@ -9,7 +9,7 @@ from ..operators import indicators as I
 from ..operators import patterns as P
 from ..session import table
 from .define import QUERIES, SQL
-from .indicator_sql import STOP_AND_REVERSE, TRAILING, statement
+from .indicator_sql import STOP_AND_REVERSE, TRAILING, ZIGZAG, statement
 
 
 def hourly(spark, sf_dir, minutes: int = 60):
@@ -30,7 +30,7 @@ def _register() -> None:
         SQL[f"ind_{name}"] = statement(name)
     QUERIES["ind_parabolic_sar"] = lambda spark, sf_dir: _rounded(I.parabolic_sar(hourly(spark, sf_dir)), ["sar"])
     QUERIES["ind_trailing_reverse"] = lambda spark, sf_dir: _rounded(I.trailing_reverse(hourly(spark, sf_dir)), ["stop", "side"])
-    SQL["ind_parabolic_sar"], SQL["ind_trailing_reverse"] = STOP_AND_REVERSE, TRAILING
+    SQL["ind_parabolic_sar"], SQL["ind_trailing_reverse"], SQL["ind_zigzag"] = STOP_AND_REVERSE, TRAILING, ZIGZAG
     QUERIES["ind_zigzag"] = lambda spark, sf_dir: _rounded(I.zigzag(hourly(spark, sf_dir)), ["pivot", "price"])
 
 

@@ -333,3 +333,21 @@ TRAILING = f"""WITH RECURSIVE {_bars_cte()},
    SELECT symbol, i, c, side, best, CASE WHEN side = 1 THEN c < best * (1 - 0.02::DOUBLE) ELSE c > best * (1 + 0.02::DOUBLE) END AS out FROM (
     SELECT p.symbol, p.i, p.c, r.side, CASE WHEN r.side = 1 THEN greatest(r.best, p.c) ELSE least(r.best, p.c) END AS best FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.i + 1)))
  SELECT symbol, i, round(best * (1 - side * 0.02::DOUBLE), 6) AS stop, round(side::DOUBLE, 6) AS side FROM r"""
+
+
+#: Zigzag of 12, 5, 3: candidates k by k; a leg's last replacement is its end.
+ZIGZAG = f"""WITH RECURSIVE {_bars_cte()},
+ w AS (SELECT symbol, i, h, l, {last('h', 12, 'max')} AS hh, {last('l', 12, 'min')} AS ll FROM s),
+ n AS (SELECT *, i >= 12 AND (i = 12 OR hh <> {ago('hh')}) AND hh - h <= 0.00005 AS nh, i >= 12 AND (i = 12 OR ll <> {ago('ll')}) AND l - ll <= 0.00005 AS nl FROM w),
+ f AS (SELECT *, list(CASE WHEN nh THEN hh END) OVER x AS hs, list(CASE WHEN nl THEN ll END) OVER x AS ls FROM n WINDOW x AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+ m AS (SELECT symbol, i, CASE WHEN nh AND h = hh AND coalesce(list_max(hs), h) <= h THEN h END AS a, CASE WHEN nl AND l = ll AND coalesce(list_min(ls), l) >= l THEN l END AS b FROM f),
+ k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM m WHERE a IS NOT NULL OR b IS NOT NULL),
+ r AS (SELECT symbol, k, CASE WHEN a IS NOT NULL THEN 1 ELSE -1 END AS way, coalesce(a, b) AS price, 1 AS leg, true AS used FROM k WHERE k = 1
+  UNION ALL SELECT k.symbol, k.k,
+   CASE WHEN way = 1 THEN CASE WHEN a > price THEN 1 WHEN b IS NOT NULL THEN -1 ELSE 1 END ELSE CASE WHEN b < price THEN -1 WHEN a IS NOT NULL THEN 1 ELSE -1 END END,
+   CASE WHEN way = 1 THEN CASE WHEN a > price THEN a WHEN b IS NOT NULL THEN b ELSE price END ELSE CASE WHEN b < price THEN b WHEN a IS NOT NULL THEN a ELSE price END END,
+   leg + CASE WHEN way = 1 AND coalesce(a <= price, true) AND b IS NOT NULL THEN 1 WHEN way = -1 AND coalesce(b >= price, true) AND a IS NOT NULL THEN 1 ELSE 0 END,
+   CASE WHEN way = 1 THEN coalesce(a > price, false) OR b IS NOT NULL ELSE coalesce(b < price, false) OR a IS NOT NULL END
+  FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.k + 1)
+ SELECT symbol, i, round(way::DOUBLE, 6) AS "pivot", round(price, 6) AS price FROM (SELECT k.symbol, k.i, r.way, r.price, row_number() OVER (PARTITION BY r.symbol, leg ORDER BY r.k DESC) AS back
+  FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.k WHERE used) WHERE back = 1"""
