@@ -90,3 +90,12 @@ def test_stages_one_after_the_other_from_nothing(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = written(f(spark, docs, "/root/testdata/sf0.001"))
     assert docs.count() == 0
+
+
+def test_release_spares_what_docs_reads(spark):
+    a, b = written(spark.range(3)), written(spark.range(4))
+    folders = corpus_pipeline.common.FOLDERS[-2:]
+    corpus_pipeline.common.release(folders, b)
+    assert len(folders) == 1 and b.count() == 4
+    with pytest.raises(Exception):
+        a.count()

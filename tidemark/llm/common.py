@@ -19,6 +19,10 @@ BROADCAST_ROWS = 2_000_000
 ROW_GROUP = 16 << 20
 
 
+#: The folders of this program, in the order they were named.
+FOLDERS: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     if base:
         path = f"{base.rstrip('/')}/{name}"
         atexit.register(_clear, spark, path)
+        FOLDERS.append(path)
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
-    return f"file:///tmp/checkpoints/{name}"
+    FOLDERS.append(f"file:///tmp/checkpoints/{name}")
+    return FOLDERS[-1]
+
+
+def release(folders: list[str], docs: DataFrame) -> None:
+    """Delete those folders that docs does not read; folders then lists what is left."""
+    read = {part for f in docs.inputFiles() for part in f.split("/") if part.startswith("tidemark-")}
+    keep = [f for f in folders if f.rpartition("/")[2] in read]
+    for f in folders:
+        if f not in keep:
+            _clear(docs.sparkSession, f)
+    folders[:] = keep
 
 
 def _clear(spark: SparkSession, path: str) -> None:
