@@ -7,22 +7,46 @@ columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, language, mixing, packing, quality
+from tidemark.llm import common, jaccard, language, mixing, packing, quality
 from tidemark.llm.common import free_name, numbered, table, written
 
+#: Folders that the stages have written for themselves and that are still there.
+_MADE: list[str] = []
+
 #: A document stays if some language has at least this mean probability over its bytes.
 LEAST_SCORE = 0.5
 
 
+def _tidy(stage):
+    """The stage; before it runs, what earlier stages wrote for themselves is deleted.
+
+    Their results are written and read again by then; a folder that docs still reads stays.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(_MADE, docs)
+        before = len(common.FOLDERS)
+        out = stage(spark, docs, sf_dir)
+        _MADE.extend(common.FOLDERS[before:])
+        return out
+
+    return run
+
+
+@_tidy
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted text's model their language allows."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
     return judged.where(F.col(quality.names(docs)["kept"])).select(*docs.columns)
 
 
+@_tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without letters or of no clear language go."""
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
@@ -30,6 +54,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest doc_id.
 
@@ -41,6 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, n, "left_semi").select(*docs.columns)
 
 
+@_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a repeated document is a repeated row."""
     n, c = free_name(docs, "row_number"), free_name(docs, "copies")
@@ -49,6 +75,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(taken, n).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(c))).alias(c)).drop(c)
 
 
+@_tidy
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most 2048 tokens.
 
@@ -73,4 +100,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        _MADE.append(common.FOLDERS[-1])
     return STAGES[-1][1](spark, docs, sf_dir)
