@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import free_name, numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of the key's logarithm, per unit: whatever the weights, a bin holds no more than about
@@ -13,19 +13,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 2000
 
 
-def positions(df: DataFrame, *order) -> DataFrame:
-    """df with `position`, its rows' places from 0 in the given order: a range sort, whose partitions'
-    sizes alone (one number each) come to the driver. Rows must differ in the order."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    rows = numbered(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), "at")
-    part = F.shiftright("at", 33)
+def placed(df: DataFrame, position: str) -> DataFrame:
+    """df, written, with its rows' places from 0 in the order of partitions and of rows within them;
+    the partitions' sizes alone (one number each) come to the driver."""
+    at = free_name(df, "at")
+    rows = numbered(df, at)
+    part = F.shiftright(at, 33)
     sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     before, upto = [], 0
     for p, n in sizes:
         before += [F.lit(p), F.lit(upto).cast("long")]
         upto += n
     base = F.element_at(F.create_map(*before), part) if before else F.lit(0).cast("long")
-    return rows.withColumn("position", base + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")
+    return rows.withColumn(position, base + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
+
+
+def positions(df: DataFrame, *order) -> DataFrame:
+    """df with `position`, its rows' places from 0 in the given order: a range sort. Rows must differ in the order."""
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return placed(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), "position")
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:

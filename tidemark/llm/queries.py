@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, licenses, mixing, packing, quality, sql, tokens, vectors, warc
+from . import divergence, jaccard, language, licenses, mixing, packing, quality, resampling, sharding, sql, tokens, vectors, warc
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hash_tree_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -65,6 +77,9 @@ def queries() -> dict:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_hash_tree_sharding": op13_hash_tree_sharding,
     }
 
 
@@ -74,4 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_near_dedup": sql.EMBEDDINGS,
         "op5_warc": sql.PAGES,
         "op8_ngram_jaccard": sql.JACCARD,
+        "op11_source_divergence": sql.DIVERGENCE,
+        "op12_importance_resampling": sql.RESAMPLING,
+        "op13_hash_tree_sharding": sql.sharding_sql(),
     }

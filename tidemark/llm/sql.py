@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, sharding
 
 _WORDS = r"string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')"
 _RUNS = "[array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]"
@@ -59,3 +59,81 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, ''))
 SELECT doc_id, least(doc_id, coalesce(same, doc_id)) AS class_id, coalesce(n.n, 0) AS n_links, coalesce(c, doc_id) AS component_id,
        coalesce(c, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN comp ON comp.id = doc_id LEFT JOIN n ON n.id = doc_id"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DIVERGENCE = rf"""
+WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ k AS MATERIALIZED (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+ c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ x AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ p AS MATERIALIZED (SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM x),
+ l AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY ALL),
+ q AS (SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM l),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+   FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+   FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value
+   FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p > q),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+   FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+
+_BYTES = "list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))"
+
+RESAMPLING = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+ d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ b AS MATERIALIZED (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ dw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w),
+ bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+ u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+ e AS (SELECT w, unnest({_BYTES}) AS byte, unnest(range(0, len(h) // 2)) AS i FROM u),
+ hashed(w, i, c) AS (SELECT w, 0, 4294967295 FROM u UNION ALL SELECT s.w, s.i + 1, xor(s.c >> 8, t[(xor(s.c, e.byte) & 255) + 1]) FROM hashed s JOIN e ON e.w = s.w AND e.i = s.i, crc),
+ k AS MATERIALIZED (SELECT w, xor(arg_max(c, i), 4294967295) % 10000 AS bucket FROM hashed GROUP BY w),
+ s AS (SELECT bucket, sum(n) AS s FROM dw JOIN k USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM bw JOIN k USING (w) GROUP BY bucket),
+ o AS (SELECT (SELECT coalesce(sum(n), 0) FROM dw) AS s, (SELECT coalesce(sum(n), 0) FROM bw) AS t),
+ g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t.t, 0) + 1) * (o.s + 10000) AS DOUBLE) / CAST((coalesce(s.s, 0) + 1) * (o.t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+   FROM s FULL JOIN t USING (bucket), o),
+ wg AS MATERIALIZED (SELECT w, gain FROM k JOIN g USING (bucket)),
+ m AS (SELECT doc_id, sum(gain) AS total FROM (SELECT doc_id, unnest(w) AS w FROM d) JOIN wg USING (w) GROUP BY doc_id),
+ x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(floor(total / len(w)), 0) AS BIGINT) AS weight,
+   CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+ y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM x),
+ z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM z"""
+
+
+def sharding_sql(tree=sharding.TREE) -> str:
+    """Each level's greatest draw among the children of the node above; crc32 folds a text's bytes."""
+    nodes = []
+    for name, t in (("shard", tree), ("grown_shard", sharding.grown(tree))):
+        n = 0
+        for r, x in enumerate(t):
+            nodes.append((name, "", f"{r}", sharding.total(x), "NULL"))
+            for k, y in enumerate(x):
+                nodes.append((name, f"{r}", f"{r}/{k}", sharding.total(y), "NULL"))
+                for i, w in enumerate(y):
+                    nodes.append((name, f"{r}/{k}", f"{r}/{k}/{i}", float(w), n + i))
+                n += len(y)
+    values = ", ".join(f"('{a}', '{b}', '{c}', {w}, {n})" for a, b, c, w, n in nodes)
+    draw = f"ln((CAST('0x' || md5(key || ':' || path)[1:{sharding.DIGITS}] AS BIGINT) + 0.5) / {16**sharding.DIGITS}.0) / weight"
+    level = lambda above, parent: f"SELECT key, tree, arg_max(path, {draw}) AS path, arg_max(shard, {draw}) AS shard FROM (SELECT key, n.* FROM {above} JOIN n ON {parent}) GROUP BY key, tree"
+    return f"""
+WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+ n(tree, parent, path, weight, shard) AS (VALUES {values}),
+ k AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+ r1 AS ({level("k", "n.parent = ''")}),
+ r2 AS ({level("(SELECT key, tree AS of_tree, path AS at FROM r1)", "n.tree = of_tree AND n.parent = at")}),
+ r3 AS ({level("(SELECT key, tree AS of_tree, path AS at FROM r2)", "n.tree = of_tree AND n.parent = at")}),
+ h AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ b AS (SELECT doc_id, key, CAST(len(h) // 2 + 8 AS BIGINT) AS size, {_BYTES} AS b FROM h),
+ d AS (SELECT doc_id, key, size, CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM b, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(s.shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY s.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(g.shard AS INT) AS grown_shard
+FROM d JOIN r3 s ON s.key = d.key AND s.tree = 'shard' JOIN r3 g ON g.key = d.key AND g.tree = 'grown_shard'"""
