@@ -129,8 +129,8 @@ WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduc
  n(tree, parent, path, weight, shard) AS (VALUES {values}),
  k AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
  r1 AS ({level("k", "n.parent = ''")}),
- r2 AS ({level("(SELECT key, tree AS of_tree, path AS at FROM r1)", "n.tree = of_tree AND n.parent = at")}),
- r3 AS ({level("(SELECT key, tree AS of_tree, path AS at FROM r2)", "n.tree = of_tree AND n.parent = at")}),
+ r2 AS ({level("(SELECT key, tree AS of_tree, path AS node FROM r1)", "n.tree = of_tree AND n.parent = node")}),
+ r3 AS ({level("(SELECT key, tree AS of_tree, path AS node FROM r2)", "n.tree = of_tree AND n.parent = node")}),
  h AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
  b AS (SELECT doc_id, key, CAST(len(h) // 2 + 8 AS BIGINT) AS size, {_BYTES} AS b FROM h),
  d AS (SELECT doc_id, key, size, CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM b, crc)
