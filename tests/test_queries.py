@@ -24,7 +24,7 @@ def text(v):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
-    return repr(float(v)) if isinstance(v, (int, float, np.number)) else str(v)
+    return repr(float(v) + 0.0) if isinstance(v, (int, float, np.number)) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
