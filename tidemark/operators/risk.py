@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions as D
+
 INF = float("inf")
 
 
@@ -110,25 +108,10 @@ def dollar_columns(trades: DataFrame) -> DataFrame:
 
 
 def student_t_tail(t, df):
-    """Two-sided p of Student's t: Simpson's rule over the density for up to 200 degrees of freedom,
-    the normal tail beyond. Vectorised over the few rows a test has."""
+    """Two-sided p of Student's t up to 200 degrees of freedom, the normal tail from there on."""
     from ..functions.scalars import normal_cdf
 
-    @F.pandas_udf("double")
-    def exact(tt: pd.Series, nn: pd.Series) -> pd.Series:
-        out = []
-        for x, n in zip(tt.abs(), nn):
-            if not n or n < 1 or pd.isna(x):
-                out.append(None)
-                continue
-            g = np.linspace(0.0, float(x), 4001)
-            scale = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
-            y = scale * (1 + g * g / n) ** (-(n + 1) / 2)
-            area = (g[1] - g[0]) / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
-            out.append(max(0.0, 1 - 2 * area))
-        return pd.Series(out, dtype="float64")
-
-    return F.when(df >= 200, 2 * (1 - normal_cdf(F.abs(t)))).otherwise(exact(t, df))
+    return F.when(df >= 200, 2 * (1 - normal_cdf(F.abs(t)))).otherwise(2 * D.survival("student_t", F.abs(t), df))
 
 
 def t_test(rows: DataFrame, key: str, x: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions as D
 from ..operators import backtest, bars as B
 from ..session import table
 from .bar_queries import _bars
 from .define import TICKS, bars_sql, query, stamp
 from .indicator_queries import hourly
+from .series_sql import gamma_sql
 from .study_queries import _B, _trades
 
 
@@ -192,12 +194,15 @@ def stratified_accuracy(spark, sf_dir):
     return s.where("n > 10").withColumn("side", F.col("side").cast("string"))
 
 
-@query(f"""WITH {_B}, h AS (SELECT symbol, count(*) AS n, avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END) AS acc FROM g GROUP BY symbol)
- SELECT symbol, n, round(acc, 6) AS accuracy, round((acc - 1 / 3) / sqrt((2 / 9) / n), 4) AS z FROM h""")
+@query(f"""WITH {_B}, h AS (SELECT symbol, count(*) AS n, avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END) AS acc FROM g GROUP BY symbol),
+ z AS (SELECT *, (acc - 1 / 3) / sqrt((2 / 9) / n) AS z FROM h)
+ SELECT symbol, n, round(acc, 6) AS accuracy, round(z, 4) AS z, round(1 - {gamma_sql("0.5", "z * z / 2")}, 8) AS p FROM z""")
 def proportion_z_test(spark, sf_dir):
     t = backtest.balances(_trades(spark, sf_dir))
     d = t.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.when(F.col("gain") > 0, 1.0).otherwise(0.0)).alias("acc"))
-    return d.select("symbol", "n", F.round("acc", 6).alias("accuracy"), F.round((F.col("acc") - 1 / 3) / F.sqrt(F.lit(2 / 9) / F.col("n")), 4).alias("z"))
+    z = (F.col("acc") - 1 / 3) / F.sqrt(F.lit(2 / 9) / F.col("n"))
+    p = 2 * D.survival("normal", F.abs(z), 0.0, 1.0)
+    return d.select("symbol", "n", F.round("acc", 6).alias("accuracy"), F.round(z, 4).alias("z"), F.round(p, 8).alias("p"))
 
 
 @query(f"""WITH {_B}, a AS (SELECT symbol, count(*) AS trades, avg(close_i - open_i) AS duration, sum(gain) AS total FROM g GROUP BY symbol)

@@ -11,6 +11,7 @@ from ..operators.indicators import catalogue, compute
 from ..session import table
 from .define import bars_sql, query
 from .indicator_queries import hourly
+from .series_sql import student_sql
 
 _B = f"""{bars_sql(60)}, s AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INT) AS i FROM b),
  v AS (SELECT symbol, i, close, CASE WHEN i >= 13 THEN avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) ELSE 0.0 END AS sma FROM s),
@@ -89,12 +90,13 @@ def daily_returns(spark, sf_dir):
     return r.groupBy("symbol").agg(F.round(F.avg("r") / F.stddev_samp("r") * root, 6).alias("sharpe_annual"), F.round(F.stddev_samp("r") * root, 6).alias("volatility"))
 
 
-@query(f"""WITH {bars_sql(1440)}, r AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM b)
- SELECT symbol, count(r) AS n, round(avg(r), 6) AS mean, round(avg(r) / (stddev_samp(r) / sqrt(count(r))), 6) AS t, count(r) - 1 AS df FROM r GROUP BY symbol""")
+@query(f"""WITH {bars_sql(1440)}, r AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM b),
+ a AS (SELECT symbol, count(r) AS n, avg(r) AS mean, avg(r) / (stddev_samp(r) / sqrt(count(r))) AS t, count(r) - 1 AS df FROM r GROUP BY symbol)
+ SELECT symbol, n, round(mean, 6) AS mean, round(t, 6) AS t, df, round(1 - {student_sql("t", "df")}, 8) AS p FROM a""")
 def returns_t_test(spark, sf_dir):
     b = hourly(spark, sf_dir, 1440)
     r = b.select("symbol", (F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")) - 1).alias("r"))
-    return risk.t_test(r, "symbol", "r").select("symbol", "n", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"), "df")
+    return risk.t_test(r, "symbol", "r").select("symbol", "n", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"), "df", F.round("p", 8).alias("p"))
 
 
 #: CTEs s (bars with i) and w: the windows of each symbol's own number of bars, 252 to train and 63 to test.
