@@ -117,3 +117,24 @@ def test_bands_find_windows_as_often_as_stated(spark):
     assert both.count() == 0
     share = df.where(F.get(licenses._bands(x[0], x[1]), F.lit(0)) == F.get(licenses._bands(x[0], x[2]), F.lit(0))).count() / n
     assert abs(share - 1 / 3) < 0.02  # the Jaccard similarity of the two pairs
+
+
+def test_more_templates_than_a_row_asks_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "ROW_VALUES", 0)
+    rows = [(1, "x " + licenses.TEMPLATES[0][1]), (2, "nothing here"), (3, dict(licenses.TEMPLATES)["mit-license"]), (3, None), (None, licenses.TEMPLATES[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, rows, licenses.TEMPLATES)
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    check(df, rows, licenses.TEMPLATES)
+    assert licenses.scan(df.where("false")).collect() == []
+
+
+def test_a_text_that_repeats_licenses(spark):
+    """Memory follows the text, not the text times what it holds: 1.2 MB of licenses, one behind the other."""
+    body = " ".join(b for _, b in licenses.TEMPLATES)
+    text = " ".join([body] * 250)
+    df = spark.createDataFrame([(1, text), (2, "plain words " * 5), (1, body)], "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    once = {r.license: r for r in got if r.last_word < len(split(body))}
+    assert {r.license for r in got if r.doc_id == 1} == {n for n, _ in licenses.TEMPLATES} == set(once)
+    assert len(got) == 2 * len(licenses.TEMPLATES) and all(r.containment == 1 for r in got)

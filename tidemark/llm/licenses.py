@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, numbered, written
 
 SHINGLE = 5
 #: Windows of two neighbouring shingles, one at each place, so that each overlaps the next, and MinHash
@@ -18,6 +19,8 @@ SHINGLE = 5
 #: microseconds a shingle in built-in functions, three times the limit for native operators.)
 BANDS = 11
 LEAST = 0.8
+#: Shingles of all templates up to which a text asks for them by arrays of its own, without a join.
+ROW_VALUES = 20_000
 
 #: Notices and opening or closing sentences of common licenses.
 TEMPLATES = [
@@ -130,6 +133,62 @@ def _bands(a: Column, b: Column) -> Column:
     return F.array(*[F.least(a.bitwiseXOR(F.lit(c)), b.bitwiseXOR(F.lit(c))) for c in _masks()])
 
 
+def _next(sh: str) -> Column:
+    """Every shingle's neighbour; the last has itself."""
+    return F.concat(F.slice(F.col(sh), F.lit(2), F.size(sh)), F.slice(F.col(sh), F.size(sh), F.lit(1)))
+
+
+#: A template: its name, number of distinct shingles, their hashes and their words.
+TEMPLATE = "struct<license:string,of:int,own:array<bigint>,runs:array<string>>"
+
+
+def _retrieved(templates: list[dict]) -> Column:
+    """The templates that some band of some window of `sh` retrieves, with nothing but arrays of the row's own.
+
+    A band's minima over all windows are met with that band's table; what stays are hashes of
+    templates' shingles, and templates that hold one are candidates.
+    """
+    every = sorted({x for t in templates for x in t["own"]})
+
+    def hits(c: int) -> Column:
+        mask = F.lit(c)
+        least = F.zip_with("sh", _next("sh"), lambda a, b: F.least(a.bitwiseXOR(mask), b.bitwiseXOR(mask)))
+        known = F.from_json(F.lit(json.dumps([x ^ c for x in every])), "array<bigint>")
+        return F.transform(F.array_intersect(least, known), lambda v: v.bitwiseXOR(mask))
+
+    lists = F.from_json(F.lit(json.dumps(templates)), f"array<{TEMPLATE}>")
+    of = lambda found: F.filter(lists, lambda t: F.arrays_overlap(t["own"], found))
+    return _let(F.array_distinct(F.concat(*map(hits, _masks()))), lambda found: F.when(F.size(found) > 0, of(found)).otherwise(F.array().cast(f"array<{TEMPLATE}>")))
+
+
+def _occurrence(sh: Column, text: Column, t: Column, least: float) -> Column:
+    """The best occurrence of template t in a text with shingles sh: license, containment, first_word, last_word; null if none.
+
+    One expression, so that what it makes on the way is gone before the next template is looked at.
+    """
+    reach = t["of"] + SHINGLE
+    result = "struct<license:string,containment:double,first_word:int,last_word:int>"
+
+    def best_of(shared: Column) -> Column:
+        positions = F.filter(F.sequence(F.lit(0), F.size(sh) - 1), lambda i: F.array_contains(shared, F.get(sh, i)))
+        return _let(positions, lambda at: F.array_max(F.transform(at, lambda p, i: start(at, p, i))))
+
+    def start(at: Column, p: Column, i: Column) -> Column:
+        inside = F.filter(F.slice(at, i + 1, reach), lambda q: q < p + reach)
+        made = lambda q: F.struct(F.size(F.array_distinct(F.transform(q, lambda v: F.get(sh, v)))).alias("n"), (-p).alias("first"), F.element_at(q, -1).alias("last"))
+        return _let(inside, made)
+
+    def exact(best: Column) -> Column:
+        # the words decide: equal hashes of different words count for nothing
+        inside = F.slice(words(text), F.lit(1) - best["first"], best["last"] + best["first"] + SHINGLE)
+        share = _let(inside, lambda w: F.size(F.array_intersect(t["runs"], _runs(w))) / F.size(t["runs"]))
+        return F.struct(t["license"].alias("license"), share.alias("containment"), (-best["first"]).alias("first_word"), (best["last"] + SHINGLE - 1).alias("last_word"))
+
+    enough = lambda n: n >= F.ceil(t["of"] * F.lit(least) - 1e-9)
+    none = F.lit(None).cast(result)
+    return _let(F.array_intersect(sh, t["own"]), lambda shared: F.when(enough(F.size(shared)), _let(best_of(shared), lambda b: F.when(enough(b["n"]), exact(b)).otherwise(none))).otherwise(none))
+
+
 def template_table(spark: SparkSession, templates=None) -> tuple[DataFrame, DataFrame]:
     """(value, license) for every band value of a template's windows, and the templates themselves:
     license, of (its shingles), own (their hashes), runs (their words). As large as the list of
@@ -161,49 +220,31 @@ def scan(docs: DataFrame, templates=None, least: float = LEAST) -> DataFrame:
     it is a match, once the shingles' words agree. One row per row of docs and license: its best
     occurrence (highest containment, then first), by positions of words from 0.
 
-    The table is broadcast up to BROADCAST_ROWS rows and joined by a shuffle beyond. What is shuffled
-    otherwise is one row for each text with a candidate. Null, empty and short texts match nothing; null
+    Up to ROW_VALUES shingles of all templates a text asks by arrays of its own: nothing is shuffled,
+    and what it holds in memory grows with its length alone, however many licenses it repeats (and
+    with the candidates, of which there are as many as templates at most). Beyond, (row, band value) alone
+    meets the table, which is broadcast up to BROADCAST_ROWS rows, and texts of rows with candidates
+    are joined back once, from a written table that numbers the rows. Null, empty and short texts match nothing; null
     ids and repeated rows are scanned like others and give a row each; texts are read whole; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
     table, known = (written(x) for x in template_table(spark, templates))
-    small = table.count() <= BROADCAST_ROWS
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    d = _once(d, "sh", shingle_hashes(docs["text"])).where(F.size("sh") > 0)
-    w = d.select("*", F.explode(F.sequence(F.lit(0), F.size("sh") - 1)).alias("i"))
-    own = F.get("sh", F.col("i"))
-    w = w.select("row", "doc_id", "text", "sh", own.alias("a"), F.coalesce(F.get("sh", F.col("i") + 1), own).alias("b"))
-    asks = _once(w, "bands", _bands(F.col("a"), F.col("b"))).select("row", "doc_id", "text", "sh", F.explode("bands").alias("value"))
-    hits = asks.join(F.broadcast(table) if small else table, "value")
-    near = hits.groupBy("row").agg(F.collect_set("license").alias("names"), *[F.first(c).alias(c) for c in ("doc_id", "text", "sh")])
-    t = near.select("doc_id", "text", "sh", F.explode("names").alias("license")).join(F.broadcast(known), "license")
-
-    shared = F.array_intersect("sh", "own")
-    t = _once(t, "shared", shared).where(F.size("shared") >= F.ceil(F.col("of") * F.lit(least) - 1e-9))
-    every = F.transform("sh", lambda x, i: F.struct(i.alias("p"), x.alias("x")))
-    t = _once(t, "places", F.filter(every, lambda e: F.array_contains(F.col("shared"), e["x"])))
-    reach = F.col("of") + SHINGLE
-
-    def occurrence(e: Column, i: Column) -> Column:
-        inside = F.filter(F.slice("places", i + 1, reach), lambda q: q["p"] < e["p"] + reach)
-        got = lambda q: F.struct(F.size(F.array_distinct(F.transform(q, lambda v: v["x"]))).alias("n"), (-e["p"]).alias("first"), F.element_at(q, -1)["p"].alias("last"))
-        return _let(inside, got)
-
-    t = _once(t, "best", F.array_max(F.transform("places", occurrence)))
-    # the words decide: equal hashes of different words count for nothing
-    inside = F.slice(words(F.col("text")), F.lit(1) - F.col("best.first"), F.col("best.last") + F.col("best.first") + SHINGLE)
-    exact = F.size(F.array_intersect("runs", _runs(inside))) / F.size("runs")
-    return (
-        t.select(
-            "doc_id",
-            "license",
-            exact.alias("containment"),
-            (-F.col("best.first")).cast("int").alias("first_word"),
-            (F.col("best.last") + SHINGLE - 1).cast("int").alias("last_word"),
-        )
-        .where(F.col("containment") >= F.lit(least) - 1e-9)
-    )
+    if (known.agg(F.sum("of")).first()[0] or 0) <= ROW_VALUES:
+        all_of = [r.asDict() for r in known.select("license", "of", "own", "runs").collect()]
+        d = _once(docs.select("doc_id", "text"), "sh", shingle_hashes(docs["text"])).where(F.size("sh") > 0)
+        d = _once(d, "near", _retrieved(all_of)).where(F.size("near") > 0)
+        m = d.select("doc_id", F.explode(F.transform("near", lambda t: _occurrence(F.col("sh"), F.col("text"), t, least))).alias("m"))
+    else:
+        rows = numbered(docs.select("doc_id", "text"), "row")
+        d = _once(rows, "sh", shingle_hashes(rows["text"])).where(F.size("sh") > 0)
+        w = d.select("row", F.explode(F.arrays_zip(F.col("sh").alias("a"), _next("sh").alias("b"))).alias("w"))
+        asks = _once(w, "bands", _bands(F.col("w.a"), F.col("w.b"))).select("row", F.explode("bands").alias("value"))
+        small = table.count() <= BROADCAST_ROWS
+        near = asks.join(F.broadcast(table) if small else table, "value").select("row", "license").distinct()
+        t = d.join(near, "row").join(known, "license").select("doc_id", "text", "sh", F.struct("license", "of", "own", "runs").alias("t"))
+        m = t.select("doc_id", _occurrence(F.col("sh"), F.col("text"), F.col("t"), least).alias("m"))
+    return m.where(F.col("m").isNotNull() & (F.col("m.containment") >= F.lit(least) - 1e-9)).select("doc_id", "m.*")
 
 
 def plain_words(text: str) -> list[str]:
