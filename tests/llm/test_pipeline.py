@@ -93,9 +93,38 @@ def test_stages_one_after_the_other_from_nothing(spark):
 
 
 def test_release_spares_what_docs_reads(spark):
-    a, b = written(spark.range(3)), written(spark.range(4))
-    folders = corpus_pipeline.common.FOLDERS[-2:]
-    corpus_pipeline.common.release(folders, b)
+    with corpus_pipeline.common.owned() as folders:
+        a, b = written(spark.range(3)), written(spark.range(4))
+        corpus_pipeline.common.release(folders, b)
     assert len(folders) == 1 and b.count() == 4
     with pytest.raises(Exception):
         a.count()
+
+
+def test_owned_blocks_hand_on_what_is_left(spark):
+    common = corpus_pipeline.common
+    with common.owned() as outer:
+        with common.owned() as inner:
+            a, b = written(spark.range(3)), written(spark.range(4))
+            common.release(inner, b)
+        assert outer == inner and len(outer) == 1
+        c = written(b)
+        common.release(outer, c)
+        assert len(outer) == 1 and c.count() == 4
+
+
+def test_a_stage_run_again_leaves_the_first_result(spark):
+    docs = written(documents(spark))
+    for _, f in corpus_pipeline.STAGES:
+        a = f(spark, docs, SF)
+        b = f(spark, docs, SF)
+        n = b.count()
+        assert a.count() == n
+
+
+def test_two_runs_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(lambda: corpus_pipeline.run(spark, SF).count()) for _ in range(2)]
+        assert runs[0].result() == runs[1].result() > 0

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import ctypes
 import shutil
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,21 @@ BROADCAST_ROWS = 2_000_000
 ROW_GROUP = 16 << 20
 
 
-#: The folders of this program, in the order they were named.
-FOLDERS: list[str] = []
+#: The folders that the work going on here has named: each thread, and each `owned` block, has its own.
+_OWN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("own", default=None)
+
+
+@contextlib.contextmanager
+def owned() -> Iterator[list[str]]:
+    """The folders that are named inside the block; those still listed at its end belong to the block around it."""
+    folders: list[str] = []
+    token = _OWN.set(folders)
+    try:
+        yield folders
+    finally:
+        _OWN.reset(token)
+        if (outer := _OWN.get()) is not None:
+            outer.extend(folders)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,17 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
     if base:
         path = f"{base.rstrip('/')}/{name}"
         atexit.register(_clear, spark, path)
-        FOLDERS.append(path)
-        return path
-    if not spark.sparkContext.master.startswith("local"):
+    elif spark.sparkContext.master.startswith("local"):
+        path = f"file:///tmp/checkpoints/{name}"
+        atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
+    else:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-    atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
-    FOLDERS.append(f"file:///tmp/checkpoints/{name}")
-    return FOLDERS[-1]
+    if (own := _OWN.get()) is not None:
+        own.append(path)
+    return path
 
 
 def release(folders: list[str], docs: DataFrame) -> None:
-    """Delete those folders that docs does not read; folders then lists what is left."""
+    """Delete those folders of one's own that docs does not read; folders then lists what is left."""
     read = {part for f in docs.inputFiles() for part in f.split("/") if part.startswith("tidemark-")}
     keep = [f for f in folders if f.rpartition("/")[2] in read]
     for f in folders:
