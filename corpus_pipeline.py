@@ -15,25 +15,21 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, jaccard, language, mixing, packing, quality
 from tidemark.llm.common import free_name, numbered, table, written
 
-#: Folders that the stages have written for themselves and that are still there.
-_MADE: list[str] = []
-
 #: A document stays if some language has at least this mean probability over its bytes.
 LEAST_SCORE = 0.5
 
 
 def _tidy(stage):
-    """The stage; before it runs, what earlier stages wrote for themselves is deleted.
+    """The stage; what it has written on the way and its result does not read is deleted when it is done.
 
-    Their results are written and read again by then; a folder that docs still reads stays.
+    Only folders of this very call are looked at, so calls may overlap and results stay readable.
     """
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(_MADE, docs)
-        before = len(common.FOLDERS)
-        out = stage(spark, docs, sf_dir)
-        _MADE.extend(common.FOLDERS[before:])
+        with common.owned() as folders:
+            out = stage(spark, docs, sf_dir)
+            common.release(folders, out)
         return out
 
     return run
@@ -97,8 +93,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage has left is deleted once its rows are written for the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-        _MADE.append(common.FOLDERS[-1])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.owned() as mine:
+        for _, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir))
+            common.release(mine, docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
