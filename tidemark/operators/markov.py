@@ -52,3 +52,9 @@ def predict(s: DataFrame, by_key: DataFrame, of_all: DataFrame, least: int = 15)
     a = of_all.select("pattern", F.col("next").alias("common"))
     d = s.where("pattern is not null").join(k, ["symbol", "pattern"], "left").join(a, "pattern", "left")
     return d.select("symbol", "i", "pattern", F.coalesce("own", "common", F.lit("F")).alias("predicted"))
+
+
+def top(c: DataFrame, keys: list[str], least: int = 15, count: int = 20) -> DataFrame:
+    """The `count` surest patterns of each key among those seen `least` times, with their place from 1."""
+    w = Window.partitionBy(*keys).orderBy(F.round("confidence", 9).desc(), F.col("n").desc(), "pattern")
+    return c.where(F.col("n") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= count)
