@@ -115,6 +115,21 @@ def us_market_holiday(day: Column) -> Column:
     return F.coalesce(*[F.when(day == d.cast("date"), n) for n, d in rules])
 
 
+def us_market_half_day(day: Column) -> Column:
+    """Why the New York exchange closes at one on this weekday, or null: the eves of Independence Day, Christmas
+    and New Year where the holiday is a weekday, and the day after Thanksgiving."""
+    y = F.year(day)
+    eve = lambda m, d, of: (F.month(day) == m) & (F.dayofmonth(day) == d) & (F.weekday(of) < 5)
+    of = lambda m, d, year=y: F.make_date(year, F.lit(m), F.lit(d))
+    name = (
+        F.when(eve(7, 3, of(7, 4)), "Independence Eve")
+        .when(F.date_sub(day, 1) == nth_weekday(of(11, 1), "THU", 4), "Day after Thanksgiving")
+        .when(eve(12, 24, of(12, 25)), "Christmas Eve")
+        .when(eve(12, 31, of(1, 1, y + 1)), "New Year's Eve")
+    )
+    return F.when(F.weekday(day) < 5, name)
+
+
 def money(x: Column) -> Column:
     """Two decimals, half to even."""
     return F.bround(x, 2)

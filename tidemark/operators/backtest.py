@@ -105,3 +105,14 @@ def position_size(method: str, capital, price, volatility, win_rate=None, win_lo
         "regime": F.lit(0.1) * F.when(volatility > 0.03, 0.7).when(volatility < 0.01, 1.3).otherwise(1.0),
     }[method]
     return F.floor(capital * risk / price)
+
+
+def discrepancy(trades: DataFrame, start: float = 100_000.0, decimals: int = 2, near: float = 0.01, alarm: float = 1000.0) -> DataFrame:
+    """Per symbol: trades, how many leave start and the gains booked so far (rounded to `decimals`) off
+    the balance by more than `near`, the last balance less start and all gains, and whether that is over `alarm`."""
+    w = Window.partitionBy("symbol").orderBy("open_i")
+    d = balances(trades, start)
+    d = d.withColumn("dollars", F.round(F.col("balance") - F.coalesce(F.lag("balance").over(w), F.lit(start)), decimals))
+    d = d.withColumn("progress", F.lit(start) + F.sum("dollars").over(w))
+    last = F.max_by("balance", "open_i") - start - F.sum("dollars")
+    return d.groupBy("symbol").agg(F.count("*").alias("trades"), F.count_if(F.abs(F.col("progress") - F.col("balance")) > near).alias("off"), last.alias("discrepancy"), (F.abs(last) > alarm).alias("alarm"))

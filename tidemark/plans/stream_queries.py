@@ -38,19 +38,6 @@ def stream_sessions(spark, sf_dir):
     return SB.sessions(_ticks(spark, sf_dir)).select("symbol", _at("start"), "n", F.round("total", 4).alias("total"))
 
 
-_HOLIDAYS = """VALUES ('2024-01-01', 'New Year'), ('2024-01-15', 'Martin Luther King'), ('2024-02-19', 'Presidents'), ('2024-03-29', 'Good Friday'), ('2024-05-27', 'Memorial'),
- ('2024-06-19', 'Juneteenth'), ('2024-07-04', 'Independence'), ('2024-09-02', 'Labor'), ('2024-11-28', 'Thanksgiving'), ('2024-12-25', 'Christmas')"""
-
-
-@query(f"""WITH h(day, holiday) AS ({_HOLIDAYS}), d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS x)
- SELECT CAST(x AS VARCHAR) AS day, holiday, isodow(x) < 6 AND holiday IS NULL AS open_ FROM d LEFT JOIN h ON h.day = CAST(x AS VARCHAR)""")
-def market_calendar(spark, sf_dir):
-    """A date dimension from rules alone; joins to it are broadcast, as a year is a few hundred rows."""
-    d = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-12-31')) AS x")
-    h = S.us_market_holiday(F.col("x"))
-    return d.select(F.col("x").cast("string").alias("day"), h.alias("holiday"), ((F.weekday("x") < 5) & h.isNull()).alias("open_"))
-
-
 @query("""SELECT event_id, strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') AS eastern FROM events""")
 def eastern_time(spark, sf_dir):
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
