@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -88,22 +89,28 @@ def mamdani(df: DataFrame, inputs: dict[str, dict], output: dict[str, tuple], lo
     null, or if no rule holds at all.
     """
     h = (high - low) / (2 * STEPS)
-    xs = [low + h * k for k in range(2 * STEPS + 1)]
-    weights = [1.0] + [4.0 if k % 2 else 2.0 for k in range(1, 2 * STEPS)] + [1.0]
-    d, union = df, None
     names = [t for t in output if any(r.then == t for r in rules)]
-    d = d.withColumns({f"_s{k}": _strongest([strength(r, inputs) for r in rules if r.then == t]) for k, t in enumerate(names)})
-    for k, t in enumerate(names):
-        shape = F.array(*[membership(output, F.lit(x), t) for x in xs])  # folded to a constant
-        cut = _cut(shape, F.col(f"_s{k}"))
-        union = cut if union is None else F.zip_with(union, cut, lambda a, b: F.greatest(a, b))
-    area = F.zip_with(union, F.array(*map(F.lit, weights)), lambda u, w: u * w)
+    x = F.lit(float(low)) + F.lit(h) * F.col("id")
+    grid = df.sparkSession.range(2 * STEPS + 1).select("id", x.alias("x"), *[membership(output, x, t).alias(f"t{k}") for k, t in enumerate(names)]).orderBy("id").collect()
+    listed = lambda values: F.from_json(F.lit(json.dumps(values)), "array<double>")
+    weights = [1.0] + [4.0 if k % 2 else 2.0 for k in range(1, 2 * STEPS)] + [1.0]
+    strengths = F.struct(*[_strongest([strength(r, inputs) for r in rules if r.then == t]).alias(f"s{k}") for k, t in enumerate(names)])
+
+    def area(s: Column) -> Column:
+        cuts = [_cut(listed([r[f"t{k}"] for r in grid]), s[f"s{k}"]) for k in range(len(names))]
+        union = reduce(lambda u, c: F.zip_with(u, c, lambda a, b: F.greatest(a, b)), cuts)
+        known = reduce(lambda a, b: a & b, [s[f"s{k}"].isNotNull() for k in range(len(names))])
+        return F.when(known, F.zip_with(union, listed(weights), lambda u, w: u * w))
+
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    d = d.withColumn("_area", area)
-    whole = total(F.col("_area"))
-    moment = total(F.zip_with("_area", F.array(*map(F.lit, xs)), lambda u, x: u * x))
-    known = reduce(lambda a, b: a & b, [F.col(f"_s{k}").isNotNull() for k in range(len(names))])
-    return d.withColumn(out, F.when(known & (whole > 0), moment / whole)).drop("_area", *[f"_s{k}" for k in range(len(names))])
+    moment = lambda a: total(F.zip_with(a, listed([r["x"] for r in grid]), lambda u, x: u * x))
+    # named once, or a rule would be judged anew for every point
+    centre = lambda a: _let(total(a), lambda whole: F.when(whole > 0, moment(a) / whole))
+    return df.withColumn(out, _let(strengths, lambda s: _let(area(s), centre)))
+
+
+def _let(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _strongest(each: list[Column]) -> Column:
