@@ -81,3 +81,12 @@ def test_empty_and_unlabelled(spark):
     assert language.predict(docs, language.fit(docs)).collect() == []
     docs = documents(spark, [(1, "some words", None, "a")])
     assert [r.lang_pred for r in language.predict(docs, language.fit(docs)).collect()] == ["und"]
+
+
+def test_rows_that_recur_do_not_crowd_out_a_language(spark):
+    """4,000 equal German rows beside 500 English ones: whatever the text's hash, German is learned."""
+    english = [(i, f"the cat number{i} sat there with {i % 7} others and looked at the rain", "en") for i in range(2, 502)]
+    for k in range(6):
+        same = [(1, f"Der Hund {'x' * k} läuft über die große Straße nach Köln", "de")] * 4000
+        docs = spark.createDataFrame(same + english, "doc_id long, text string, lang string")
+        assert sorted(language.fit(docs)["langs"]) == ["de", "en"]

@@ -158,3 +158,15 @@ def test_large_sources_come_close(spark):
         taken[r.source_size] += r.taken
         target[r.source_size] = r.target
     assert all(abs(taken[s] - target[s]) <= 2 for s in target)
+
+
+def test_many_equal_rows_are_numbered_apart_without_meeting(spark):
+    """A third of all rows are one row: each gets a key of its own, and no window has them all."""
+    rows = [(7, "the same words", "a")] * 3000 + [(i, f"text {i}", "b") for i in range(6000)] + [(None, None, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(12)
+    k = mixing.keyed(docs, 17)
+    assert k.count() == len(rows)
+    assert k.where("source = 'a'").select("key").distinct().count() == 3000
+    assert k.where("doc_id is null").select("key").distinct().count() == 500
+    plan = k._jdf.queryExecution().toString()
+    assert "Window" not in plan  # what is read back is written

@@ -170,7 +170,8 @@ def fit(docs: DataFrame, lang: str = "lang", limit: int = TRAIN_DOCS) -> dict:
     """Train on windows of at most `limit` documents of each language: non-null text and lang, not held out.
 
     They are those of the smallest hash of id and text, found by a per-language sort in which each
-    task keeps `limit` rows. Of each come PER_DOC windows from even places over its whole text,
+    task keeps `limit` rows. Rows equal in id and text count once, so a language of few documents that
+    recur is learned from those, however often they do. Of each come PER_DOC windows from even places over its whole text,
     so the driver receives a bounded number of bytes whatever the texts' sizes. All languages are
     learned: where there are many, each has fewer documents, so that all have TRAIN_WINDOWS.
     """
@@ -178,8 +179,8 @@ def fit(docs: DataFrame, lang: str = "lang", limit: int = TRAIN_DOCS) -> dict:
 
     ok = docs.where(F.col("text").rlike(r"\p{L}") & F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ok = ok.select("doc_id", "text", F.col(lang).alias("lang"), F.xxhash64("doc_id", "text", F.lit(3)).alias("r"))
-    # a random share of a language's documents, so that the window below sorts a bounded part of it
-    n = written(ok.groupBy("lang").count())
+    # a random share of a language's different documents, so that the window below sorts a bounded part of it
+    n = written(ok.groupBy("lang").agg(F.approx_count_distinct("r").alias("count")))
     langs = n.count()
     if not langs:
         return train([], [])
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, lang: str = "lang", limit: int = TRAIN_DOCS) -> dict:
     at = Window.partitionBy("lang").orderBy("r", "doc_id", "text")
     few = ok.join(F.broadcast(n) if langs <= 100_000 else n, "lang")
     few = few.where(F.pmod(F.col("r"), F.lit(1 << 30)) <= (F.lit(4.0 * most + 64) / F.col("count") * (1 << 30)))
+    few = few.groupBy("lang", "r").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("lang", "r", "d.*")
     few = few.withColumn("k", F.row_number().over(at)).where(F.col("k") <= most)
     raw = F.encode("text", "UTF-8")
     size = F.octet_length("text")

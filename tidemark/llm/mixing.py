@@ -88,10 +88,14 @@ def keyed(docs: DataFrame, seed: int, keep=(), row: str | None = None) -> DataFr
         F.xxhash64(text).alias("th"),
         quality_weight(text).alias("quality"),
     )
-    base = base.withColumn("same", F.xxhash64("doc_id", "th", "skey"))
-    base = base.withColumn("which", F.row_number().over(Window.partitionBy("same").orderBy("row")))
+    # which of its equals a row is, by its number: within a partition, after those of the partitions before
+    base = written(base.withColumns({"same": F.xxhash64("doc_id", "th", "skey"), "part": F.shiftright("row", 33)}))
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    equals = base.groupBy("same", "part").agg(F.count("*").alias("n")).select("same", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    base = base.join(equals, ["same", "part"])
+    base = base.withColumn("which", F.col("before").cast("int") + F.row_number().over(Window.partitionBy("same", "part").orderBy("row")))
     base = base.withColumn("key", -F.ln(uniform(F.col("same"), F.col("which"), seed)) / F.col("quality"))
-    return written(base.withColumn("bin", F.floor(F.ln("key") * BINS).cast("int")).drop("same", "which", "quality"))
+    return written(base.withColumn("bin", F.floor(F.ln("key") * BINS).cast("int")).drop("same", "part", "before", "which", "quality"))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, keep=(), row: str | None = None) -> DataFrame:
