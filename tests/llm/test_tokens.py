@@ -42,3 +42,19 @@ def test_awkward_rows(spark):
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=key) == sorted(((r[0], LIBRARY(r[1] or "")) for r in ROWS), key=key)
     assert tokens.count_tokens(documents(spark, [])).collect() == []
+
+
+def test_a_long_unbroken_text_takes_little_memory():
+    """What is kept goes back by the longest piece: 400,000 characters without a space, known and unknown."""
+    import time
+    import tracemalloc
+
+    c = tokens.Counter([("<unk>", 0.0), ("a", -1.0), ("ab", -1.5), ("b", -2.0), ("abab", -2.5), ("▁", -3.0)], unk_id=0, byte_fallback=False)
+    for text in ("ab" * 200_000, "日" * 400_000):
+        tracemalloc.start()
+        began = time.time()
+        n = c.count(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == (100_001 if text[0] == "a" else 2)
+        assert peak < 12 * len(text) and time.time() - began < 60

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Words whose counts a worker remembers at once; it starts afresh beyond.
 REMEMBER = 1_000_000
+#: Characters from which on a text's words are listed one by one.
+LONG = 1 << 20
 #: The library's own: an unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -42,6 +44,7 @@ class Counter:
             self.auto.add_word(piece, (len(piece), score))
         if best:
             self.auto.make_automaton()
+        self.longest = max(map(len, best), default=1)
         self.unknown = min((s for _, s in vocab), default=0.0) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in best for b in range(256))
         inner = any(SPACE in p[1:] and p.strip(SPACE) for p in best)
@@ -50,34 +53,36 @@ class Counter:
         self.empty = not best
 
     def count_unit(self, text: str) -> int:
-        """Pieces of the best path over a text."""
-        n = len(text)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if not self.empty:
-            for end, (size, score) in self.auto.iter(text):
-                found[end + 1 - size].append((size, score))
-        score: list[float | None] = [None] * (n + 1)
-        # pieces so far, without the last run of unknown characters; where that run starts
-        count, run = [0] * (n + 1), [-1] * (n + 1)
-        score[0] = 0.0
-        for at in range(n):
-            here = score[at]
-            closed = count[at] + (self._run(text, run[at], at) if run[at] >= 0 else 0)
-            single = False
-            for size, s in found[at]:
-                single |= size == 1
-                to, new = at + size, here + s
-                if score[to] is None or new > score[to]:
-                    score[to], count[to], run[to] = new, closed + 1, -1
-            if not single:
-                new = here + self.unknown
-                if score[at + 1] is None or new > score[at + 1]:
-                    score[at + 1] = new
-                    count[at + 1], run[at + 1] = (count[at], run[at]) if run[at] >= 0 else (closed, at)
-        return count[n] + (self._run(text, run[n], n) if run[n] >= 0 else 0)
-
-    def _run(self, text: str, start: int, end: int) -> int:
-        return len(text[start:end].encode()) if self.bytes else 1
+        """Pieces of the best path over a text; what is kept goes back as far as the longest piece.
+
+        Of equal scores the piece that starts first stands, as if paths were carried on from the left.
+        """
+        width = self.longest + 1
+        score, count, open_ = [0.0] * width, [0] * width, [0] * width  # open_: pieces of the unknown run that is going on
+        found = iter(()) if self.empty else self.auto.iter(text)
+        end, match = next(found, (-1, None))
+        for to in range(1, len(text) + 1):
+            here = []
+            while match is not None and end == to - 1:
+                here.append(match)
+                end, match = next(found, (-1, None))
+            here.sort(key=_size, reverse=True)
+            best = None
+            for size, s in here:
+                at = (to - size) % width
+                new = score[at] + s
+                if best is None or new > best:
+                    best, pieces, run = new, count[at] + open_[at] + 1, 0
+            if not here or here[-1][0] > 1:  # no piece is this character alone
+                at = (to - 1) % width
+                new = score[at] + self.unknown
+                if best is None or new > best:
+                    best, pieces = new, count[at]
+                    run = open_[at] + len(text[to - 1].encode()) if self.bytes else 1
+            at = to % width
+            score[at], count[at], open_[at] = best, pieces, run
+        at = len(text) % width
+        return count[at] + open_[at]
 
     def count(self, text: str | None) -> int:
         """Pieces of a text: a mark before it, spaces as marks; null and empty text have none."""
@@ -87,7 +92,7 @@ class Counter:
         if self.unit is None:
             return self.count_unit(text)
         memo, total = self.memo, 0
-        for w in self.unit.findall(text):
+        for w in self.unit.findall(text) if len(text) < LONG else map(_whole, self.unit.finditer(text)):
             n = memo.get(w)
             if n is None:
                 if len(memo) >= REMEMBER:
@@ -99,6 +104,14 @@ class Counter:
         return total
 
 
+def _size(match: tuple[int, float]) -> int:
+    return match[0]
+
+
+def _whole(match: re.Match) -> str:
+    return match[0]
+
+
 @lru_cache(maxsize=2)
 def _counter(path: str | None) -> Counter:
     return Counter(*vocabulary(path))
