@@ -120,3 +120,23 @@ def t_test(rows: DataFrame, key: str, x: str) -> DataFrame:
     t = F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))
     d = a.select(key, "n", "mean", t.alias("t"), (F.col("n") - 1).alias("df"))
     return d.withColumn("p", student_t_tail(F.col("t"), F.col("df")))
+
+
+def summary(trades: DataFrame, key: str) -> DataFrame:
+    """What closed trades made, per key: trades, wins, losses, win_rate, mean, mean_percent, largest_win, largest_loss,
+    holding (bars), bought and sold (dollars). trades: as `dollar_columns` leaves them, with open_i, close_i and side."""
+    g, shares, long = F.col("actual_gain"), F.abs("position"), F.col("side") > 0
+    at = lambda a, b: F.sum(F.when(long, F.col(a)).otherwise(F.col(b)) * shares)
+    return trades.groupBy(key).agg(
+        F.count("*").alias("trades"),
+        F.count_if(g > 0).alias("wins"),
+        F.count_if(g < 0).alias("losses"),
+        F.round(F.avg(F.when(g > 0, 1.0).otherwise(0.0)), 6).alias("win_rate"),
+        F.round(F.avg(g), 4).alias("mean"),
+        F.round(F.avg("percent_gain"), 4).alias("mean_percent"),
+        F.round(F.max(g), 4).alias("largest_win"),
+        F.round(F.min(g), 4).alias("largest_loss"),
+        F.round(F.avg(F.col("close_i") - F.col("open_i")), 6).alias("holding"),
+        F.round(at("open_price", "close_price"), 2).alias("bought"),
+        F.round(at("close_price", "open_price"), 2).alias("sold"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import backtest
+from ..operators import backtest, clock
 from ..session import table
 from .bar_queries import _bars
 from .define import bars_sql, query, stamp
@@ -80,10 +80,11 @@ def next_common_session(spark, sf_dir):
     return ahead.groupBy("x").agg(F.min(F.when(F.col("ok"), F.col("s"))).alias("n")).select(F.col("x").cast("string").alias("day"), F.col("n").cast("string").alias("session"))
 
 
-@query(f"""WITH {bars_sql(5)} SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, arg_min(open, ts) AS open, {stamp('min(ts)')} AS at_ FROM b WHERE hour(ts) * 60 + minute(ts) >= 570 GROUP BY symbol, CAST(ts AS DATE)""")
+@query(f"""WITH {bars_sql(5)}, l AS (SELECT symbol, timezone('America/New_York', timezone('UTC', ts)) AS ts, open FROM b)
+ SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, arg_min(open, ts) AS open, {stamp('min(ts)')} AS at_ FROM l WHERE hour(ts) * 60 + minute(ts) >= 570 GROUP BY symbol, CAST(ts AS DATE)""")
 def session_open(spark, sf_dir):
-    """The first price at or after 09:30 of each day."""
-    b = _bars(spark, sf_dir, 5).where(F.hour("ts") * 60 + F.minute("ts") >= 570)
+    """The first price at or after 09:30 of each day, by New York's clock."""
+    b = _bars(spark, sf_dir, 5).withColumn("ts", clock.local(F.col("ts"))).where(F.hour("ts") * 60 + F.minute("ts") >= 570)
     return b.groupBy("symbol", F.to_date("ts").cast("string").alias("day")).agg(F.min_by("open", "ts").alias("open"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("at_"))
 
 

@@ -77,6 +77,37 @@ def bars_vendor_csv(spark: SparkSession, path: str, underlying: str | None = Non
     return d.withColumnsRenamed({"ticker": "symbol", "transactions": "count"})
 
 
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """Files of any of three formats under path, told apart by what they say, in one scan: kind, symbol, ts, open, high, low, close, volume.
+
+    A file with the vendor's header (ticker and window_start) holds minute aggregates, one with `Date,Open,...` daily
+    prices, one of JSON objects bars; a file with a line that starts with # is a placeholder and gives nothing, as does an
+    unknown one. symbol is the ticker, or the name of the file's folder; ts is Eastern. Lines that do not parse are
+    dropped; no file, no rows.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    low = F.lower("value")
+    says = {"placeholder": low.startswith("#"), "vendor": low.contains("ticker") & low.contains("window_start"), "daily": low.rlike(r"^date,\s*open,"), "json": low.startswith("{")}
+    kinds = lines.groupBy("file").agg(*[F.max(c).alias(k) for k, c in says.items()])
+    kind = F.when(F.col("placeholder"), "placeholder")
+    for k in ("vendor", "daily", "json"):
+        kind = kind.when(F.col(k), k)
+    kinds = kinds.select(F.col("file").alias("_file"), kind.otherwise("unknown").alias("kind"))
+    d = lines.join(kinds, F.col("file") == F.col("_file")).where(F.col("kind").isin("vendor", "daily", "json"))
+    is_, folder = (lambda k: F.col("kind") == k), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
+    d = d.withColumns(
+        {
+            "v": F.when(is_("vendor"), F.from_csv("value", VENDOR_CSV)),
+            "c": F.when(is_("daily"), F.from_csv("value", "Date date, Open double, High double, Low double, Close double, Volume double")),
+            "j": F.when(is_("json"), F.from_json("value", BAR_JSON)),
+        }
+    )
+    pick = lambda name: F.coalesce(F.col(f"v.{name.lower()}"), F.col(f"c.{name}"), F.col(f"j.{name}")).cast("double").alias(name.lower())
+    ts = F.coalesce(epoch_ns_to_eastern(F.col("v.window_start")).cast("timestamp_ntz"), F.col("c.Date").cast("timestamp_ntz"), eastern(F.col("j.Time")))
+    out = d.select("kind", F.when(is_("vendor"), F.col("v.ticker")).otherwise(folder).alias("symbol"), ts.alias("ts"), *[pick(c) for c in ("Open", "High", "Low", "Close", "Volume")])
+    return out.where("ts is not null and open is not null and close is not null")
+
+
 def vendor_path(kind: str, day: str, root: str = "") -> str:
     """<root><kind>_v1/YYYY/MM/YYYY-MM-DD.csv.gz"""
     y, m, _ = day.split("-")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_name
@@ -32,3 +32,18 @@ def daily_guide(bars: DataFrame, path: str) -> None:
     """Real bars only, prices with two decimals, as CSV with a header."""
     d = bars.where(~F.coalesce("manufactured", F.lit(False)))
     d.select(F.to_date("ts").alias("Date"), *[F.format_string("%.2f", c).alias(c.capitalize()) for c in ("open", "high", "low", "close")], "volume").orderBy("Date").write.mode("overwrite").csv(path, header=True)
+
+
+def trades_csv(trades: DataFrame, path: str) -> None:
+    """Trades as CSV with a header, a folder a symbol: prices and positions with four decimals, dollars with two.
+
+    trades: symbol, open_i, close_i, side, open_price, close_price, position, dollar_gain, percent_gain,
+    actual_gain, balance. A trade's index counts its symbol's trades from 1.
+    """
+    w = Window.partitionBy("symbol").orderBy("open_i")
+    f = lambda c, n, name: F.format_string(f"%.{n}f", F.col(c).cast("double")).alias(name)
+    d = trades.select(
+        "symbol", F.row_number().over(w).alias("TradeIndex"), F.when(F.col("side") > 0, "Buy").otherwise("Sell").alias("TradeType"), F.col("open_i").alias("OpenIndex"), F.col("close_i").alias("CloseIndex"),
+        f("open_price", 4, "OpenPrice"), f("close_price", 4, "ClosePrice"), f("position", 4, "Position"), f("dollar_gain", 4, "DollarGain"), f("percent_gain", 4, "PercentGain"), f("actual_gain", 2, "ActualDollarGain"), f("balance", 2, "Balance"),
+    )
+    d.repartition("symbol").sortWithinPartitions("symbol", "TradeIndex").write.mode("overwrite").partitionBy("symbol").csv(path, header=True)
