@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import backtest, insider, risk, search
+from tidemark.operators import backtest, insider, risk
 
 
 def one(spark, *cols):
@@ -90,30 +90,6 @@ def test_cluster_tiers(spark):
     assert {r.ticker: r.tier for r in insider.clusters(s).collect()} == {"X": "A+", "Y": "B"}
 
 
-def test_ledger_keeps_its_reserve(spark):
-    rows = [(1, date(2025, 1, 1), date(2025, 3, 1), 10.0, 12.0)] * 30 + [(2, date(2025, 1, 1), date(2025, 1, 5), 10.0, 11.0), (2, date(2025, 1, 6), date(2025, 1, 9), 10.0, 9.0)]
-    got = insider.ledger(spark.createDataFrame(rows, "book long, day date, exit_day date, entry double, exit double")).collect()
-    assert min(r.cash for r in got if r.book == 1) >= 10_000
-    assert [(r.shares, r.pnl) for r in sorted((r for r in got if r.book == 2), key=lambda r: r.day)] == [(1000, 1000.0), (1000, -1000.0)]
-
-
-def test_search_is_one_job_a_generation_and_repeats(spark):
-    bars = spark.range(400).selectExpr("if(id % 2 = 0, 'a', 'b') as symbol", "cast(id div 2 as int) as i", "100 + 10 * sin(id / 15D) as close")
-    a, b = (search.evolve(spark, bars, size=8, generations=2, elite=3) for _ in range(2))
-    assert a == b and a[0][1] >= a[-1][1]
-    n = {r.genome: r.trades for r in search.evaluate(spark, bars, search.genomes(4)).collect()}
-    assert set(n) == {0, 1, 2, 3}
-
-
-def test_islands_and_sharing(spark):
-    bars = spark.range(300).selectExpr("if(id % 2 = 0, 'a', 'b') as symbol", "cast(id div 2 as int) as i", "100 + 10 * sin(id / 15D) as close")
-    a, b = (search.islands(spark, bars, count=2, size=6, generations=2, elite=2) for _ in range(2))
-    assert a == b and len(a) == 2 and a[0][1] >= a[1][1]
-    p, q = {"fast": 2, "slow": 10, "polarity": 1}, {"fast": 20, "slow": 60, "polarity": -1}
-    assert search.distance(p, q) == 1 and search.distance(p, p) == 0
-    assert search.shared([(p, 1.0), (dict(p), 1.0), (q, 1.0)]) == [(p, 0.5), (p, 0.5), (q, 1.0)]
-
-
 def test_student_t_tail(spark):
     want = {(2.776445, 4): 0.05, (2.085963, 20): 0.05, (1.0, 1): 0.5, (1.959964, 500): 0.05, (0.0, 7): 1.0}
     d = spark.createDataFrame([(t, n) for t, n in want], "t double, n int")

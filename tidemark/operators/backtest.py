@@ -116,3 +116,27 @@ def discrepancy(trades: DataFrame, start: float = 100_000.0, decimals: int = 2,
     d = d.withColumn("progress", F.lit(start) + F.sum("dollars").over(w))
     last = F.max_by("balance", "open_i") - start - F.sum("dollars")
     return d.groupBy("symbol").agg(F.count("*").alias("trades"), F.count_if(F.abs(F.col("progress") - F.col("balance")) > near).alias("off"), last.alias("discrepancy"), (F.abs(last) > alarm).alias("alarm"))
+
+
+def parameter_folds(bars: DataFrame, pairs: list[tuple[int, int]], fold: int) -> DataFrame:
+    """fast, slow, fold, bars, turns, mean, sd: the sign of fast less slow mean close held for a bar, for every
+    pair of lengths on every fold of so many bars of every symbol.
+
+    Running sums make any mean two lags apart, so all pairs share one sort; the pair is part of every later
+    key, so one symbol's work is spread. The list of pairs is part of the program. A pair holds
+    nothing before its longer length is there.
+    """
+    w = Window.partitionBy("symbol").orderBy("i")
+    n = sorted({x for p in pairs for x in p})
+    upto = F.sum("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    b = bars.select("symbol", "i", "close", F.lead("close").over(w).alias("next"), upto.alias("upto"))
+    past = lambda x: F.coalesce(F.lag("upto", x).over(w), F.lit(0.0))
+    b = b.withColumn("means", F.create_map(*[v for x in n for v in (F.lit(x), (F.col("upto") - past(x)) / x)]))
+    g = F.array(*[F.struct(F.lit(a).alias("fast"), F.lit(c).alias("slow")) for a, c in pairs])
+    d = b.withColumn("g", F.explode(g)).select("symbol", "i", "close", "next", "means", "g.*")
+    ready = F.col("i") >= F.greatest("fast", "slow") - 1
+    gap = F.element_at("means", F.col("fast")) - F.element_at("means", F.col("slow"))
+    d = d.withColumn("side", F.when(ready & (F.abs(gap) > 1e-9), F.signum(gap)).otherwise(0.0)).drop("means")
+    before = F.coalesce(F.lag("side").over(Window.partitionBy("fast", "slow", "symbol").orderBy("i")), F.lit(0.0))
+    d = d.withColumns({"turn": (F.col("side") != before).cast("int"), "ret": (F.col("next") / F.nullif(F.col("close"), F.lit(0.0)) - 1) * F.col("side"), "fold": F.floor(F.col("i") / fold)})
+    return d.groupBy("fast", "slow", "fold").agg(F.count("*").alias("bars"), F.sum("turn").alias("turns"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"))

@@ -1,8 +1,7 @@
-"""Insider transactions: filter, weights, clusters and the ledger that follows them."""
+"""Insider transactions: filter, weights and clusters."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,25 +39,3 @@ def clusters(s: DataFrame) -> DataFrame:
     score = F.log10(F.greatest("value", F.lit(1.0))) - 5 + F.col("weight") / 4 + (F.col("insiders") - 1) / 2
     tier = F.when(F.col("score") >= 5, "A+").when(F.col("score") >= 3.5, "A").when(F.col("score") >= 1, "B").otherwise("C")
     return a.withColumn("score", score).withColumn("tier", tier)
-
-
-def ledger(entries: DataFrame, capital: float = 100_000.0, stake: float = 0.1, keep: float = 0.1) -> DataFrame:
-    """entries (book, day, exit_day, entry, exit) -> a row per closed position: book, day,
-    shares, pnl, cash. A book's cash decides what it can open, so a book is one ordered group;
-    books run side by side. A signal is skipped when cash would fall below `keep` of capital."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, open_, out = capital, [], []
-        for day, exit_day, entry, exit_ in pdf.sort_values(["day", "exit_day", "entry"])[["day", "exit_day", "entry", "exit"]].itertuples(index=False):
-            for p in sorted(p for p in open_ if p[0] <= day):
-                cash += p[1] * p[2]
-                open_.remove(p)
-            size = min(cash - keep * capital, stake * capital)
-            shares = int(size // entry) if entry > 0 else 0
-            if shares > 0:
-                cash -= shares * entry
-                open_.append((exit_day, shares, exit_))
-                out.append((pdf["book"].iloc[0], day, shares, shares * (exit_ - entry), cash))
-        return pd.DataFrame(out, columns=["book", "day", "shares", "pnl", "cash"])
-
-    return entries.groupBy("book").applyInPandas(run, "book long, day date, shares long, pnl double, cash double")

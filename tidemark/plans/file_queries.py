@@ -77,3 +77,18 @@ def validate_bars(spark, sf_dir):
         F.when(k == 9, -1.0).when(k == 10, 0.0005).otherwise(c("low")).alias("low"), F.when(k == 11, 0.0).when(k == 12, c("low") / 3).when(k == 13, F.lit(None)).otherwise(c("close")).alias("close"), F.when(k == 14, -c("volume")).otherwise(c("volume")).alias("volume"),
     )
     return B.validate(b).select("symbol", "i", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), c("volume").cast("long").alias("volume"))
+
+
+_PAIRS = [(3, 12), (5, 20), (8, 34), (13, 55)]
+
+
+@query(f"""WITH {bars_sql(60)}, s AS (SELECT symbol, close, lead(close) OVER o AS next, row_number() OVER o - 1 AS i, sum(close) OVER (PARTITION BY symbol ORDER BY ts) AS upto FROM b WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+ p(fast, slow) AS (VALUES {", ".join(map(str, _PAIRS))}),
+ m AS (SELECT symbol, i, close, next, fast, slow, (upto - coalesce(lag(upto, fast) OVER w, 0)) / fast - (upto - coalesce(lag(upto, slow) OVER w, 0)) / slow AS gap FROM s, p WINDOW w AS (PARTITION BY symbol, fast, slow ORDER BY i)),
+ d AS (SELECT *, CASE WHEN i >= slow - 1 AND abs(gap) > 1e-9 THEN sign(gap) ELSE 0 END AS side FROM m),
+ e AS (SELECT *, CASE WHEN side <> coalesce(lag(side) OVER (PARTITION BY symbol, fast, slow ORDER BY i), 0) THEN 1 ELSE 0 END AS turn, (next / close - 1) * side AS ret FROM d)
+ SELECT fast, slow, i // 200 AS fold, count(*) AS bars, CAST(sum(turn) AS BIGINT) AS turns, round(avg(ret), 4) + 0.0 AS mean, round(stddev_pop(ret), 3) AS sd FROM e GROUP BY ALL""")
+def parameter_folds(spark, sf_dir):
+    """Four pairs of averages on every fold of 200 bars: indicator x bar x fold in one job."""
+    d = backtest.parameter_folds(hourly(spark, sf_dir), _PAIRS, 200)
+    return d.select("fast", "slow", "fold", "bars", "turns", (F.round("mean", 4) + 0.0).alias("mean"), F.round("sd", 3).alias("sd"))
