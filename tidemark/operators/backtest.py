@@ -140,3 +140,16 @@ def parameter_folds(bars: DataFrame, pairs: list[tuple[int, int]], fold: int) ->
     before = F.coalesce(F.lag("side").over(Window.partitionBy("fast", "slow", "symbol").orderBy("i")), F.lit(0.0))
     d = d.withColumns({"turn": (F.col("side") != before).cast("int"), "ret": (F.col("next") / F.nullif(F.col("close"), F.lit(0.0)) - 1) * F.col("side"), "fold": F.floor(F.col("i") / fold)})
     return d.groupBy("fast", "slow", "fold").agg(F.count("*").alias("bars"), F.sum("turn").alias("turns"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"))
+
+
+#: Lengths of training in bars, tests as percent of them, and parts of a test that a step takes.
+TRAIN, RATIO, PART = (252, 378, 504, 630, 756, 1008), (10, 15, 20, 25, 33), (1, 2, 3, 4, 5)
+
+
+def configured_windows(lengths: DataFrame) -> DataFrame:
+    """symbol, n (bars) -> symbol, train, test, step, start: the walk-forward windows that fit, of every different
+    triple that the generator's lengths give. A row of lengths grows by the triples (150 at most), then by their windows."""
+    triples = sorted({(t, t * r // 100, max(1, t * r // 100 // p)) for t in TRAIN for r in RATIO for p in PART})
+    c = F.explode(F.array(*[F.struct(F.lit(a).alias("train"), F.lit(b).alias("test"), F.lit(s).alias("step")) for a, b, s in triples]))
+    d = lengths.select("symbol", "n", c.alias("c")).select("symbol", "n", "c.*").where("n >= train + test")
+    return d.select("symbol", "train", "test", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("train") - F.col("test"), F.col("step").cast("long"))).alias("start"))

@@ -175,13 +175,20 @@ def chronological_split(spark, sf_dir):
     return d.groupBy("symbol", part.alias("part")).agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("mean"))
 
 
-@query("""WITH s AS (SELECT unnest([252, 378, 504, 630, 756, 1008]) AS train), r AS (SELECT unnest([10, 15, 20, 25, 33]) AS ratio), t AS (SELECT unnest([1, 2, 3, 4, 5]) AS part)
- SELECT DISTINCT CAST(train AS INT) AS train, CAST(train * ratio // 100 AS INT) AS test, CAST(greatest(1, train * ratio // 100 // part) AS INT) AS step, CAST(greatest(0, (1500 - train - train * ratio // 100) // greatest(1, train * ratio // 100 // part) + 1) AS INT) AS windows FROM s, r, t""")
+@query(f"""WITH {bars_sql(15)}, s AS MATERIALIZED (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM b), n AS (SELECT symbol, count(*) AS n FROM s GROUP BY symbol),
+ a AS (SELECT unnest([252, 378, 504, 630, 756, 1008]) AS train), r AS (SELECT unnest([10, 15, 20, 25, 33]) AS ratio), p AS (SELECT unnest([1, 2, 3, 4, 5]) AS part),
+ c AS (SELECT DISTINCT train, train * ratio // 100 AS test, greatest(1, train * ratio // 100 // part) AS step FROM a, r, p),
+ w AS (SELECT symbol, train, test, step, unnest(generate_series(0, n - train - test, step)) AS start FROM c, n WHERE n >= train + test),
+ g AS (SELECT w.*, z.close / y.close - 1 AS ret FROM w JOIN s y ON y.symbol = w.symbol AND y.i = start + train JOIN s z ON z.symbol = w.symbol AND z.i = start + train + test - 1)
+ SELECT symbol, CAST(train AS INT) AS train, CAST(test AS INT) AS test, CAST(step AS INT) AS step, count(*) AS windows, round(avg(ret), 3) + 0.0 AS mean, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS won FROM g GROUP BY ALL""")
 def window_configurations(spark, sf_dir):
-    e = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
-    d = spark.range(1).select(e([252, 378, 504, 630, 756, 1008]).alias("train")).select("train", e([10, 15, 20, 25, 33]).alias("ratio")).select("*", e([1, 2, 3, 4, 5]).alias("part"))
-    d = d.withColumn("test", F.expr("train * ratio div 100").cast("int")).withColumn("step", F.expr("greatest(1, test div part)").cast("int"))
-    return d.select("train", "test", "step", F.expr("greatest(0, (1500 - train - test) div step + 1)").cast("int").alias("windows")).distinct()
+    """Every different triple of the generator's lengths on every symbol's quarter-hour bars: how many windows fit, and how their tests ran."""
+    s = hourly(spark, sf_dir, 15).select("symbol", F.col("i").cast("long").alias("i"), "close")
+    w = backtest.configured_windows(s.groupBy("symbol").agg(F.count("*").alias("n")))
+    at = lambda name: s.withColumnsRenamed({"i": f"i_{name}", "close": name})
+    w = w.withColumns({"i_first": F.col("start") + F.col("train"), "i_last": F.col("start") + F.col("train") + F.col("test") - 1})
+    g = w.join(at("first"), ["symbol", "i_first"]).join(at("last"), ["symbol", "i_last"]).withColumn("ret", F.col("last") / F.col("first") - 1)
+    return g.groupBy("symbol", "train", "test", "step").agg(F.count("*").alias("windows"), (F.round(F.avg("ret"), 3) + 0.0).alias("mean"), F.round(F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)), 6).alias("won"))
 
 
 @query(f"""WITH {_B}, h AS (SELECT symbol, gain > 0 AS hit, CASE WHEN close_i - open_i > 2 THEN 'long' ELSE 'short' END AS stratum, side FROM g)
