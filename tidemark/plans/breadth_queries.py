@@ -98,9 +98,9 @@ def transaction_order(spark, sf_dir):
 
 @query("""SELECT o_custkey AS owner, o_orderstatus AS code, CAST(o_totalprice / 1000 AS BIGINT) AS size, count(*) AS copies, min(o_orderkey) AS kept FROM orders GROUP BY ALL""")
 def signals_deduplicated(spark, sf_dir):
-    """One signal of each text key, the first."""
+    """One signal of each text key, the first; a size halfway between two goes to the even one."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("code"), F.round(F.col("o_totalprice") / 1000).cast("long").alias("size")).agg(F.count("*").alias("copies"), F.min("o_orderkey").alias("kept"))
+    return o.groupBy(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("code"), F.rint(F.col("o_totalprice") / 1000).cast("long").alias("size")).agg(F.count("*").alias("copies"), F.min("o_orderkey").alias("kept"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: sin(x) + cos(x))), 5) AS trig, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), lambda p: abs(p[1] + p[2]))), 5) AS added FROM embeddings")

@@ -34,7 +34,7 @@ def _contracts(spark, sf_dir):
         F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("P").alias("kind"),
         (F.lit(90.0) + F.col("l_partkey") % 21).alias("strike"),
         (F.col("l_extendedprice") / (F.col("l_quantity") * 100)).alias("price"),
-        (5 + F.round(F.col("l_tax") * 1000).cast("int")).alias("dte"),
+        (5 + F.rint(F.col("l_tax") * 1000).cast("int")).alias("dte"),
         F.col("l_quantity").cast("long").alias("volume"),
         F.col("l_linenumber").alias("n"),
     )
