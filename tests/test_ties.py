@@ -15,3 +15,11 @@ def test_halves_go_to_the_even_number(spark, tmp_path):
     assert got == {(198, 2, 0), (199, 1, 2), (200, 1, 3), (2, 1, 4), (4, 1, 5), (0, 1, 6), (None, 1, 7)}
     spark.createDataFrame([(1, 1, 1, 1, 1.0, 1.0, t, DAY) for t in (0.0025, 0.0035)], LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(r.dte for r in more_queries._contracts(spark, str(tmp_path)).collect()) == [7, 9]
+
+
+def test_the_dearer_of_two_equal_lines_is_the_close(spark, tmp_path):
+    lines = [(13, 1, 5, 2, 1.0, p, 0.0, DAY) for p in (3345.0, 3216.0)] + [(6, 1, 5, 1, 1.0, 9000.0, 0.0, DAY)]
+    for i, rows in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        got = breadth_queries.contract_underlying_close(spark, f"{tmp_path}/{i}").collect()
+        assert {r.underlying for r in got} == {33.45} and len(got) == 3

@@ -68,13 +68,14 @@ def session_before(spark, sf_dir):
  n AS (SELECT root, day, max(file) AS file FROM u GROUP BY root, day), f AS (SELECT u.root, u.day, u.close FROM u JOIN n ON u.root = n.root AND u.day = n.day AND u.file = n.file)
  SELECT id, c.n, f.close AS underlying FROM c LEFT JOIN f ON f.root = c.root AND f.day = c.day""")
 def contract_underlying_close(spark, sf_dir):
-    """Each contract with its root's close of the day, as the newest file that has the day says; small days are joined, not searched."""
+    """Each contract with its root's close of the day, as the newest file that has the day says; small days are joined, not searched.
+    Of lines with the same order and number the dearer counts."""
     l = table(spark, sf_dir, "lineitem")
     u = l.select(
         F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")).alias("root"), F.to_date("l_shipdate").alias("day"), (F.col("l_orderkey") % 7).alias("file"),
         (F.col("l_extendedprice") / (F.col("l_quantity") * 100)).alias("price"), "l_orderkey", "l_linenumber",
     )
-    f = u.groupBy("root", "day").agg(F.max_by("price", F.struct("file", "l_orderkey", "l_linenumber")).alias("underlying"))
+    f = u.groupBy("root", "day").agg(F.max_by("price", F.struct("file", "l_orderkey", "l_linenumber", "price")).alias("underlying"))
     return _contracts(spark, sf_dir).join(f, ["root", "day"], "left").select("id", "n", "underlying")
 
 
