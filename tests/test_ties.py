@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from tidemark.operators import asof
 from tidemark.plans import breadth_queries, more_queries
 
 DAY = dt.datetime(1997, 2, 7)
@@ -23,3 +24,12 @@ def test_the_dearer_of_two_equal_lines_is_the_close(spark, tmp_path):
         spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
         got = breadth_queries.contract_underlying_close(spark, f"{tmp_path}/{i}").collect()
         assert {r.underlying for r in got} == {33.45} and len(got) == 3
+
+
+def test_equally_near_rows(spark):
+    left = spark.createDataFrame([(1, "a", 10.0), (2, "a", 30.0), (3, "b", 10.0)], "id int, k string, at double")
+    right = [("a", 12.0, 7), ("a", 8.0, 9), ("a", 8.0, 4), ("a", 8.0, 6), ("b", 10.0, 2), ("b", 10.0, 1)]
+    for rows in (right, right[::-1]):
+        r = spark.createDataFrame(rows, "k string, x double, other int").coalesce(1)
+        got = asof.nearest_in_range(left, r, "k", "at", "x", 5.0).collect()
+        assert sorted((g.id, g.x, g.other) for g in got) == [(1, 8.0, 4), (3, 10.0, 1)]

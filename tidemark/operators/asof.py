@@ -85,11 +85,13 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], to
 def nearest_in_range(left: DataFrame, right: DataFrame, key: str, at: str, x: str, reach: float) -> DataFrame:
     """For each left row (key, at) the right row (key, x) of smallest |x - at| <= reach.
 
-    A range join by cells of the reach's width: each row meets three cells, not all rows.
+    A range join by cells of the reach's width: each row meets three cells, not all rows. Of rows equally
+    near the smaller x counts, then the smallest by the other columns in their order.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
     l = left.withColumn("__cell", F.explode(F.array(cell(at) - 1, cell(at), cell(at) + 1)))
     r = right.withColumn("__cell", cell(x))
     d = l.join(r, [key, "__cell"]).where(F.abs(F.col(x) - F.col(at)) <= reach)
-    best = F.min_by(F.struct(*[c for c in r.columns if c not in (key, "__cell")]), F.struct(F.abs(F.col(x) - F.col(at)), x))
+    match = F.struct(*[c for c in r.columns if c not in (key, "__cell")])
+    best = F.min_by(match, F.struct(F.abs(F.col(x) - F.col(at)), x, match))
     return d.groupBy(*left.columns).agg(best.alias("match")).select(*left.columns, "match.*")
