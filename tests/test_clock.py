@@ -58,3 +58,13 @@ def test_points_in_intervals(spark):
         want = [(i, k, a, z, *((None, None) if a is None or z is None else (float(len(x := inside(k, a, z))), float(sum(x))))) for i, k, a, z in spans]
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert intervals.count_in(p.where("false"), s.where("id = 902"), "k", "t", "a", "z", {"n": F.lit(1)}, 9).collect()[0].n == 0
+
+
+def test_minutes_are_told_apart_before_they_are_converted(spark):
+    utc = [dt.datetime(2024, 7, 2, 13, 30, s, f) for s in range(60) for f in (0, 999_999)] + [dt.datetime(2024, 11, 3, h, 30, 5) for h in (4, 5, 6, 7)] + [dt.datetime(2024, 3, 10, h, 59, 59) for h in (6, 7)]
+    old = [dt.datetime(1870, 1, 1, 12, 0, s) for s in (0, 1, 2, 30)]
+    t = spark.createDataFrame([(k, ts) for ts in utc + old for k in "ab"] + [("a", None)], "symbol string, ts timestamp_ntz").repartition(5)
+    c, b = t.select("symbol", clock.local(F.col("ts")).alias("ts")), clock.local_minutes(t)
+    of = lambda d: {tuple(r) for r in d.select("symbol", F.to_date("ts").alias("day"), clock.minute_of_day(F.col("ts")).alias("m")).collect()}
+    assert of(b) == of(c)
+    assert b.where("ts >= '2024-07-01' AND ts < '2024-07-04'").count() == 2  # a row a symbol and minute, not one a tick

@@ -20,6 +20,15 @@ def local(ts: Column, zone: str = ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
 
 
+def local_minutes(bars: DataFrame) -> DataFrame:
+    """symbol, ts of bars (symbol, ts in UTC) by New York's clock, once each minute: only different minutes
+    are converted. Before 1884, when the offset was no whole number of minutes, once each second."""
+    utc = F.col("ts").cast("timestamp_ntz")
+    second = F.when(F.year(utc) < 1884, F.second(utc)).otherwise(0)
+    d = bars.select("symbol", F.to_date(utc).alias("day"), F.hour(utc).alias("h"), F.minute(utc).alias("m"), second.alias("s")).distinct()
+    return d.select("symbol", local(F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"), F.col("m"), F.col("s"))).alias("ts"))
+
+
 def minute_of_day(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 

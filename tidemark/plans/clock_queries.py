@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, clock, intervals
 from ..operators import bars as B
-from ..session import table
+from ..session import table, written
 from .define import TICKS, bars_sql, query, stamp
 from .indicator_queries import hourly
 from .study_queries import _B, _trades
@@ -51,6 +51,10 @@ def _local(spark, sf_dir):
     return t.select("symbol", "id", clock.local(F.col("ts")).alias("ts"))
 
 
+def _minutes(spark, sf_dir):
+    return written(clock.local_minutes(B.ticks(table(spark, sf_dir, "events").where("value > 0"))), "minutes")
+
+
 _COVERED = f"""{_LOCAL}, {calendar_sql(_EVENTS)}, m AS (SELECT DISTINCT symbol, CAST(lt AS DATE) AS x, hour(lt) * 60 + minute(lt) AS m FROM l),
  g AS (SELECT symbol, x, half_day, minutes AS expected, count(*) FILTER (m >= 570 AND m < 570 + minutes) AS seen, min(m) AS a, max(m) AS z, CASE WHEN half_day IS NULL THEN 959 ELSE 780 END AS last, CASE WHEN half_day IS NULL THEN 30 ELSE 5 END AS tol
    FROM m JOIN k USING (x) WHERE minutes > 0 GROUP BY ALL),
@@ -61,14 +65,14 @@ _COVERED = f"""{_LOCAL}, {calendar_sql(_EVENTS)}, m AS (SELECT DISTINCT symbol,
  CASE WHEN seen / expected >= 0.95 THEN 'near full' WHEN seen / expected >= 0.75 THEN 'good' WHEN seen / expected >= 0.25 THEN 'partial' ELSE 'low' END AS band, late_open, early_close, before_hours, after_hours, NOT late_open AND NOT early_close AS perfect FROM cv""")
 def session_coverage(spark, sf_dir):
     """Minutes of every symbol and session, against 390 or 210, and whether the day begins and ends on time."""
-    b = _local(spark, sf_dir)
+    b = _minutes(spark, sf_dir)
     d = clock.coverage(b, clock.sessions(b, F.col("ts"))).drop("half_day")
     return d.withColumns({"day": F.col("day").cast("string"), "share": F.round("share", 6)})
 
 
 @query(f"""WITH {_COVERED} SELECT symbol, count(*) AS days, count(half_day) AS half_days, count(*) FILTER (NOT late_open AND NOT early_close) AS perfect, round(100 * avg(CASE WHEN NOT late_open AND NOT early_close THEN 1.0 ELSE 0.0 END), 4) AS percent_perfect FROM cv GROUP BY symbol""")
 def session_summary(spark, sf_dir):
-    b = _local(spark, sf_dir)
+    b = _minutes(spark, sf_dir)
     d = clock.coverage(b, clock.sessions(b, F.col("ts")))
     return d.groupBy("symbol").agg(F.count("*").alias("days"), F.count("half_day").alias("half_days"), F.count_if("perfect").alias("perfect"), F.round(100 * F.avg(F.when(F.col("perfect"), 1.0).otherwise(0.0)), 4).alias("percent_perfect"))
 
