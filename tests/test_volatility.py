@@ -47,3 +47,16 @@ def test_chain_gives_every_contract_a_volatility_or_a_reason(spark):
     series = V.daily_series(b, c, u).collect()
     assert all(0 < r.iv < 5 for r in series) and ("R", DAY, 1) in {(r.root, r.day, r.contracts) for r in series}
     assert V.chain(b.where("false"), c, u).count() == 0
+
+
+def test_volatilities_are_solved_over_arrays(spark):
+    rows = [(100.0, k, t, v, c) for k in (90.0, 100.0, 110.0) for t in (0.25, 1.0) for v in (0.1, 0.35) for c in (True, False)]
+    d = spark.createDataFrame(rows + [(100.0, 100.0, None, 0.2, True), (None, 100.0, 1.0, 0.2, False)], "s double, k double, t double, v double, call boolean")
+    c, z = F.col, F.lit
+    d = d.withColumn("price", S.black_scholes(c("s"), c("k"), c("t"), z(0.05), z(0.01), c("v"), c("call")))
+    for solve in (S.implied_volatility, V.implied):
+        x = d.withColumn("iv", solve(c("price"), c("s"), c("k"), c("t"), z(0.05), z(0.01), c("call")))
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "aggregate(" not in plan  # not a fold of expressions row by row
+        for r in x.collect():
+            assert r.iv is None if r.s is None or r.t is None else r.iv == pytest.approx(r.v, abs=1e-6)

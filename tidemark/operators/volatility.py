@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import _let, black_scholes
+from ..functions.scalars import black_scholes_of, over_arrays
 
 #: The range of volatilities, and the steps after which a search is given up (a bracket halves in one at worst).
 LOW, HIGH, STEPS = 1e-6, 5.0, 60
@@ -15,30 +16,30 @@ LOW, HIGH, STEPS = 1e-6, 5.0, 60
 
 def implied(price: Column, s: Column, k: Column, t: Column, r: Column, q: Column, call: Column) -> Column:
     """The volatility at which the option costs `price`: Newton steps kept inside a bracket that each of them
-    narrows; a row that has settled is carried through the rest untouched. Null beyond LOW to HIGH."""
-    forward = s * F.exp(-q * t)
-
-    def vega(x: Column) -> Column:
-        d1 = (F.ln(s / k) + (r - q + x * x / 2) * t) / (x * F.sqrt(t))
-        return forward * F.sqrt(t) * F.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
-
-    def step(acc: Column, _: Column) -> Column:
-        def judged(off: Column) -> Column:
-            lo, hi = F.when(off < 0, acc["x"]).otherwise(acc["lo"]), F.when(off < 0, acc["hi"]).otherwise(acc["x"])
-            newton = acc["x"] - off / F.nullif(vega(acc["x"]), F.lit(0.0))
-            return _let(F.struct(lo.alias("lo"), hi.alias("hi"), newton.alias("newton")), lambda b: moved(off, b))
-
-        def moved(off: Column, b: Column) -> Column:
-            inside = (b["newton"] > b["lo"]) & (b["newton"] < b["hi"])
-            x = F.when(off == 0, acc["x"]).when(inside, b["newton"]).otherwise((b["lo"] + b["hi"]) / 2)
-            return F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), x.alias("x"), (F.abs(x - acc["x"]) < 1e-10).alias("done"))
-
-        return F.when(acc["done"], acc).otherwise(_let(black_scholes(s, k, t, r, q, acc["x"], call, _let) - price, judged))
-
-    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), F.lit(0.3).alias("x"), F.lit(False).alias("done"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda a: a["x"])
-    at = lambda x: black_scholes(s, k, t, r, q, F.lit(x), call)
-    return F.when((price > at(LOW)) & (price < at(HIGH)), found)
+    narrows, a batch of rows at a time; rows that have settled take no more part. Null beyond LOW to HIGH."""
+    return over_arrays(_implied, price, s, k, t, r, q, call)
+
+
+def _implied(*given: np.ndarray) -> np.ndarray:
+    price, *option = given
+    at = lambda x: black_scholes_of(*option[:5], x, option[5])
+    out = np.full(len(price), np.nan)
+    left = np.flatnonzero((price > at(np.full(len(price), LOW))) & (price < at(np.full(len(price), HIGH))))
+    x, lo, hi = np.full(len(left), 0.3), np.full(len(left), LOW), np.full(len(left), HIGH)
+    for _ in range(STEPS):
+        if not len(left):
+            break
+        price, s, k, t, r, q, call = (c[left] for c in given)
+        off = black_scholes_of(s, k, t, r, q, x, call) - price
+        d1 = (np.log(s / k) + (r - q + x * x / 2) * t) / (x * np.sqrt(t))
+        vega = s * np.exp(-q * t) * np.sqrt(t) * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
+        lo, hi = np.where(off < 0, x, lo), np.where(off < 0, hi, x)
+        with np.errstate(all="ignore"):
+            newton = x - off / vega
+        new = np.where(off == 0, x, np.where((newton > lo) & (newton < hi), newton, (lo + hi) / 2))
+        out[left], go = new, np.abs(new - x) >= 1e-10
+        left, x, lo, hi = left[go], new[go], lo[go], hi[go]
+    return out
 
 
 def recent_contracts(bars: DataFrame, files: int = 10) -> DataFrame:
