@@ -22,10 +22,11 @@ class Positions(StatefulProcessor):
 
     Ticks wait until the watermark has passed them and are taken in the order of (ts, id) then, so
     the events do not depend on how ticks are dealt to batches; a tick that arrives behind
-    the watermark is dropped. One timer a symbol is set: to the first waiting tick, or to the end
-    of the day while a position is open, whichever comes first. All times are microseconds, UTC.
+    the watermark is dropped. All times are microseconds, UTC. Nothing goes on from one day to the
+    next, so a key is a symbol's day. One timer a key is set: to the first waiting tick, or to the
+    end of the day, whichever comes first; at the end of the day its state is cleared.
 
-    A symbol's waiting ticks (a micro-batch's and those within `late`) are in memory at once when
+    A key's waiting ticks (a micro-batch's and those within `late`) are in memory at once when
     its timer goes off; `files` of `deliver` bounds a micro-batch.
     """
 
@@ -49,7 +50,7 @@ class Positions(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(tuple(r) for r in self.waiting.get())
         n = sum(r[0] < passed for r in waiting)
-        day, last, side = self.held.get() if self.held.exists() else (-1, None, 0)
+        day, last, side = self.held.get() if self.held.exists() else (None, None, 0)
         out: list[tuple] = []
 
         def end_of_day():
@@ -69,12 +70,14 @@ class Positions(StatefulProcessor):
             last = price
         if side and (day + 1) * DAY <= passed:
             end_of_day()
-            last, side = None, 0
-        if day >= 0:
-            self.held.update((day, last if last is not None else float("nan"), side))
         rest = waiting[n:]
+        end = (key[1] + 1) * DAY
+        if end <= passed:
+            self.held.clear()
+        elif day is not None:
+            self.held.update((day, last, side))
         self.waiting.put(rest) if rest else self.waiting.clear()
-        if nexts := [r[0] for r in rest[:1]] + [(day + 1) * DAY] * bool(side):
+        if nexts := [r[0] for r in rest[:1]] + [end] * (end > passed):
             self._wake(min(nexts))
         if out:
             yield pd.DataFrame([(k, e, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us), p, s, why) for k, e, us, p, s, why in out], columns=["symbol", "event", "ts", "price", "side", "reason"])
@@ -99,7 +102,9 @@ def positions(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     needs the RocksDB state store (`with_state`).
     """
     t = ticks.select("symbol", "ts", "id", "price").withWatermark("ts", late)
-    return t.groupBy("symbol").transformWithStateInPandas(Positions(), EVENTS, "Append", "EventTime")
+    us = F.unix_micros("ts")
+    t = t.withColumn("day", ((us - F.pmod(us, F.lit(DAY))) / DAY).cast("long"))
+    return t.groupBy("symbol", "day").transformWithStateInPandas(Positions(), EVENTS, "Append", "EventTime")
 
 
 def with_state(spark: SparkSession) -> None:
