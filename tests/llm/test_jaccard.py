@@ -185,6 +185,47 @@ def test_rows_grow_as_a_group_of_like_sets(spark):
         assert found.count() >= 0.99 * n and found.select("component").distinct().count() == 1
 
 
+def mixed(spark, n, seed=3):
+    """Sketches of n texts that hold one passage and up to 0.6 times as much of their own."""
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(0, 2**32, jaccard.TOKENS, np.uint64)
+    least = rng.exponential(1, jaccard.TOKENS)
+    own = rng.exponential(1, (n, jaccard.TOKENS)) / rng.uniform(0.01, 0.6, (n, 1))
+    mins = np.where(own > least, passage, rng.integers(0, 2**32, own.shape, np.uint64)).astype(np.uint32)
+    rows = [(i, bytearray(m.tobytes())) for i, m in enumerate(mins)]
+    return jaccard.written(spark.createDataFrame(rows, "set long, sketch binary")), mins
+
+
+def test_a_group_ends_where_few_are_outside(spark):
+    """Texts of one passage: those unlike the pivot are compared with all at once, not led through further levels."""
+    sets, mins = mixed(spark, 800)
+    crowds = []
+    edges, levels = jaccard._runs(sets, 0.8, range(8), jaccard.DEPTH, 200, crowds)
+    assert levels <= 3 and sum(c.count() for _, c in crowds) <= 3 * crowds[0][1].count()
+    label = {r.node: r.component for r in jaccard.connected_components(edges).collect()}
+    alike = np.argwhere(np.triu((mins[:, None] == mins[None]).mean(2) >= 0.8, 1)).tolist()
+    assert len(alike) >= 1000 and all(label[a] == label[b] for a, b in alike)
+
+
+@pytest.mark.parametrize("part", [20_000, 30])
+def test_those_outside_are_compared_with_all(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "BUCKET", part)
+    sets, mins = mixed(spark, 120)
+    likely, out = jaccard.limits(0.8)[0], [i % 8 == 0 for i in range(120)]
+    rows = [(node, i, out[i], 120) for node in (5, 6) for i in range(120) if node == 5 or i % 8 < 2]
+    found = jaccard._outside(spark.createDataFrame(rows, "node long, set long, out boolean, n long"), sets, likely)
+    label = {r.node: r.component for r in jaccard.connected_components(found).collect()}
+    like = (mins[:, None] == mins[None]).mean(2) >= likely
+    pairs = [(i, j) for i in range(120) for j in range(i) if like[i, j] and (out[i] or out[j])]
+    want = np.arange(120)
+    for _ in range(120):
+        want = jaccard.united(want, *np.array(pairs).T)
+    assert pairs and all(label[i] == label[j] for i, j in pairs)
+    assert {frozenset(i for i in label if label[i] == c) for c in set(label.values())} == {
+        frozenset(np.flatnonzero(want == c)) for c in want if (want == c).sum() > 1
+    }
+
+
 def test_only_deep_sets_take_more_runs(spark, monkeypatch):
     """Of two groups one goes deeper than a round of runs suffices for; the other takes no part in the next."""
     monkeypatch.setattr(jaccard, "AT_ONCE", 8)

@@ -205,8 +205,9 @@ def _runs(sets: DataFrame, least: float, numbers: range, depth: int, small: int,
     left at the last level is compared in blocks. So no node, however large, meets in one task.
 
     A set that was linked carries a set it is joined to by links as its tag. A node whose sets
-    all have one tag ends, as they are in one group already; otherwise sets that are all alike
-    a little less than `close` would go through almost as many nodes as they have pairs.
+    all have one tag ends, as they are in one group already. So does one in which at most
+    `small` sets are outside the pivot's group: these are compared with all of the node. Else
+    sets that are alike a little less than `close` would go through all levels of every run.
     """
     likely, close = limits(least)
 
@@ -247,23 +248,35 @@ def _runs(sets: DataFrame, least: float, numbers: range, depth: int, small: int,
         pivots = large.groupBy("node", "pivot").count().join(sets, F.col("pivot") == F.col("set")).select("node", F.col("sketch").alias("of_pivot"))
         near = large.join(sets, "set").join(pivots, "node")
 
+        def meet(batches):
+            for b in batches:
+                node, own, pivot, tag, group = b.columns[:5]
+                like = (_as_mins(b.column(5).to_pylist()) == _as_mins(b.column(6).to_pylist())).mean(1)
+                joined = pc.fill_null(pc.equal(tag, group), False)
+                tie = pc.and_not(pa.array(like >= likely), joined)
+                out = pc.invert(pc.or_(tie, joined))
+                to = pc.if_else(tie, pivot, pa.scalar(None, pa.int64()))
+                tag = pc.if_else(tie, group, tag)
+                yield pa.RecordBatch.from_arrays([node, own, tag, to, out, pa.array(like < close)], ["node", "set", "tag", "to", "out", "stay"])
+
+        met = written(near.select("node", "set", "pivot", "tag", "group", "sketch", "of_pivot").mapInArrow(meet, "node long, set long, tag long, to long, out boolean, stay boolean"))
+        found.append(met.where("to is not null and set <> to").select(F.col("set").alias("u"), F.col("to").alias("v")))
+        rest = met.groupBy("node").agg(F.count_if("out").alias("outside"), F.count_if("stay").alias("n")).where("outside > 0")
+        few, many = rest.where(F.col("outside") <= small), rest.where(F.col("outside") > small)
+        counts = rest.agg(F.count_if(F.col("outside") <= small), F.count_if(F.col("outside") > small)).first()
+        if counts[0]:
+            found.append(_outside(met.where("stay").join(few, "node").select("node", "set", "out", "n"), sets, likely))
+        if not counts[1]:
+            break
+
         def split(batches):
             for b in batches:
-                node, own, pivot, tag, group = b.column(0).to_numpy(), *b.columns[1:5]
-                mins, other = _as_mins(b.column(5).to_pylist()), _as_mins(b.column(6).to_pylist())
-                like = (mins == other).mean(1)
-                tie = np.flatnonzero(like >= likely)
-                none = pa.nulls(len(tie), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, own.take(pa.array(tie)), none, pivot.take(pa.array(tie))], ["node", "set", "tag", "to"])
-                tag = pc.if_else(pa.array(like >= likely), group, tag)
-                stay = np.flatnonzero(like < close)
-                at, child = _children(node[stay], mins[stay], least)
-                take = pa.array(stay[at])
-                yield pa.RecordBatch.from_arrays([pa.array(child), own.take(take), tag.take(take), pa.nulls(len(at), pa.int64())], ["node", "set", "tag", "to"])
-
-        made = written(near.select("node", "set", "pivot", "tag", "group", "sketch", "of_pivot").mapInArrow(split, "node long, set long, tag long, to long"))
-        found.append(made.where("to is not null and set <> to").select(F.col("set").alias("u"), F.col("to").alias("v")))
-        level = made.where("to is null").select("node", "set", "tag")
+                at, child = _children(b.column(0).to_numpy(), _as_mins(b.column(3).to_pylist()), least)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(child), b.column(1).take(take), b.column(2).take(take)], ["node", "set", "tag"])
+
+        staying = met.where("stay").join(many, "node").join(sets, "set")
+        level = staying.select("node", "set", "tag", "sketch").mapInArrow(split, "node long, set long, tag long")
     edges = found[0]
     for f in found[1:]:
         edges = edges.unionByName(f)
@@ -299,6 +312,30 @@ def _brute(members: DataFrame, sets: DataFrame, likely: float) -> DataFrame:
     return written(dealt.groupBy("bucket").applyInPandas(compare, "u long, v long"))
 
 
+def _outside(members: DataFrame, sets: DataFrame, likely: float) -> DataFrame:
+    """Likely pairs of a node with one set or both outside its pivot's group, as stars of likely groups.
+
+    members: node, set, out (outside; few in a node), n (sets of the node). A node is dealt into
+    parts of about BUCKET sets, and those outside go to every part.
+    """
+    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    own = F.array(F.pmod(F.xxhash64("set", F.lit(17)), parts).cast("int"))
+    dealt = members.withColumn("part", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), parts - 1)).otherwise(own)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, mins = pdf["set"].to_numpy(), np.ascontiguousarray(_as_mins(pdf["sketch"]).T)
+        label, out = np.arange(len(ids)), np.flatnonzero(pdf["out"].to_numpy())
+        for s in range(0, len(out), 64):
+            i = out[s : s + 64]
+            hits = sum((mins[t, i, None] == mins[t]).astype(np.uint8) for t in range(TOKENS))
+            a, b = np.nonzero(hits >= likely * TOKENS)
+            label = united(label, i[a], b)
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
+
+    return written(dealt.join(sets, "set").groupBy("node", "part").applyInPandas(compare, "u long, v long"))
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """members (group, set, bytes, sketch, ...) with n, the sets of the group, parts and block.
 
