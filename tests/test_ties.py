@@ -1,6 +1,8 @@
 """Halves and ties: what whole numbers halfway become, and which of equally good rows counts."""
 
 import datetime as dt
+import decimal
+import random
 
 from tidemark.operators import asof
 from tidemark.plans import breadth_queries, more_queries
@@ -33,3 +35,31 @@ def test_equally_near_rows(spark):
         r = spark.createDataFrame(rows, "k string, x double, other int").coalesce(1)
         got = asof.nearest_in_range(left, r, "k", "at", "x", 5.0).collect()
         assert sorted((g.id, g.x, g.other) for g in got) == [(1, 8.0, 4), (3, 10.0, 1)]
+
+
+def test_nearest_equals_all_pairs_without_forming_them(spark):
+    rnd, odd = random.Random(4), [float("nan"), float("inf"), float("-inf"), None, -1e-20, 0.0, -0.0, 5e-324, 500.0, -500.0, 1000.0, 999.9999999999999, 1e300, 2.0**63]
+    number = lambda: rnd.choice([rnd.uniform(-2000, 2000), rnd.randint(-20, 20) * 100.0, rnd.choice(odd)])
+    right = [(rnd.choice(["a", "b", None]), number(), rnd.randrange(50)) for _ in range(400)]
+    right += [("c", x, 1) for x in (2e-20, -1e-20, 1e-20)]  # their distances from 1000 and 500 are rounded to one
+    left = [(i, rnd.choice(["a", "a", "b", "c", None]), number()) for i in range(400)] * 2
+    l = spark.createDataFrame(left, "id int, k string, at double")
+    r = spark.createDataFrame(right, "k string, x double, other int")
+    for reach in (500.0, 1000.0, 0.1):
+        want = []
+        for i, k, at in left[:400]:
+            far = [(abs(x - at), x, o) for q, x, o in right if None not in (k, at, x) and q == k and abs(x - at) <= reach]
+            want += [(i, *min(far)[1:])] if far else []
+        d = asof.nearest_in_range(l, r, "k", "at", "x", reach)
+        assert sorted((g.id, g.x, g.other) for g in d.collect()) == want
+        assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_of_decimals_and_whole_numbers(spark):
+    cents = lambda n: decimal.Decimal(n).scaleb(-2)
+    left = spark.createDataFrame([(1, 1, cents(1010), 7), (2, 1, cents(3000), 30)], "id int, k int, at decimal(12,2), n int")
+    right = spark.createDataFrame([(1, cents(1210), 13), (1, cents(810), 1), (1, cents(3501), 36)], "k int, x decimal(12,2), m int")
+    got = asof.nearest_in_range(left, right, "k", "at", "x", 5.0).collect()
+    assert [(g.id, g.x, g.m) for g in got] == [(1, cents(810), 1)]
+    got = asof.nearest_in_range(left, right, "k", "n", "m", 6.0).collect()
+    assert sorted((g.id, g.x, g.m) for g in got) == [(1, cents(810), 1), (2, cents(3501), 36)]

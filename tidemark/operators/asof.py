@@ -82,16 +82,34 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], to
     return l.join(r, keys, "full").select(*keys, status.alias("status"))
 
 
+#: Cells beyond this many from zero are one, so that their numbers fit a long.
+CELLS = 2.0**62
+
+
 def nearest_in_range(left: DataFrame, right: DataFrame, key: str, at: str, x: str, reach: float) -> DataFrame:
-    """For each left row (key, at) the right row (key, x) of smallest |x - at| <= reach.
+    """For each different left row (key, at) the right row (key, x) of smallest |x - at| <= reach.
+
+    Of rows equally near the smaller x counts, then the smallest by the other columns in their order. Columns
+    are doubles or decimals; rows without key or place, or whose place is no number, meet nothing.
 
-    A range join by cells of the reach's width: each row meets three cells, not all rows. Of rows equally
-    near the smaller x counts, then the smallest by the other columns in their order.
+    A union and two sorts by cells of twice the reach: the right's values, one row each, go to their own cell and
+    its neighbours, and each left row is handed the last at or before it and the next at or after; no pair of rows
+    is formed. A right value brings along those below it so close (reach * 2**-51) that subtraction may round both
+    to one distance. One key's rows of one cell are sorted in one task.
     """
-    cell = lambda c: F.floor(F.col(c) / reach)
-    l = left.withColumn("__cell", F.explode(F.array(cell(at) - 1, cell(at), cell(at) + 1)))
-    r = right.withColumn("__cell", cell(x))
-    d = l.join(r, [key, "__cell"]).where(F.abs(F.col(x) - F.col(at)) <= reach)
-    match = F.struct(*[c for c in r.columns if c not in (key, "__cell")])
-    best = F.min_by(match, F.struct(F.abs(F.col(x) - F.col(at)), x, match))
-    return d.groupBy(*left.columns).agg(best.alias("match")).select(*left.columns, "match.*")
+    cell = lambda c: F.floor(F.greatest(F.least(F.col(c) / (2 * reach), F.lit(CELLS)), F.lit(-CELLS)))
+    usable = lambda c: F.col(key).isNotNull() & F.col(c).isNotNull() & ~F.isnan(c)
+    match = F.struct(*[c for c in right.columns if c != key])
+    r = right.where(usable(x)).groupBy(key, x).agg(F.min(match).alias("__match"))
+    r = r.select(key, F.col(x).alias("__at"), F.explode(F.array(cell(x) - 1, cell(x), cell(x) + 1)).alias("__cell"), "__match")
+    close = f"PARTITION BY `{key}`, __cell ORDER BY double(__at) RANGE BETWEEN {reach * 2.0**-51!r}D PRECEDING AND CURRENT ROW"
+    r = r.select(key, "__at", "__cell", F.expr(f"collect_list(__match) OVER ({close})").alias("__near"))
+    l = left.where(usable(at)).distinct().withColumns({"__at": F.col(at), "__cell": cell(at)})
+    d = l.unionByName(r, allowMissingColumns=True)
+    inside = Window.partitionBy(key, "__cell").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last("__near", ignorenulls=True)
+    asks = F.col("__near").isNull()  # of one place, the right's row comes first
+    d = d.withColumns({"__below": held.over(inside.orderBy("__at", asks)), "__above": held.over(inside.orderBy(F.desc("__at"), asks))}).where(asks)
+    near = F.flatten(F.array_compact(F.array("__below", "__above")))
+    best = F.array_min(F.transform(near, lambda m: F.struct(F.abs(m[x] - F.col(at)).alias("far"), m[x], m.alias("match"))))
+    return d.withColumn("__best", best).where(F.col("__best.far") <= reach).select(*left.columns, "__best.match.*")
