@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 from tidemark.streaming import bars as SB
 from tidemark.streaming import trades as ST
 
@@ -69,6 +71,50 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert events(spark, tmp_path, [rows[:100], rows[100:] + late], "late") == brute(rows)
 
 
+def test_ticks_wait_as_runs_and_events_are_those_of_single_ticks():
+    """The processor alone, with a state and a clock of its own: many ticks make few elements of state."""
+    n = 2500
+    us = [int((r[1] - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for r in some(n, 5)]
+    state = {"waiting": [], "held": None, "timers": []}
+
+    class Kept:
+        appendList = staticmethod(state["waiting"].extend)
+        clear = staticmethod(state["waiting"].clear)
+        get = staticmethod(lambda: iter(state["waiting"][:]))
+
+        def put(self, rows):
+            state["waiting"][:] = rows
+
+    class Held:
+        exists = staticmethod(lambda: state["held"] is not None)
+        get = staticmethod(lambda: state["held"])
+        update = staticmethod(lambda v: state.update(held=v))
+
+    class Handle:
+        getListState = staticmethod(lambda *a: Kept())
+        getValueState = staticmethod(lambda *a: Held())
+        listTimers = staticmethod(lambda: list(state["timers"]))
+        deleteTimer = staticmethod(state["timers"].remove)
+        registerTimer = staticmethod(state["timers"].append)
+
+    class Clock:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at // 1000
+
+    p = ST.Positions()
+    p.init(Handle())
+    rows = [("a", r[1], r[2], float("nan") if k % 100 == 7 else r[3], 1) for k, r in enumerate(some(n, 5))]
+    rows += rows[:300]  # some come twice
+    pdf = pd.DataFrame([(r[1], r[2], r[3]) for r in rows], columns=["ts", "id", "price"])
+    assert list(p.handleInputRows(("a",), iter([pdf[:1200], pdf[1200:]]), Clock(0))) == []
+    assert len(state["waiting"]) == 4 and sum(len(r[0]) for r in state["waiting"]) == len(rows)
+    out = []
+    for at in (us[700], us[700], us[1900], max(us) + 2 * ST.DAY):
+        out += [t for f in p.handleExpiredTimer(("a",), Clock(at), None) for t in f.itertuples(index=False, name=None)]
+    assert not state["waiting"] and state["held"][2] == 0
+    assert sorted((s, e, ts.to_pydatetime(), price, side, why) for s, e, ts, price, side, why in out if price == price) == [r for r in brute(rows + [("b", START + dt.timedelta(d), 0, 1.0, 1) for d in (8, 9)]) if r[3] == r[3]]
+
+
 def test_bars_over_restarts(spark, tmp_path):
     rows = some(200, 4)
     got = run(spark, tmp_path, [rows[:90], rows[90:150], rows[150:]], lambda t: SB.bars(t, 30), "bars").collect()
