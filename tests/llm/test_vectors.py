@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import vectors
 
@@ -93,6 +94,40 @@ def test_cells_prune(spark):
     assert c2 / c1 < 0.75 * (n2 / n1) ** 2
 
 
+def test_units_are_cut_by_their_home_rows_alone():
+    """Near pairs of home rows and of them with visitors, all of them; visitors are never compared with each other."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 12))
+    x[600:660] = x[:60] + 0.05 * rng.normal(size=(60, 12))
+    x[700:705] = x[0]  # visitors that equal a home row and each other
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    for own in (0, 3, 30, 500, 1500):
+        for among in (True, False):
+            *found, (_, _, pairs) = vectors._unit_pairs(x, own, among, 0.9, float(np.sqrt(0.2)))
+            got = [(min(p), max(p)) for i, j, _ in found for p in zip(i.tolist(), j.tolist())]
+            want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1))) if i < own and (among or j >= own)}
+            assert len(got) == len(set(got)) and set(got) == want
+            every = own * (1500 - own) + among * own * own
+            assert pairs <= every and (own < 500 or not every or pairs < 0.7 * every)
+
+
+def test_single_precision_travels_as_it_is(spark):
+    """Vectors of floats are shuffled as floats; links are those of the same vectors in double precision."""
+    rows = clustered(4, 240, spread=0.25) + [(900, None), (901, [0.0] * 8), (902, [-0.0, 0.0, *[1.0] * 6]), (903, [0.0, 0.0, *[1.0] * 6]), (904, [3.4e38] * 8)]
+    d = frame(spark, rows)
+    single = d.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    double = single.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    seen = []
+    real = vectors._link_classes
+    vectors._link_classes = lambda classes, *a: seen.append(classes.schema["v"].dataType.simpleString()) or real(classes, *a)
+    try:
+        got, want = (sorted(map(tuple, vectors.link(x, "vec_id", "embedding").collect())) for x in (single, double))
+    finally:
+        vectors._link_classes = real
+    assert got == want and set(seen[: len(seen) // 2]) == {"array<float>"} and set(seen[len(seen) // 2 :]) == {"array<double>"}
+
+
 AWKWARD = [
     (1, [1.0, 0.0]),
     (2, [2.0, 0.1]),

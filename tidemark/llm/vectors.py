op4_embedding_near_dedup: units cut by their home rows alone, floats travel as floats

Symptom: on the large input op4 takes 2345 CPU seconds per GB and shuffles 228 MB for 21 MB read, against 30 MB for 4 MB on the small input.
Evidence: profiled on the large input, 59 of 80 Python seconds of the comparing units fit and look up pivots over all rows, visitors included, though visitors never meet each other; vectors of floats are written, grouped and shuffled as doubles.
Fix: pivots are fitted to a unit's home rows and visitors only look cells up; float vectors keep their type between tasks; a cell is home to 6000 rows instead of 4000 at the same limit for a unit; a core's blocks, whose rows need no comparing, are not dealt in pairs.
Effect: at 0.6 GB of input CPU 508 -> 422 s, shuffle 0.51 -> 0.26 GB, spill 0.00 -> 0.00 GB, read 0.30 -> 0.21 GB, longest task 12 -> 7 s, most memory of a task 69 -> 68 MB; at 6 GB of input CPU 14195 -> 7440 s, shuffle 32.31 -> 17.80 GB, spill 0.00 -> 0.00 GB, read 2.97 -> 2.04 GB, longest task 125 -> 58 s, most memory of a task 487 -> 252 MB; with hot keys, at 0.6 GB of input CPU 430 -> 424 s, shuffle 0.34 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.25 -> 0.18 GB, longest task 7 -> 5 s, most memory of a task 68 -> 69 MB.

@@ -10,18 +10,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import connected_components, numbered, united, written
 
 #: Bound on the sample that pivots and centroids are fitted to, and on their number.
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 4096
 #: Rows that a cell should be home to, and cells at most.
-CELL_ROWS, MOST_CELLS = 4000, 256
+CELL_ROWS, MOST_CELLS = 6000, 256
 #: Rows of a home block and of a block of visitors: two blocks are one unit of comparing, whatever a cell holds.
 HOME_BLOCK, GUEST_BLOCK = 8000, 12_000
-#: Rows for an inner pivot, and distances to inner pivots held at most: a unit is cut once more by
-#: pivots of its own, and only cells in reach are compared.
-INNER_ROWS, INNER_DISTANCES = 10, 1 << 24
+#: Home rows for an inner pivot, and distances to inner pivots at most: a unit's home rows are cut once
+#: more by pivots of their own, and only cells in reach are compared.
+INNER_ROWS, INNER_DISTANCES = 5, 1 << 24
 #: What stands for a null id while neighbours are sought.
 NO_ID = -(1 << 63)
 #: Share of the sample that a ball must hold to be a cell whose rows all link with each other.
@@ -191,7 +192,11 @@ def link(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9, pivo
     rows; a null id links like any other row but is nobody's component_id unless alone. An
     empty table gives no rows.
     """
-    base = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"), usable(F.col(vec_col)).alias("ok")))
+    # single precision stays so wherever rows travel; tasks compute in double precision
+    kind = vectors.schema[vec_col].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = F.col(vec_col) if single else F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    base = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), usable(F.col(vec_col)).alias("ok")))
     # a class is a vector, component for component; equal ones have cosine 1
     classes = base.where("ok").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     classes = numbered(classes.withColumn("n", F.size("v")), "class")
@@ -236,58 +241,64 @@ def _near_pairs(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray
     return i[ok], j[ok]
 
 
-def _inner(x: np.ndarray, radius: float):
-    """Rows of a unit cut by pivots of its own: (cells as arrays of rows, for each the rows to meet).
+def _inner(x: np.ndarray, own: int, among: bool, radius: float):
+    """The first `own` rows of a unit cut by pivots fitted to them: (cells as arrays of these rows, for each the
+    rows to meet). The rows after them, and among themselves the own ones if asked, find the cells they meet.
 
     A row of cell i can only have a neighbour in cell j if its distance to the plane between the
-    pivots and the least such distance of j's rows sum to no more than the radius. It meets
-    those j of smaller number. With fewer rows than two cells need there is one cell.
+    pivots and the least such distance of j's own rows sum to no more than the radius. An own row meets
+    those j of smaller number, any other row its own cell too. With fewer rows than four cells need there is one.
     """
-    k = min(len(x) // INNER_ROWS, INNER_DISTANCES // max(1, len(x)))
+    k = min(own // INNER_ROWS, INNER_DISTANCES // max(1, len(x)))
     if k < 4:
-        return [np.arange(len(x))], [np.zeros(0, np.int64)]
-    pivots = _kmeans(x, k, 2)
+        return [np.arange(own)], [np.arange(own, len(x))]
+    pivots = _kmeans(x[:own], k, 2)
     k = len(pivots)
-    between = np.maximum(np.sqrt(_squared(pivots, pivots)), 1e-12)
-    home, gaps, margin = np.zeros(len(x), np.int64), np.empty((len(x), k), np.float32), np.full((k, k), np.inf, np.float32)
-    for s in range(0, len(x), 2048):
-        d2 = _squared(x[s : s + 2048], pivots)
-        h = d2.argmin(1)
-        home[s : s + 2048] = h
-        gaps[s : s + 2048] = (d2 - d2[np.arange(len(h)), h][:, None]) / (2 * between[h])
-        gaps[np.arange(s, s + len(h)), h] = 0
-    order = np.argsort(home, kind="stable")
-    first = np.searchsorted(home[order], np.arange(k + 1))
-    for i in np.flatnonzero(np.diff(first)):
-        margin[i] = gaps[order[first[i] : first[i + 1]]].min(0)
-    rows, cols = [], []
-    for s in range(0, len(x), 2048):
-        h = home[s : s + 2048]
-        meets = (gaps[s : s + 2048] + margin[:, h].T <= np.float32(radius + 1e-4)) & (np.arange(k)[None, :] < h[:, None])
+    between, half = np.maximum(np.sqrt(_squared(pivots, pivots)), 1e-9), (pivots * pivots).sum(1) / 2
+
+    def gaps(strip):
+        """The nearest pivot of each row and its distances to the planes between that and the others."""
+        near = strip @ pivots.T - half
+        h, each = near.argmax(1), np.arange(len(strip))
+        gap = near[each, h][:, None] - near
+        gap /= between[h]
+        gap[each, h] = 0
+        return h, gap
+
+    strips = lambda a, z: ((s, min(s + 2048, z)) for s in range(a, z, 2048))
+    home, margin = np.zeros(own, np.int64), np.full((k, k), np.inf, np.float32)
+    for s, e in strips(0, own):
+        home[s:e], gap = gaps(x[s:e])
+        order = np.argsort(home[s:e], kind="stable")
+        cells, first = np.unique(home[s:e][order], return_index=True)
+        margin[cells] = np.minimum(margin[cells], np.minimum.reduceat(gap[order], first))
+    rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for s, e in [*(strips(0, own) if among else ()), *strips(own, len(x))]:
+        h, gap = gaps(x[s:e])
+        meets = gap + margin[:, h].T <= radius + 1e-4
+        if s < own:
+            meets &= np.arange(k)[None, :] < h[:, None]
+        else:
+            meets[np.arange(len(h)), h] = True
         r, c = np.nonzero(meets)
         rows.append((r + s).astype(np.int32))
         cols.append(c.astype(np.int32))
     rows, cols = np.concatenate(rows), np.concatenate(cols)
-    by_cell = np.argsort(cols, kind="stable")
-    ends = np.searchsorted(cols[by_cell], np.arange(k + 1))
+    order, by_cell = np.argsort(home, kind="stable"), np.argsort(cols, kind="stable")
+    first, ends = np.searchsorted(home[order], np.arange(k + 1)), np.searchsorted(cols[by_cell], np.arange(k + 1))
     return [order[first[i] : first[i + 1]] for i in range(k)], [rows[by_cell[ends[i] : ends[i + 1]]].astype(np.int64) for i in range(k)]
 
 
-def _unit_pairs(x: np.ndarray, side: np.ndarray, meet: np.ndarray, least: float, radius: float):
-    """(i, j, 0) of a unit's near pairs whose sides meet, by inner cells; last ([], [], pairs compared)."""
+def _unit_pairs(x: np.ndarray, own: int, among: bool, least: float, radius: float):
+    """(i, j, 0) of a unit's near pairs of the first `own` rows with those after them, and among themselves if
+    asked, by inner cells; last ([], [], pairs compared)."""
     y, compared, none = x.astype(np.float32), 0, np.zeros(0, np.int64)
-    for own, far in zip(*_inner(x, radius)):
-        one, two = own[side[own] == 0], own[side[own] == 1]
-        a, b = far[side[far] == 0], far[side[far] == 1]
-        others = [two, b] if meet[0, 1] else []
-        todo = [(one, np.concatenate([one, a, *others] if meet[0, 0] else others or [none]))]
-        todo += [(two, a)] if meet[0, 1] else []
-        for left, right in todo:
-            for s in range(0, len(left), 512):  # the product of a large cell in strips
-                rows = left[s : s + 512]
-                cols = right[s:] if len(right) and len(left) and right[0] == left[0] else right
-                compared += len(rows) * len(cols)
-                yield *_near_pairs(x, y, rows, cols, least), 0
+    for left, far in zip(*_inner(x, own, among, radius)):
+        right = np.concatenate([left, far]) if among else far
+        for s in range(0, len(left), 512):  # the product of a large cell in strips
+            rows, cols = left[s : s + 512], right[s:] if among else right
+            compared += len(rows) * len(cols)
+            yield *_near_pairs(x, y, rows, cols, least), 0
     yield none, none, compared
 
 
@@ -332,29 +343,28 @@ def _link_classes(classes: DataFrame, least: float, pivots: int | None):
     placed = rows.join(F.broadcast(sizes), "cell").withColumn("own", at_home)  # a row for each cell
     h = F.xxhash64("id", F.lit(5))
     placed = placed.withColumn("block", F.pmod(h, F.when(F.col("own"), F.col("homes")).otherwise(F.col("groups"))).cast("int"))
-    # a home block meets every block of visitors (with, itself: in the first of them) and every other home block
+    # a home block meets every block of visitors (with, itself: in the first of them) and, but for a core's,
+    # every other home block
     to = lambda n: F.sequence(F.lit(0), n - 1)
     unit = lambda lo, hi, guests: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(guests).alias("guests"))
     b = F.col("block")
     mine = F.concat(
         F.transform(to(F.col("groups")), lambda g: unit(b, g, True)),
-        F.transform(F.filter(to(F.col("homes")), lambda w: w != b), lambda w: unit(F.least(b, w), F.greatest(b, w), False)),
+        F.transform(F.filter(to(F.col("homes")), lambda w: (w != b) & (F.col("cell") >= k)), lambda w: unit(F.least(b, w), F.greatest(b, w), False)),
     )
     units = placed.withColumn("u", F.explode(F.when(F.col("own"), mine).otherwise(F.transform(to(F.col("homes")), lambda w: unit(w, b, True)))))
     units = units.select("cell", "u.lo", "u.hi", "u.guests", "own", "id", "copies", "v", "block")
 
     def compare(key, pdf):
         cell, lo, hi, guests = key
-        x = _unit(_rows(pdf["v"]))
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
         # two rows meet if they are of the two sides, or both of the home block in its first unit; two
         # rows at home in a core never do
-        side = (~pdf["own"].to_numpy() if guests else pdf["block"].to_numpy() != lo).astype(np.int64)
-        meet = np.zeros((2, 2), bool)
-        meet[0, 1] = meet[1, 0] = guests or cell >= k
-        meet[0, 0] = guests and hi == 0 and cell >= k
+        first = (pdf["own"] if guests else pdf["block"] == lo).to_numpy()
+        order = np.argsort(~first, kind="stable")
+        x = _unit(_rows(pdf["v"].iloc[order]))
+        ids, copies = pdf["id"].to_numpy()[order], pdf["copies"].to_numpy()[order]
         links, label, pairs = np.zeros(len(x), np.int64), np.arange(len(x)), 0
-        for i, j, n in _unit_pairs(x, side, meet, least, radius):
+        for i, j, n in _unit_pairs(x, int(first.sum()), guests and hi == 0 and cell >= k, least, radius):
             pairs += n
             links += np.bincount(i, copies[j], len(x)).astype(np.int64) + np.bincount(j, copies[i], len(x)).astype(np.int64)
             label = united(label, i, j)
