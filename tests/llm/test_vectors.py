@@ -70,6 +70,17 @@ def test_cores_settle_hot_groups(spark):
     assert len(vectors._cores(sample / np.linalg.norm(sample, axis=1)[:, None], np.sqrt(0.2))) >= 2
 
 
+def test_cores_of_many_blocks(spark, monkeypatch):
+    """A hot group whose home rows fill many blocks and whose visitors fill some: the links are all pairs'."""
+    monkeypatch.setattr(vectors, "HOME_BLOCK", 17)
+    monkeypatch.setattr(vectors, "GUEST_BLOCK", 20)
+    rng = np.random.default_rng(4)
+    c = np.eye(16)[0]
+    x = np.concatenate([c + 0.02 * rng.normal(size=(150, 16)), c + 0.16 * rng.normal(size=(60, 16)), rng.normal(size=(50, 16))])
+    rows = [(int(i), [float(y) for y in v]) for i, v in zip(rng.permutation(len(x)), x.astype(np.float32))]
+    same(vectors.link(frame(spark, rows), "vec_id", "embedding").collect(), brute_links(rows))
+
+
 def compared(spark, path):
     """(rows, pairs compared, cells used) for a table."""
     e = spark.read.parquet(path)
